@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bitsliced, bpe, host_rules, mixing, token_count
+from heddle.llm import bitsliced, bpe, host_rules, mixing, ngram_join, token_count
 from heddle.llm.common import read
 from heddle.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -23,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     judged = host_rules.judge(docs, keep_text=False)
@@ -37,4 +41,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op3_mix_sources, op7_quality_rules, op8_bpe_round_trip, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op3_mix_sources, op4_ngram_join, op7_quality_rules, op8_bpe_round_trip, op10_token_counts)}
