@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bitsliced, bpe, host_rules, mixing, ngram_join, token_count
+from heddle.llm import bitsliced, bpe, host_rules, licenses, mixing, ngram_join, quality_gam, sentence_spans, token_count, token_io
 from heddle.llm.common import read
 from heddle.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -19,6 +19,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.remove_repeats(docs)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -27,6 +32,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     judged = host_rules.judge(docs, keep_text=False)
@@ -37,8 +50,26 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_io.write_and_read(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op3_mix_sources, op4_ngram_join, op7_quality_rules, op8_bpe_round_trip, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk_search,
+        op2_substring_dedup,
+        op3_mix_sources,
+        op4_ngram_join,
+        op5_license_scan,
+        op6_quality_classifier,
+        op7_quality_rules,
+        op8_bpe_round_trip,
+        op9_token_files,
+        op10_token_counts,
+    )
+}
