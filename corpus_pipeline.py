@@ -1,10 +1,66 @@
-"""The corpus pipeline: STAGES run one after the other over documents."""
+"""The corpus pipeline: quality rules, near-duplicate removal, substring de-duplication, mixing, BPE.
 
-STAGES = []
+STAGES run one after the other over documents; each returns the columns of documents but the last, which returns the
+token ids of the documents that are left, as often as the mix takes them.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.llm import bpe, host_rules, mixing, ngram_join, sentence_spans
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither fail the base rules nor come from a rejected host."""
+    return host_rules.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of every group linked by Jaccard similarity 0.8 or more on 5-word shingles."""
+    groups = ngram_join.join_components(docs, n=5, num=80, den=100)
+    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without sentences of repeated spans; documents of which nothing is left go."""
+    out = sentence_spans.remove_repeats(docs.select(*COLUMNS))
+    out = out.filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or up to three times."""
+    mixed = mixing.mix(docs)
+    taken = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_n")).distinct()
+    sized = docs.select(*COLUMNS).withColumn("_own", mixing.sizes(docs))
+    out = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
+
+
+def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, digests of the ids and of the decoded text, ids."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source"), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", byte_pairs),
+]
+
+#: Stages 3 and 5 follow rules that SQL cannot express; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -183,10 +183,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
     return _mapped(encoded, "text string", make, list(keep), ids)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded text) for every row.
 
-    The ids do not leave the task; with_text adds the decoded text as a column.
+    Ids and decoded texts do not leave the task; with_ids adds the ids as a column.
     """
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
@@ -195,7 +195,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
         if ("decimal", path) not in state:
             state["decimal", path] = {i: str(i) for i in c.text_of}
         decimal = state["decimal", path].__getitem__
-        n, a, b, texts = [], [], [], []
+        n, a, b, every = [], [], [], []
         for t in column.to_pylist():
             ids = c.encode(t or "")
             data = c.decode_bytes(ids)
@@ -203,10 +203,10 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
             n.append(len(ids))
             a.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(back.encode()).hexdigest())
-            if with_text:
-                texts.append(back)
+            if with_ids:
+                every.append(ids)
         out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
-        return out | ({"decoded": pa.array(texts, pa.string())} if with_text else {})
+        return out | ({"ids": pa.array(every, pa.list_(pa.int32()))} if with_ids else {})
 
-    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", decoded string" * with_text
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _mapped(docs, schema, make, list(keep), text)
