@@ -1,4 +1,9 @@
 """Registered queries over the driver's tables, with their DuckDB twins."""
 
+from heddle.plans import corpus, evaluation, graphs, solutions
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _part in (evaluation, corpus, graphs, solutions):
+    QUERIES |= _part.Q
+    ORACLE_SQL |= _part.SQL
