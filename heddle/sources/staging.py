@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[str] = []
+_also: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def staged_by(paths: list[str]) -> Iterator[None]:
+    """Notes in paths what is staged meanwhile."""
+    _also.append(paths)
+    try:
+        yield
+    finally:
+        _also.remove(paths)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +35,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/heddle-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
+    for paths in (_staged, *_also):
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
