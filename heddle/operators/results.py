@@ -177,7 +177,7 @@ def quota_assignment(rows: DataFrame, targets: dict[str, int], order: str, key:
         level = F.when(F.col("_n") <= end, name) if level is None else level.when(F.col("_n") <= end, name)
     names = F.array(*[F.lit(n) for n in targets])
     inside = number.select(order, level.alias("level"))
-    return rows.join(inside, order, "left").withColumn("level", F.coalesce("level", F.get(names, F.pmod(F.xxhash64(order), F.lit(len(targets))).cast("int"))))
+    return rows.join(inside, order, "left").withColumn("level", F.coalesce("level", F.get(names, F.pmod(F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 6), 16, 10).cast("int"), F.lit(len(targets))))))
 
 
 def histogram_against(rows: DataFrame, level: str, desired: dict[str, int]) -> DataFrame:

@@ -159,12 +159,11 @@ def difficulty_histogram(spark, sf_dir):
     return R.histogram_against(D.results(spark, sf_dir), "difficulty", dict.fromkeys(D.W.DIFFICULTIES, 2000))
 
 
-@query("""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS c FROM documents)
-SELECT doc_id, CASE WHEN n <= 20 THEN 'expert' WHEN n <= 60 THEN 'hard' WHEN n <= 110 THEN 'medium' WHEN n <= 150 THEN 'easy' END AS level FROM k WHERE n <= 150""")
+@query("""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)
+SELECT doc_id, CASE WHEN n <= 20 THEN 'expert' WHEN n <= 60 THEN 'hard' WHEN n <= 110 THEN 'medium' WHEN n <= 150 THEN 'easy' ELSE ['expert', 'hard', 'medium', 'easy'][1 + CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 6)) AS INT) % 4] END AS level FROM k""")
 def quota_assignment(spark, sf_dir):
     docs = D.read(spark, sf_dir, "documents").select("doc_id")
-    head = docs.orderBy("doc_id").limit(150)  # the rows that quotas hold; what is over goes by a hash of our own
-    return R.quota_assignment(head, {"expert": 20, "hard": 40, "medium": 50, "easy": 40}, "doc_id")
+    return R.quota_assignment(docs, {"expert": 20, "hard": 40, "medium": 50, "easy": 40}, "doc_id")
 
 
 @query(f"""WITH {D.RESULTS}, p AS (SELECT model_name, avg(software_engineering_score) AS se, avg(functional_correctness_score) AS fc, avg(code_quality_score) AS cq, avg(longcontext_utilization_score) AS lcu FROM r GROUP BY model_name)
