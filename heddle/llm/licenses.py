@@ -95,8 +95,10 @@ class Scanner:
             common = max(1, containment * count - stride / 2) if count > 1 else 1
             g["bands"], g["rows"] = band_plan(common / (2 * count - common), rows=rows), rows
             keys: dict[int, list[int]] = {}
+            g["minima"] = []
             for t, s in enumerate(g["sets"]):
                 minima = np.array([self.mixed(s, i).min() for i in range(g["bands"] * g["rows"])], dtype=np.uint64)
+                g["minima"].append(minima)
                 for k in self.band_keys(minima[:, None], g)[:, 0].tolist():
                     keys.setdefault(k, []).append(t)
             g["keys"], g["of"] = np.array(sorted(keys), dtype=np.uint64), keys
@@ -118,44 +120,66 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, float]]:
         """(template, first word of the window, containment) of every match."""
-        h = word_hashes(text, self.table)
+        return self.scan_many([text])[0]
+
+    def scan_many(self, texts: list[str], most_words: int = 200_000) -> list[list[tuple[str, int, float]]]:
+        """Matches of each text; texts are laid end to end, about most_words words at a time, so that numpy works on long columns."""
+        out: list[list[tuple[str, int, float]]] = []
+        held: list[np.ndarray] = []
+        n = 0
+        for t in texts:
+            held.append(word_hashes(t, self.table) if t else np.zeros(0, dtype=np.uint64))
+            n += len(held[-1])
+            if n >= most_words:
+                out.extend(self._laid(held))
+                held, n = [], 0
+        return out + (self._laid(held) if held else [])
+
+    def _laid(self, parts: list[np.ndarray]) -> list[list[tuple[str, int, float]]]:
+        """A window that reaches over a text's end is a candidate like others; it is verified on its own text's part only."""
+        ends = np.cumsum([len(p) for p in parts])
+        begins = ends - [len(p) for p in parts]
+        h = np.concatenate(parts)
         by_n: dict[int, np.ndarray] = {}
         mixed: dict[tuple[int, int], np.ndarray] = {}
-        out = []
+        out: list[list[tuple[str, int, float]]] = [[] for _ in parts]
         for size, g in self.groups.items():
             n, stride = g["n"], g["stride"]
             if len(h) < n:
                 continue
             s = by_n.setdefault(n, shingles(h, n))
             wide = size - n + 1
-            starts = np.arange(0, max(1, len(s) - wide + 1 + stride - 1), stride)
-            starts = np.minimum(starts, max(0, len(s) - wide))
             if wide == 1:  # the one shingle is its own minimum in every band
                 hits = [(int(p), t) for t, own in enumerate(g["sets"]) for p in np.flatnonzero(s == own[0])]
             else:
+                starts = np.arange(0, max(1, len(s) - wide + stride), stride)
+                starts = np.minimum(starts, max(0, len(s) - wide))
                 minima = []
                 for i in range(g["bands"] * g["rows"]):
                     if (n, i) not in mixed:
                         mixed[n, i] = self.mixed(s, i)
                     m = mixed[n, i]
-                    if len(m) >= wide:
-                        m = sliding_min(m, wide)
-                        minima.append(m[starts])
-                    else:
-                        minima.append(np.array([m.min()]))
-                keys = self.band_keys(np.array(minima), g)
-                at = np.searchsorted(g["keys"], keys)
-                found = g["keys"][np.minimum(at, len(g["keys"]) - 1)] == keys
-                hits = sorted({(int(starts[w]), t) for b, w in zip(*np.nonzero(found), strict=True) for t in g["of"][int(keys[b, w])]})
-            end: dict[int, int] = {}
-            for p, t in hits:
-                if p < end.get(t, -1):
-                    continue
-                window = s[max(0, p - stride) : p + wide + stride]
-                share = float(np.isin(g["sets"][t], window).mean())
-                if share >= self.containment:
-                    out.append((g["names"][t], p, share))
-                    end[t] = p + size
+                    minima.append(sliding_min(m, wide)[starts] if len(m) >= wide else np.array([m.min()]))
+                if g["rows"] == 1 and len(g["names"]) <= 8:  # a band is one minimum: compare it as it stands
+                    hits = [(int(starts[w]), t) for b, m in enumerate(minima) for t, own in enumerate(g["minima"]) for w in np.flatnonzero(m == own[b])]
+                else:
+                    keys = self.band_keys(np.array(minima), g)
+                    at = np.searchsorted(g["keys"], keys)
+                    found = g["keys"][np.minimum(at, len(g["keys"]) - 1)] == keys
+                    hits = [(int(starts[w]), t) for b, w in zip(*np.nonzero(found), strict=True) for t in g["of"][int(keys[b, w])]]
+            done: dict[tuple[int, int], int] = {}
+            for p, t in sorted(set(hits)):
+                # the texts that the window touches: usually one
+                for d in range(int(np.searchsorted(ends, p, side="right")), len(parts)):
+                    if begins[d] >= p + size:
+                        break
+                    if p < done.get((d, t), -1):
+                        continue
+                    window = s[max(p - stride, begins[d]) : max(0, min(p + wide + stride, ends[d] - n + 1))]
+                    share = float(np.isin(g["sets"][t], window).mean()) if len(window) else 0.0
+                    if share >= self.containment:
+                        out[d].append((g["names"][t], max(0, p - int(begins[d])), share))
+                        done[d, t] = p + size
         return out
 
 
@@ -178,8 +202,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
         scanner = state.get(key) or state.setdefault(key, Scanner(templates, containment))
         for batch in batches:
             rows, found = [], []
-            for r, t in enumerate(batch.column(text).to_pylist()):
-                own = scanner.scan(t) if t else []
+            for r, own in enumerate(scanner.scan_many(batch.column(text).to_pylist())):
                 rows.extend([r] * len(own))
                 found.extend(own)
             take = pa.array(rows, pa.int64())
