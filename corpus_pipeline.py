@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import bpe, host_rules, mixing, ngram_join, sentence_spans
+from heddle.llm.common import spent, stage, staged_by
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,20 +49,35 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source"), with_ids=True)
 
 
+_used: list[str] = []
+
+
+def _tidy(step):
+    """step, which first deletes what the stage before has staged: its rows are written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spent(spark, _used)
+        with staged_by(_used):
+            return step(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("substring dedup", substring_dedup),
-    ("mixing sources to target weights", mix_sources),
-    ("BPE encoding and decoding", byte_pairs),
+    ("quality rules", _tidy(quality_rules)),
+    ("n-gram Jaccard join", _tidy(near_duplicates)),
+    ("substring dedup", _tidy(substring_dedup)),
+    ("mixing sources to target weights", _tidy(mix_sources)),
+    ("BPE encoding and decoding", _tidy(byte_pairs)),
 ]
 
-#: Stages 3 and 5 follow rules that SQL cannot express; tests hold the rows against a brute-force version.
+#: The span hashes and the encoder are beyond SQL; tests hold every stage's rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written and read again before the next one starts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,40 +3,21 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.sources.staging import shared_dir, stage, staged_by  # noqa: F401
+
 #: White space of the word rule, as Java, RE2 and Python read it inside a character class.
 SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
 
-_staged: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = java.get() if java.isDefined() else "file:///tmp/checkpoints/heddle"
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/heddle-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes what stage() has written; results that read it must be saved before."""
+def spent(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more, and empties the list."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
