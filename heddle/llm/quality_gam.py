@@ -165,7 +165,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     rows = stage(feature_rows(docs, id_col, text), "gam-features")
     fold = F.coalesce(F.crc32(F.col("id").cast("string")) % folds, F.lit(0))
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("double").alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
-    learn = rows.filter(fold != 0).dropDuplicates(["id"]).join(known, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("x", "y").toPandas()
+    learn = rows.filter(fold != 0).dropDuplicates(["id"]).join(known, "id").select("id", "x", "y")
+    n = learn.count()
+    if n > max_rows:  # a hash lets through a few more than the bound, whatever the number of tasks
+        learn = learn.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.1 * max_rows / n + 1e-3)))
+    learn = learn.orderBy(F.xxhash64("id"), "id").limit(max_rows).select("x", "y").toPandas()
     model = AdditiveModel().fit(np.array(learn["x"].tolist()), (learn["y"].to_numpy() >= 0.5).astype(float)) if len(learn) else None
     # The model (tables of a few hundred entries) travels with the function.
 
