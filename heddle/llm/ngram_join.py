@@ -1,12 +1,14 @@
 """Jaccard self-join of documents on their n-gram sets, with a prefix tree, up to connected components.
 
 1. A document's set holds 64-bit hashes of its n-grams.  Documents with equal sets are one class, shown by its smallest id.
-2. In a global order (very common n-grams last, else by hash) two sets that reach the threshold share one of their first
-   |x| - ceil(t |x|) + 1 elements.  Classes that share such an element and a size band meet around the smallest of
-   them, in blocks; a block's sets are stored in a prefix tree, and every set walks the tree, sharing partial overlaps
-   along common paths and leaving subtrees that the remaining lengths rule out, or that hold only sets it is linked with.
-3. What these links connect is one component; components that still share such an element meet again, the smaller one's
-   sets walking the trees of the larger one, block by block, so no link between components is missed.
+2. In any global order of the n-grams, two sets that reach the threshold share one of their first |x| - ceil(t |x|) + 1
+   elements.  The order here: sampled n-grams (by hash) that only one set has, those not sampled (by hash), the other
+   sampled ones.  Most sets have enough of the first kind, and can have no link.  Of the others, those that share such an
+   element meet around the smallest id, in blocks; a block's sets are stored in a prefix tree, and every set walks the
+   tree, sharing partial overlaps along common paths and leaving subtrees that the remaining lengths rule out, or that
+   hold only sets it is linked with.
+3. What these links connect is one component; sets of different components that still share such an element meet again,
+   every block of such a group with every other one, so no link between components is missed.
 
 Links inside a component are not all listed: a spanning set of them is.  No block exceeds block_rows sets.
 
@@ -35,15 +37,11 @@ def ngram_set(text: Column, n: int = 3) -> Column:
     return F.transform(F.array(words(F.translate(text, UPPER, UPPER.lower()))), lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))).when(F.size(w) > 0, F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>")))[0]
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
-
-
 class PrefixTree:
     """Sorted sets (uint64 arrays) as a path-compressed tree over their sorted order.
 
-    A node is (first row, row after the last, depth at its start, depth at its end, children); the tokens of its edge are
-    those of its first row between the depths.
+    A node is (first row, row after the last, depth at its start, depth at its end, least and greatest size below it); the
+    tokens of its edge are those of its first row between the depths.
     """
 
     def __init__(self, sets: list[np.ndarray]):
@@ -57,14 +55,21 @@ class PrefixTree:
             d = np.flatnonzero(a[:m] != b[:m])
             lcp.append(int(d[0]) if len(d) else m)
         self.lcp = np.array([*lcp, -1], dtype=np.int64)
-        self.children: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
+        self.children: dict[tuple[int, int, int], list[tuple[int, int, int, int, int, int]]] = {}
 
-    def split(self, lo: int, hi: int, depth: int) -> list[tuple[int, int, int, int]]:
-        """Children (rows from, to, depth from, to) below depth, made when first visited."""
+    def split(self, lo: int, hi: int, depth: int) -> list[tuple[int, int, int, int, int, int]]:
+        """Children below depth, made when first visited."""
         key = (lo, hi, depth)
         if key not in self.children:
             cuts = [lo, *(lo + 1 + np.flatnonzero(self.lcp[lo : hi - 1] <= depth)).tolist(), hi]
-            self.children[key] = [(a, b, depth, int(self.lcp[a : b - 1].min()) if b - a > 1 else len(self.sets[a])) for a, b in zip(cuts, cuts[1:])]
+            made = []
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a == 1:
+                    made.append((a, b, depth, size := len(self.sets[a]), size, size))
+                else:
+                    sizes = self.sizes[a:b]
+                    made.append((a, b, depth, int(self.lcp[a : b - 1].min()), int(sizes.min()), int(sizes.max())))
+            self.children[key] = made
         return self.children[key]
 
     def walk(self, x: np.ndarray, num: int, den: int, label: np.ndarray, own: int) -> Iterator[int]:
@@ -73,20 +78,25 @@ class PrefixTree:
         total = num + den
         if not len(self.sets):
             return
-        stack = [(a, b, d, e, 0) for a, b, d, e in self.split(0, len(self.sets), 0)]
+        low, high = -(-num * n // den), den * n // num  # sizes that can reach the threshold
+        stack = [(*x, 0) for x in self.split(0, len(self.sets), 0) if x[5] >= low and x[4] <= high]
         while stack:
-            lo, hi, d, e, got = stack.pop()
-            sizes = self.sizes[lo:hi]
-            least, most = int(sizes.min()), int(sizes.max())
-            if den * most < num * n or den * n < num * least or (label[lo:hi] == own).all():
+            lo, hi, d, e, least, most, got = stack.pop()
+            if label[lo] == own and (label[lo:hi] == own).all():
                 continue
             edge = self.sets[lo][d:e]
-            left = n
+            need = -(-num * (n + max(least, low)) // total)
+            left, spare = n, most - need  # so many elements below this node may be missing in x
+            head = 2 * max(spare, 0) + 16
+            if len(edge) > 2 * head:  # a look at the edge's start rules most strangers out
+                first = edge[:head]
+                hits = int((x[np.minimum(np.searchsorted(x, first), n - 1)] == first).sum())
+                if d + head - got - hits > spare:
+                    continue
             if len(edge):
                 at = np.searchsorted(x, edge)
                 got += int((x[np.minimum(at, n - 1)] == edge).sum())
                 left = n - int(np.searchsorted(x, edge[-1], side="right"))
-            need = -(-num * (n + max(least, -(-num * n // den))) // total)
             if got + min(left, most - e) < need:
                 continue
             if hi - lo == 1 or e == most:  # all rows end here: they are equal, or one
@@ -99,7 +109,7 @@ class PrefixTree:
                 if label[r] != own and total * got >= num * (n + e):
                     yield r
             start = lo + len(ended)  # a set that ends here sorts before its extensions
-            stack.extend((a, b, f, g, got) for a, b, f, g in self.split(start, hi, e))
+            stack.extend((*x, got) for x in self.split(start, hi, e) if x[5] >= low and x[4] <= high)
 
 
 def join_block(ids: list[int], sets: list[np.ndarray], comps: list[int], probes: list[bool], stored: list[bool], num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -122,122 +132,224 @@ LINKS = "a bigint, b bigint"
 
 
 def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of rows(job..., id, comp, probe, stored, tokens binary), a prefix tree per job."""
+    """Links of rows(j1, j2, j3, id, comp, probe, stored, set), a prefix tree per job."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("id", "comp", "probe", "stored", "tokens")}
-        sets = [np.frombuffer(t, dtype=np.uint64) for t in cols["tokens"]]
+        cols = {c: table.column(c).to_pylist() for c in ("id", "comp", "probe", "stored")}
+        sets = []
+        for chunk in table.column("set").chunks:
+            flat, ends = chunk.values.to_numpy(zero_copy_only=False).view(np.uint64), chunk.offsets.to_numpy().tolist()
+            sets.extend(np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
         found = list(join_block(cols["id"], sets, cols["comp"], cols["probe"], cols["stored"], num, den))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return rows.groupBy("j1", "j2", "j3").applyInArrow(run, LINKS)
 
 
-def prefixes(docs: DataFrame, n: int, num: int, den: int, common: list[int]) -> DataFrame:
-    """id, n, k1, k2 (digest of the set), prefix array<bigint>: the first elements in the global order."""
-    spark = docs.sparkSession
-    last = spark.sparkContext.broadcast(np.array(sorted(common), dtype=np.int64))
+RATE = 1 << 20
+
+
+def sampled_below(num: int, den: int) -> int:
+    """n-grams whose hash is below this, modulo RATE, are sampled: 1.6 times the share that a prefix has of its set."""
+    return min(RATE, -(-8 * RATE * (den - num) // (5 * den)))
+
+
+def digests(docs: DataFrame, n: int, below: int) -> DataFrame:
+    """id, n, k1, k2 (digest of the set), sample array<bigint>: the sampled n-grams of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_last = last.value
         for batch in batches:
             sets = batch.column("set")
-            flat, offsets = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+            flat, offsets = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy()
             k1, k2, out, sizes = [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                s = np.sort(flat[a:b].view(np.uint64))
+                s = flat[a:b]
                 size = b - a
                 sizes.append(size)
                 mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 k1.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if size else 0)
                 k2.append(int(mixed.sum(dtype=np.uint64).view(np.int64)) if size else 0)
-                p = prefix_length(size, num, den) if size else 0
-                v = s.view(np.int64)
-                if len(rare_last) and size:
-                    hot = rare_last[np.minimum(np.searchsorted(rare_last, v), len(rare_last) - 1)] == v
-                    v = np.concatenate([v[~hot], v[hot]])
-                out.append(v[:p])
+                out.append(s[s % np.uint64(RATE) < np.uint64(below)].view(np.int64))
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.array([], dtype=np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), prefix], names=["id", "n", "k1", "k2", "prefix"])
+            sample = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.array([], dtype=np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), sample], names=["id", "n", "k1", "k2", "sample"])
 
-    return docs.select("id", ngram_set(F.col("text"), n).alias("set")).mapInArrow(run, "id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+    return docs.select("id", ngram_set(F.col("text"), n).alias("set")).mapInArrow(run, "id bigint, n bigint, k1 bigint, k2 bigint, sample array<bigint>")
 
 
-def band(n: Column, num: int, den: int) -> Column:
-    """Sizes of a band reach the threshold with each other, as far as sizes go."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num))).cast("bigint")
+def common_ngrams(sets: DataFrame, least: int, most: int) -> list[int]:
+    """At most so many sampled n-grams that are in many sets, by counts of those that a task meets twice or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, block_rows: int = 256, common_from: int = 64, common_most: int = 65_536) -> DataFrame:
-    """id_col, n_shingles, component_id for every row of docs; sets link where den * |common| >= num * |union|.
+        def counted() -> pa.RecordBatch:
+            t, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(t[c > 1]), pa.array(c[c > 1].astype(np.int64))], names=["t", "c"])
+
+        for batch in batches:
+            held.append(batch.column("sample").flatten().to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size > 4_000_000:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    seen = sets.select("sample").mapInArrow(run, "t bigint, c bigint")
+    counts = seen.groupBy("t").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    return [r["t"] for r in counts.orderBy(F.desc("c"), "t").limit(most).collect()]
+
+
+def set_classes(sets: DataFrame, common: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (n, k1, k2, rep, own), and the rows (k1, t) of their sampled n-grams that are not common.
+
+    rep is the smallest id of a class, own the number of its rows; rows of copies repeat.
+    """
+    last = sets.sparkSession.sparkContext.broadcast(np.array(sorted(common), dtype=np.int64))
+
+    def kept(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        sample = batch.column("sample")
+        offsets = sample.offsets.to_numpy()
+        t = sample.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        if len(last.value) and len(t):
+            free = last.value[np.minimum(np.searchsorted(last.value, t), len(last.value) - 1)] != t
+            t, row = t[free], row[free]
+        return t, row
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row = kept(batch)
+            own = np.bincount(row, minlength=batch.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "k1", "k2")), pa.array(own)], names=["id", "n", "k1", "k2", "own"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, row = kept(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(pa.array(row)), pa.array(t)], names=["k1", "t"])
+
+    counted = sets.mapInArrow(counts, "id bigint, n bigint, k1 bigint, k2 bigint, own bigint")
+    classes = counted.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.max("own").alias("own"))
+    return classes, sets.filter("n > 0 and id is not null").select("k1", "sample").mapInArrow(rows, "k1 bigint, t bigint")
+
+
+def open_sets(classes: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """id, n, need of the classes that can have a link: those whose sampled n-grams of no other class do not fill a prefix.
 
-    common_from, common_most: n-grams in the prefixes of so many sets, and at most so many of the most common, go last in
-    the global order; any order gives the same links.
+    In the global order such unique n-grams come first; a set with as many of them as its prefix is long shares nothing
+    there.  need is how many further elements the prefix has.  Common n-grams (a bounded list) are known to be shared, and
+    are not shuffled; all others are gathered by n-gram, a short list of classes each.
+    """
+    several = rows.groupBy("t").agg(F.collect_set("k1").alias("ks")).filter(F.size("ks") > 1)
+    others = several.select(F.explode("ks").alias("k1")).groupBy("k1").agg(F.count(F.lit(1)).alias("others"))
+    prefix = F.col("n") - F.ceil(num * F.col("n") / den).cast("bigint") + 1
+    need = prefix - (F.col("own") - F.coalesce("others", F.lit(0)))
+    return classes.join(others, "k1", "left").select(F.col("rep").alias("id"), "n", need.alias("need")).filter("need > 0").distinct()
+
+
+def elements(docs: DataFrame, opened: DataFrame, n: int, below: int) -> DataFrame:
+    """id, n, t: the need elements that follow the unique ones in the global order: n-grams that were not sampled, by hash.
+
+    A set with too few of these gives all its n-grams, which is more than its prefix.
+    """
+    texts = only_among(docs, opened.select("id")).join(opened, "id").select("id", "n", "need", ngram_set(F.col("text"), n).alias("set"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("set")
+            flat, offsets = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy().tolist()
+            out = []
+            for a, b, need in zip(offsets[:-1], offsets[1:], batch.column("need").to_pylist(), strict=True):
+                s = flat[a:b]
+                rest = np.sort(s[s % np.uint64(RATE) >= np.uint64(below)])
+                out.append((rest[:need] if len(rest) >= need else s).view(np.int64))
+            take = pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("n").take(take), pa.array(np.concatenate(out) if out else np.array([], dtype=np.int64))], names=["id", "n", "t"])
+
+    return texts.mapInArrow(run, "id bigint, n bigint, t bigint")
+
+
+def only_among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """docs whose id may be among ids: a bitmap of hashed ids (8 MB at most, whatever the number) goes to all tasks.
+
+    It lets some others through; it saves shuffling the texts of most documents that the join after it would drop.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bits = 1 << 10
+    n = ids.count()
+    while bits < 16 * n and bits < most_bits:
+        bits *= 2
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words_set = ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    table = [0] * (bits // 64)
+    for r in words_set:
+        table[r["w"]] = r["b"]
+    one = spark.createDataFrame([(table,)], "_bits array<bigint>")
+    hit = F.expr(f"(get(_bits, cast(shiftright(pmod(xxhash64(id), {bits}L), 6) as int)) & shiftleft(1L, cast(pmod(xxhash64(id), 64L) as int))) <> 0")
+    return docs.crossJoin(F.broadcast(one)).filter(hit).drop("_bits")
+
+
+def _joined(docs: DataFrame, jobs: DataFrame, n: int) -> DataFrame:
+    """jobs(id, j1, j2, j3, ...) with the sets of their documents, partitioned by job.
+
+    Texts are shuffled, not sets, which are larger: a set is made from its text where its job is.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = only_among(docs, jobs.select("id").distinct()).join(jobs, "id").repartition(parts, "j1", "j2", "j3")
+    columns = [c for c in texts.columns if c != "text"]
+
+    return texts.select(*columns, ngram_set(F.col("text"), n).alias("set"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, block_rows: int = 1024, common_from: int = 64, common_most: int = 65_536) -> DataFrame:
+    """id_col, n_shingles, component_id for every row of docs; sets link where den * |common| >= num * |union|.
+
+    common_from, common_most: sampled n-grams of so many sets, and at most so many of the most common, are known to be
+    shared without being shuffled; what is on that list changes no link.
+    """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    first = prefixes(docs, n, num, den, []).filter("id is not null")
-    counts = first.select(F.explode("prefix").alias("t")).groupBy("t").count().filter(F.col("count") >= common_from)
-    common = [r["t"] for r in counts.orderBy(F.desc("count"), "t").limit(common_most).collect()]
-    sets = stage(prefixes(docs, n, num, den, common), "nj-prefix")
+    named = docs.filter("id is not null")
+    below = sampled_below(num, den)
+    sets = stage(digests(docs, n, below), "nj-sets")
 
     # Classes of equal sets; a class is shown by its smallest id.
-    classes = sets.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
+    classes, rows = set_classes(sets, common_ngrams(sets, common_from, common_most))
     classes = stage(classes, "nj-class")
-    shown = sets.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2"), ["id", "n", "k1", "k2"], "left_semi").select("id", "n", "prefix")
-    post = stage(shown.select("id", "n", F.explode("prefix").alias("t")).distinct(), "nj-post")
-    shared = post.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t")
+    opened = stage(open_sets(classes, rows, num, den), "nj-open-sets")
+    post = stage(elements(named, opened, n, below), "nj-post")
+    shared = post.groupBy("t").agg(F.min("id").alias("c"), F.max("id").alias("_last")).filter("c < _last").select("t", "c")
     post = stage(post.join(shared, "t"), "nj-shared")  # only elements that two classes hold
-    near = docs.join(post.select("id").distinct(), "id", "left_semi").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    tokens = near.select("id", F.sort_array(ngram_set(F.col("text"), n)).alias("set"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column("set")
-            flat, offsets = s.values.to_numpy(zero_copy_only=False).view(np.uint64), s.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.sort(flat[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["id", "tokens"])
-
-    tokens = stage(tokens.mapInArrow(pack, "id bigint, tokens binary"), "nj-sets")
-
-    # Meetings around the smallest id of an element and size band.
-    banded = post.withColumn("s", band(F.col("n"), num, den))
-    centre = banded.groupBy("t", "s").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t", "s", "c")
-    meet = stage(banded.join(centre, ["t", "s"]).select("c", "id").distinct(), "nj-meet")
-    members = meet.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
-    own = meet.filter("id <> c").join(members, "c")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block_rows)).cast("bigint")
-    jobs = own.select("c", part.alias("k"), "id")
-    jobs = jobs.unionByName(jobs.select("c", "k", F.col("c").alias("id")).distinct())
-    jobs = jobs.join(tokens, "id").select(F.col("c").alias("j1"), F.col("k").alias("j2"), F.lit(0).alias("j3"), "id", F.col("id").alias("comp"), F.lit(True).alias("probe"), F.lit(True).alias("stored"), "tokens")
-    links = stage(_blocks(jobs, num, den), "nj-links")
+    # Meetings: a class goes where the smallest id is that it shares an element with; that one is in all blocks there.
+    meet = stage(post.groupBy("id").agg(F.min("c").alias("c")), "nj-meet")
+    blocks = meet.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias("nb"))
+    own = meet.join(blocks, "c").filter("id <> c").select("id", F.col("c").alias("j1"), F.pmod(F.xxhash64("id"), F.col("nb")).alias("j2"))
+    centres = blocks.select(F.col("c").alias("id"), F.col("c").alias("j1"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("j2"))
+    jobs = own.unionByName(centres).select("id", "j1", "j2", F.lit(0).cast("bigint").alias("j3"), F.col("id").alias("comp"), F.lit(True).alias("probe"), F.lit(True).alias("stored"))
+    links = stage(_blocks(_joined(named, jobs, n), num, den), "nj-links")
     label = stage(components(links), "nj-label")
 
-    # Components that still share an element: the smaller one's sets walk the trees of the larger one.
-    named = post.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-    here = stage(named.groupBy("t", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "nj-here")
-    several = here.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t")
-    here = here.join(several, "t")
-    size = stage(tokens.select("id").distinct().join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("comp")), "nj-comp")
-    weight = size.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
-    here = here.join(weight, "comp")
-    x, y = here.alias("x"), here.alias("y")
-    before = F.struct(F.col("x.w"), F.col("x.comp")) < F.struct(F.col("y.w"), F.col("y.comp"))
-    fit = (den * F.col("x.hi") >= num * F.col("y.lo")) & (den * F.col("y.hi") >= num * F.col("x.lo"))
-    pairs = stage(x.join(y, (F.col("x.t") == F.col("y.t")) & before & fit).select(F.col("x.comp").alias("small"), F.col("y.comp").alias("comp"), F.col("y.w").alias("w")).distinct(), "nj-pairs")
-    probes = pairs.join(size.select(F.col("comp").alias("small"), "id"), "small")
-    n_probes = probes.groupBy("comp").agg(F.count(F.lit(1)).alias("p"), F.max("w").alias("w"))
-    n_probes = stage(n_probes.select("comp", F.ceil(F.col("p") / block_rows).alias("pb"), F.ceil(F.col("w") / block_rows).alias("wb")), "nj-blocks")
-    asks = probes.drop("w").join(n_probes, "comp").withColumn("j2", F.pmod(F.xxhash64("id"), F.col("pb")).cast("bigint")).withColumn("j3", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("wb") - 1)))
-    holds = size.join(n_probes, "comp").withColumn("j3", F.pmod(F.xxhash64("id"), F.col("wb")).cast("bigint")).withColumn("j2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pb") - 1)))
-    jobs = asks.select(F.col("comp").alias("j1"), "j2", "j3", "id", F.col("small").alias("comp"), F.lit(True).alias("probe"), F.lit(False).alias("stored")).unionByName(
-        holds.select(F.col("comp").alias("j1"), "j2", "j3", "id", "comp", F.lit(False).alias("probe"), F.lit(True).alias("stored"))
-    )
-    more = stage(_blocks(jobs.join(tokens, "id"), num, den), "nj-more")
-    every = stage(links.unionByName(more), "nj-every")
-    label = stage(components(every), "nj-final")
-
-    of_class = classes.join(label, classes["rep"] == label["node"], "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
+    # Sets of different components that share an element meet again, around the element's smallest id: every block of such
+    # a group with every other one, so that each pair of them is held against each other.
+    comp = F.coalesce("label", "id")
+    label_of = label.withColumnRenamed("node", "id")
+    size = stage(meet.select("id").distinct().join(label_of, "id", "left").select("id", comp.alias("comp")), "nj-comp")
+    here = stage(post.join(size, "id").select("id", "t", "c", "comp"), "nj-here")
+    several = here.groupBy("t").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("t")
+    again = stage(here.join(several, "t").select("c", "id", "comp").distinct(), "nj-again")
+    blocks = again.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias("nb"))
+    zero = F.lit(0).cast("bigint")
+    jobs = again.join(blocks, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("o", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    jobs = jobs.select("id", F.col("c").alias("j1"), F.least("b", "o").alias("j2"), F.greatest("b", "o").alias("j3"), "comp", (F.col("b") <= F.col("o")).alias("probe"), (F.col("b") >= F.col("o")).alias("stored"))
+    more = stage(_blocks(_joined(named, stage(jobs, "nj-jobs"), n), num, den), "nj-more")
+    # Links between components join them; the components' own labels stand for all their members.
+    joint = more.join(size.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(size.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = stage(components(joint.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "nj-merged")
+    final = size.join(merged, size["comp"] == merged["node"], "left").select(F.col("id").alias("rep"), F.coalesce("label", "comp").alias("label"))
+
+    of_class = classes.join(final.distinct(), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     out = sets.select("id", "n", "k1", "k2").join(of_class, ["n", "k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
