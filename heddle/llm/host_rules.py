@@ -102,14 +102,14 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = 0
 def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.6, min_words: int = 20, repeat_percent: int = 30, keep_text: bool = True) -> DataFrame:
     """docs with the measures, base_failed, host_rate and kept; one row per row of docs.
 
-    Hosts are judged from the measures alone: staged and read again without the texts, or, where texts are kept, taken
-    from a reading of their own, so that no text is written or shuffled.  The verdicts (one row per host) are joined to the
-    documents by host.  Where the hosts are over Spark's broadcast limit the join is by shuffle, and adaptive execution
-    splits the partition of a host that holds many documents.
+    Measured rows are staged once, with the texts only if these are kept, then read for the hosts and for the verdicts (one
+    row per host), which are joined to the documents by host.  Staging also keeps later filters from being pushed into the
+    measures, whose expressions would then be repeated many times over.  Where the hosts are over Spark's broadcast limit
+    the join is by shuffle, and adaptive execution splits the partition of a host that holds many documents.
     """
-    measured = lambda df: measures(df, text).withColumn("base_failed", base_failed(min_words, repeat_percent))
-    m = measured(docs) if keep_text else stage(measured(docs).drop(text), "rules")
-    hosts = stage(host_verdicts(measured(docs.select(text, host)) if keep_text else m, host, max_rate), "hosts")
+    m = measures(docs, text).withColumn("base_failed", base_failed(min_words, repeat_percent))
+    m = stage(m if keep_text else m.drop(text), "rules")
+    hosts = stage(host_verdicts(m, host, max_rate), "hosts")
     v = hosts.select("_host", "host_rate", "host_kept")
     out = m.join(v, m[host].eqNullSafe(v["_host"]), "left").drop("_host")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).drop("host_kept")
