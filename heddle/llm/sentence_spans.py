@@ -3,9 +3,12 @@
 Every run of several consecutive sentences is hashed; runs are joined over all documents, and the sentences that a run
 covers are removed wherever the run is not its first occurrence (by document id, then place).
 
-A sentence ends with ".", "!", "?" or a line end; one of over long_words words is cut into pieces of so many, so that a
-passage without such marks is several sentences too.  The run that starts at a sentence is the shortest of at least
-min_sentences sentences and min_words words.  Runs are compared by their words, in lower case, by a 128-bit hash.
+A sentence ends with ".", "!", "?" or a line end; one of over long_words words is cut into pieces, so that a passage
+without such marks is several sentences too.  Cuts are where the hash of two words is the least of those around, so they
+hang on the passage and not on the words before it; only where no such place comes for long_words words is the cut by
+count.  The run that starts at a sentence is the shortest of at least min_sentences sentences and min_words words; pieces
+of one long sentence are a run whatever their number, if they have the words.  Runs are compared by their words, in lower
+case, by a 128-bit hash.
 
 Defined results: a null text stays null, an empty one empty, both with no sentence.  Equal rows (same id and text) are
 one document, and get the same result each.  Rows with a null id come first in the order.  An empty table gives an empty
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from heddle.llm.common import small_batches, stage
 
 SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
+ENDS = re.compile(r"[.!?\n]")
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -34,27 +38,51 @@ def sentences(text: str, long_words: int = 25) -> list[str]:
     out = []
     for s in re.findall(SENTENCE, text):
         if len(s) > 2 * long_words and s.count(" ") >= long_words:
-            out.extend(re.findall(rf"(?:\s*\S+){{1,{long_words}}}\s*|\s+", s))
+            out.extend(pieces(s, long_words))
         else:
             out.append(s)
     return out
 
 
+def pieces(sentence: str, long_words: int) -> list[str]:
+    """A long sentence in pieces of some nine words, which start where the hash of two words is the least among four on
+    either side, or else after long_words words."""
+    tokens = re.findall(r"\s*\S+\s*", sentence)
+    words = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in sentence.lower().split()]), dtype=np.uint64)
+    h = np.full(len(words) + 8, np.iinfo(np.uint64).max)  # four on either side that are never less
+    h[4:-4] = words * np.uint64(0x9E3779B97F4A7C15)
+    h[4:-5] += words[1:]
+    two = np.minimum(h[1:], h[:-1])
+    four = np.minimum(two[2:], two[:-2])
+    # Less than the four before, not more than the four after: of equal ones the first counts.
+    least = np.flatnonzero((h[4:-4] < four[: len(words)]) & (h[4:-4] <= four[5:]))
+    cuts = [0]
+    for c in [*least.tolist(), len(tokens)]:
+        cuts.extend(range(cuts[-1] + long_words, c, long_words))
+        if c > cuts[-1]:
+            cuts.append(c)
+    return ["".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])] or [sentence]
+
+
 def runs(parts: list[str], min_sentences: int = 2, min_words: int = 12) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentence after the last, hash) of the run that starts at each sentence that has words."""
     tokens = [p.lower().split() for p in parts]
     own = [i for i, t in enumerate(tokens) if t]  # blank pieces count for nothing
     n = [len(tokens[i]) for i in own]
     keys = [" ".join(tokens[i]) for i in own]
+    open_end = [i < len(parts) - 1 and not ENDS.search(p) for i, p in enumerate(parts)]
+    piece = [open_end[i] or (i > 0 and open_end[i - 1]) for i in own]  # of a long sentence
     out = []
     for a in range(len(own)):
-        b, total = a, 0
-        while b < len(own) and (b - a < min_sentences or total < min_words):
+        b, total, cut = a, 0, True
+        while b < len(own) and (total < min_words or (b - a < min_sentences and not cut)):
             total += n[b]
+            cut = cut and piece[b]
             b += 1
-        if b - a < min_sentences or total < min_words:
+        if total < min_words:
             break  # later starts are shorter still
-        out.append((own[a], own[b - 1] + 1, xxhash.xxh3_128_digest("\n".join(keys[a:b]))))
+        if b - a >= min_sentences or cut:
+            out.append((own[a], own[b - 1] + 1, xxhash.xxh3_128_digest("\n".join(keys[a:b]))))
     return out
 
 

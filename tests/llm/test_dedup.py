@@ -112,3 +112,22 @@ def test_planted_passage_is_removed_once(spark):
     found = {x.doc_id: x.text for x in sentence_spans.remove_repeats(make(spark, rows)).collect()}
     assert passage in found[0]
     assert all(passage not in found[i] and found[i] == rows[i][1].replace(passage + "\n", "") for i in range(1, 9))
+
+
+def test_unpunctuated_passage_at_different_offsets(spark):
+    """A passage of 60 words in the middle of one long sentence, after 0 to 39 other words."""
+    r = random.Random(3)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    rows = [(i, " ".join(text(i) + passage + text(80 - i)), "s") for i in range(40)]
+    found = {x.doc_id: x.text.split() for x in sentence_spans.remove_repeats(make(spark, rows)).collect()}
+    assert found[0] == rows[0][1].split()
+    for i in range(1, 40):
+        own = rows[i][1].split()
+        assert [w for w in found[i] if w not in passage] == own[:i] + own[i + 60 :]
+        assert len([w for w in found[i] if w in passage]) < 30
+
+
+def test_piece_of_a_long_sentence_is_a_run():
+    parts = ["a " * 14, "b " * 5, "c. ", "d " * 14 + ". ", "e."]
+    assert [x[:2] for x in sentence_spans.runs(parts)] == [(0, 1), (1, 4), (2, 4), (3, 5)]
