@@ -37,7 +37,7 @@ def sentences(text: str, long_words: int = 25) -> list[str]:
     """The text's sentences; they join to the text again."""
     out = []
     for s in re.findall(SENTENCE, text):
-        if len(s) > 2 * long_words and s.count(" ") >= long_words:
+        if len(s) > 2 * long_words and len(s.split()) > long_words:
             out.extend(pieces(s, long_words))
         else:
             out.append(s)
@@ -61,7 +61,7 @@ def pieces(sentence: str, long_words: int) -> list[str]:
         cuts.extend(range(cuts[-1] + long_words, c, long_words))
         if c > cuts[-1]:
             cuts.append(c)
-    return ["".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])] or [sentence]
+    return ["".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def runs(parts: list[str], min_sentences: int = 2, min_words: int = 12) -> list[tuple[int, int, bytes]]:

@@ -131,3 +131,12 @@ def test_unpunctuated_passage_at_different_offsets(spark):
 def test_piece_of_a_long_sentence_is_a_run():
     parts = ["a " * 14, "b " * 5, "c. ", "d " * 14 + ". ", "e."]
     assert [x[:2] for x in sentence_spans.runs(parts)] == [(0, 1), (1, 4), (2, 4), (3, 5)]
+
+
+def test_words_between_other_white_space(spark):
+    """Copies of a text without marks whose words stand between tabs or no-break spaces lose their words; the last few may stay."""
+    r = random.Random(4)
+    rows = [(10 * k + i, t, "s") for k, gap in enumerate(["\t", "\u00a0"]) for t in [gap.join(f"w{r.randrange(10**6)}" for _ in range(60))] for i in range(2)]
+    assert all("".join(sentence_spans.sentences(t)) == t and len(sentence_spans.sentences(t)) > 2 for _, t, _ in rows)
+    found = {x.doc_id: x.text for x in sentence_spans.remove_repeats(make(spark, rows)).collect()}
+    assert all(len(found[i].split()) < 15 if i % 10 else found[i] == t for i, t, _ in rows)
