@@ -65,25 +65,27 @@ def pieces(sentence: str, long_words: int) -> list[str]:
 
 
 def runs(parts: list[str], min_sentences: int = 2, min_words: int = 12) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentence after the last, hash) of the run that starts at each sentence that has words."""
+    """(first sentence, sentence after the last, hash) of the shortest runs that start, and that end, at each sentence with words."""
     tokens = [p.lower().split() for p in parts]
     own = [i for i, t in enumerate(tokens) if t]  # blank pieces count for nothing
     n = [len(tokens[i]) for i in own]
     keys = [" ".join(tokens[i]) for i in own]
     open_end = [i < len(parts) - 1 and not ENDS.search(p) for i, p in enumerate(parts)]
     piece = [open_end[i] or (i > 0 and open_end[i - 1]) for i in own]  # of a long sentence
-    out = []
-    for a in range(len(own)):
-        b, total, cut = a, 0, True
-        while b < len(own) and (total < min_words or (b - a < min_sentences and not cut)):
-            total += n[b]
-            cut = cut and piece[b]
-            b += 1
-        if total < min_words:
-            break  # later starts are shorter still
-        if b - a >= min_sentences or cut:
-            out.append((own[a], own[b - 1] + 1, xxhash.xxh3_128_digest("\n".join(keys[a:b]))))
-    return out
+    enough = lambda length, total, cut: total >= min_words and (length >= min_sentences or cut)
+    found = set()
+    for step in (1, -1):  # the shortest from each start, the shortest to each end
+        for x in range(len(own)) if step == 1 else range(len(own) - 1, -1, -1):
+            y, total, cut = x, 0, True
+            while 0 <= y < len(own) and not enough(abs(y - x), total, cut):
+                total += n[y]
+                cut = cut and piece[y]
+                y += step
+            if total < min_words:
+                break  # what comes after is shorter still
+            if enough(abs(y - x), total, cut):
+                found.add((x, y) if step == 1 else (y + 1, x + 1))
+    return [(own[a], own[b - 1] + 1, xxhash.xxh3_128_digest("\n".join(keys[a:b]))) for a, b in sorted(found)]
 
 
 def spans(docs: DataFrame, min_sentences: int, min_words: int, long_words: int) -> DataFrame:
