@@ -37,10 +37,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times."""
-    mixed = mixing.mix(docs)
-    taken = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_n")).distinct()
-    sized = docs.select(*COLUMNS).withColumn("_own", mixing.sizes(docs))
-    out = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size")))
+    mixed = mixing.placed_mix(docs)
+    taken = mixed.filter("taken > 0").select(F.col("place").alias("_at"), F.col("source").alias("_source"), (F.col("taken") / F.col("size")).cast("int").alias("_n")).distinct()
+    placed = docs.select(*COLUMNS).withColumn("_place", mixing.places(docs))
+    out = placed.join(taken, (F.col("_place") == F.col("_at")) & F.col("source").eqNullSafe(F.col("_source")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
 
 

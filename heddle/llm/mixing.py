@@ -6,8 +6,9 @@ queued up to its end, divided by the source's target.  All copies are range-sort
 where the total budget is used up.
 
 Defined results: null and blank texts have size 0 and take nothing.  A null source is one source, after all others.
-Rows with the same doc_id, source and size are queued as one bundle, so that reruns agree, and take alike.  An empty
-table, or one without words, takes nothing.  Extra columns are ignored.
+The hash is of doc_id, then of the text; rows without doc_id are shuffled by size and text.  Only rows with the same
+doc_id, source and text are queued as one bundle, so that reruns agree, and take alike.  An empty table, or one without
+words, takes nothing.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,13 @@ def sizes(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def places(docs: DataFrame, text: str = "text") -> Column:
+    """A row's place in its source's queue: md5 of doc_id and a hash of the text; md5 of size and text if doc_id is null."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = F.concat(F.md5(F.col("doc_id").cast("string")), F.lpad(F.hex(F.xxhash64(t)), 16, "0"))
+    return F.coalesce(own, F.md5(F.concat_ws(" ", sizes(docs, text).cast("string"), F.md5(t))))
+
+
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
     """by_source(source, source_size, ...) with rank and target: shares of the total by weight, none above cap times its size.
 
@@ -47,12 +55,17 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
 
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bucket_rows: int = 20_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs(doc_id, source, text).
+    """doc_id, source, size, source_size, target, taken for every row of docs(doc_id, source, text)."""
+    return placed_mix(docs, text, weights, cap, bucket_rows).drop("place")
+
+
+def placed_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bucket_rows: int = 20_000) -> DataFrame:
+    """The rows of mix() with their place, which with the source tells them apart.
 
     The running sums are two-level: within hash buckets of about bucket_rows documents, then over the buckets' totals,
     so that a source with a third of all rows is spread over as many tasks as it has buckets.
     """
-    slim = stage(docs.select("doc_id", "source", sizes(docs, text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("place")), "mix-size")
+    slim = stage(docs.select("doc_id", "source", sizes(docs, text).alias("size"), places(docs, text).alias("place")), "mix-size")
     by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = stage(targets(by_source, weights, cap), "mix-goal")  # one row per source
     # A bucket is the first digits of the hash, as many as the largest source needs.
@@ -77,7 +90,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
         for f in finish
     ]
     copies = sum((F.coalesce(x, F.lit(False)).cast("bigint") for x in ok), F.lit(0).cast("bigint"))
-    return queued.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "place")
 
 
 def cutoff(queued: DataFrame, cap: int) -> tuple[float, int, str] | None:

@@ -115,3 +115,17 @@ def test_mix_without_words(spark):
     from helpers import make
 
     assert {r.taken for r in mixing.mix(make(spark, [(1, None, "a"), (2, " ", None)])).collect()} == {0}
+
+
+def test_mix_of_rows_without_id(spark):
+    """Each text is queued for itself, so no source misses its target by more than a document; the pipeline takes as many."""
+    import corpus_pipeline
+    from helpers import make
+
+    rows = [(None, f"t{i} " * (1 + i % 7), "a" if i % 4 else "b") for i in range(80)] + [(1, "x y", "a"), (1, "x z", "a"), (1, "x z", "a")]
+    found = mixing.mix(make(spark, rows)).collect()
+    for s in "ab":
+        own = [r for r in found if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 7
+    out = corpus_pipeline.mix_sources(spark, make(spark, rows), "").collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in found)
