@@ -6,6 +6,8 @@ token ids of the documents that are left, as often as the mix takes them.
 
 from __future__ import annotations
 
+from itertools import count
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_rules.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+def _row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _key, a hash of the row, and (_key, doc_id, n) of the distinct rows; a key that two rows share is hashed anew."""
+    row = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    for seed in count():
+        keyed = docs.withColumn("_key", F.xxhash64(F.lit(2 * seed), *row))
+        other = F.xxhash64(F.lit(2 * seed + 1), *row)
+        keys = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min(other).alias("_a"), F.max(other).alias("_b"))
+        keys = stage(keys, "row-keys")
+        if keys.filter("_a <> _b").isEmpty():
+            return keyed, keys.select("_key", "doc_id", "n")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of every group linked by Jaccard similarity 0.8 or more on 5-word shingles."""
-    groups = ngram_join.join_components(docs, n=5, num=80, den=100)
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One document, that with the smallest id, of every group linked by Jaccard similarity 0.8 or more on 5-word shingles.
+
+    Every row is a document, also without doc_id (last in the order) or with a doc_id that others have; of a group's rows
+    with the smallest id the one with the least row hash stays.  Equal rows, blank ones too, are one document and stay once.
+    """
+    keyed, keys = _row_keys(docs.select(*COLUMNS))
+    groups = ngram_join.join_components(keyed, id_col="_key", n=5, num=80, den=100)
+    members = stage(groups.select("_key", "component_id").distinct().join(keys, "_key"), "near-members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"].alias("_best"))
+    copies = members.join(best, "component_id").filter("_key <> _best").select("_key")
+    kept = keyed.join(copies, "_key", "left_anti")
+    if not keys.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

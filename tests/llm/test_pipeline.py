@@ -33,3 +33,12 @@ def test_stages_against_brute_force(spark, corpus, tmp_path):
     assert all(len(r.ids) == r.n_tokens for r in e)
     for k in range(4):
         assert [f.name for f in spark.read.parquet(f"{tmp_path}/{k}").schema] == list(corpus_pipeline.COLUMNS)
+
+
+def test_near_duplicates_without_id_and_repeated(spark, tmp_path):
+    """One row a group stays: of copies without ids, of rows repeated with their id, of texts that share an id."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = text(1) + " more"
+    rows = [(None, text(0)), (None, text(0)), (None, text(1)), (7, near), (8, text(2)), (8, text(2)), (9, text(3)), (9, text(4)), (3, text(4)), (None, text(5))]
+    found = step(spark, 1, [(i, t, "en", "s", len(t)) for i, t in rows], tmp_path)
+    assert sorted(((r[0], r[1]) for r in found), key=str) == sorted([(None, text(0)), (7, near), (8, text(2)), (9, text(3)), (3, text(4)), (None, text(5))], key=str)
