@@ -207,3 +207,8 @@ def test_streams(spark, tmp_path):
     assert len(run(streams.first_results(stream), "append", "firsts")) == 1
     assert run(streams.running_summary(stream), "complete", "summary")[0].n == 3
     assert run(streams.retry_state(stream, limit=3), "update", "retries")[-1][2:] == (3, True)
+
+
+def test_depth_of_a_long_chain(spark):
+    found = {r.node: r.depth for r in graph.depth(edges(spark, [(f"n{k + 1}", f"n{k}") for k in range(205)])).collect()}
+    assert found == {f"n{k}": float(k) for k in range(206)}
