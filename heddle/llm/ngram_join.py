@@ -175,9 +175,9 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
 RATE = 1 << 20
 
 
-def sampled_below(num: int, den: int) -> int:
-    """n-grams whose hash is below this, modulo RATE, are sampled: 1.6 times the share that a prefix has of its set."""
-    return min(RATE, -(-8 * RATE * (den - num) // (5 * den)))
+def sampled_below(num: int, den: int, times: float) -> int:
+    """n-grams whose hash is below this, modulo RATE, are sampled: so many times the share that a prefix has of its set."""
+    return min(RATE, math.ceil(times * RATE * (den - num) / den))
 
 
 def digests(docs: DataFrame, n: int, below: int) -> DataFrame:
@@ -340,7 +340,7 @@ def centred(post: DataFrame) -> DataFrame:
 def only_among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
     """docs whose id may be among ids: a bitmap of hashed ids (8 MB at most, whatever the number) goes to all tasks.
 
-    It lets some others through; it saves shuffling the texts of most documents that the join after it would drop.
+    It lets some others through; it saves shuffling the texts or sets of most documents that the join after it would drop.
     """
     spark = docs.sparkSession
     bits = 1 << 10
@@ -359,23 +359,24 @@ def only_among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> Dat
 
 def _joined(opened: DataFrame, jobs: DataFrame) -> DataFrame:
     """jobs(id, j1, j2, j3, ...) with the sets of their documents."""
-    return opened.select("id", "set").join(jobs, "id")
+    return only_among(opened.select("id", "set"), jobs.select("id").distinct()).join(jobs, "id")
 
 
 def _blocks_of(rows: DataFrame, block_rows: int, block_items: int) -> Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_items), F.lit(1)).cast("bigint").alias("nb")
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, block_rows: int = 1024, block_items: int = 4_000_000, common_from: int = 64, common_most: int = 65_536) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100, block_rows: int = 512, block_items: int = 2_000_000, common_from: int = 64, common_most: int = 65_536, sample: float = 2.4) -> DataFrame:
     """id_col, n_shingles, component_id for every row of docs; sets link where den * |common| >= num * |union|.
 
     common_from, common_most: n-grams of so many sets, and at most so many of the most common, are known to be shared
-    without being shuffled, and end the global order; what is on that list changes no link.
+    without being shuffled, and end the global order; what is on that list changes no link.  sample: a set is left out at
+    the first step if a share of 1 / sample of its n-grams is its own; a greater one leaves out more sets, and counts more n-grams.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     named = docs.filter("id is not null")
-    below = sampled_below(num, den)
+    below = sampled_below(num, den, sample)
     sets = stage(digests(docs, n, below), "nj-sets")
 
     # Classes of equal sets; a class is shown by its smallest id.
@@ -393,7 +394,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = meet.join(blocks, "c").filter("id <> c").select("id", F.col("c").alias("j1"), F.pmod(F.xxhash64("id"), F.col("nb")).alias("j2"))
     centres = blocks.select(F.col("c").alias("id"), F.col("c").alias("j1"), F.explode(F.sequence(zero, F.col("nb") - 1)).alias("j2"))
     jobs = own.unionByName(centres).select("id", "j1", "j2", zero.alias("j3"), F.col("id").alias("comp"), yes.alias("probe"), yes.alias("stored"))
-    links = stage(_blocks(_joined(opened, jobs), num, den), "nj-links")
+    links = stage(_blocks(_joined(opened, stage(jobs, "nj-jobs")), num, den), "nj-links")
     label = stage(components(links), "nj-label")
 
     # Sets of different components that share an element meet again, around the element's smallest id: every block of such
