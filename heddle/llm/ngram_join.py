@@ -383,7 +383,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes, rows = set_classes(sets, common_ngrams(sets, "sample", common_from, common_most))
     classes = stage(classes, "nj-class")
     ids = stage(open_sets(classes, rows, num, den), "nj-open")
-    opened = only_among(named, ids).join(ids, "id").select("id", ngram_set(F.col("text"), n).alias("set")).filter(F.size("set") > 0)
+    opened = only_among(named, ids).join(ids, "id").select("id", ngram_set(F.col("text"), n).alias("set"))
     opened = stage(opened.select("id", F.hash("set").alias("s"), "set"), "nj-open-sets")
     post = stage(centred(stage(prefixes(opened, num, den, common_from, common_most), "nj-prefix")), "nj-post")
 
