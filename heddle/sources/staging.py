@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,26 +23,52 @@ def staged_by(paths: list[str]) -> Iterator[None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder; a local one only where neither is set."""
+    """spark.checkpoint.dir, or the context's checkpoint folder; a folder under /tmp if neither is set and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = java.get() if java.isDefined() else "file:///tmp/checkpoints/heddle"
+        if java.isDefined():
+            found = java.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = "file:///tmp/checkpoints/heddle"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     return found.rstrip("/")
 
 
+def noted(path: str) -> str:
+    """path, which is staged data from now on."""
+    for paths in (_staged, *_also):
+        paths.append(path)
+    return path
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/heddle-{tag}-{uuid.uuid4().hex}"
+    path = noted(f"{shared_dir(df.sparkSession)}/heddle-{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    for paths in (_staged, *_also):
-        paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what stage() has written; results that read it must be saved before."""
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes staged data that no plan reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in list(paths):
+        for known in (_staged, *_also):
+            if path in known:
+                known.remove(path)
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables; what was made of them must be staged or saved by now."""
+    for table in tables:
+        delete(table.sparkSession, [table.staged_at])
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that is staged; results that read it must be saved before."""
+    delete(spark, _staged)
