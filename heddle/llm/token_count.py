@@ -5,7 +5,8 @@ tier two is a bounded cache on each worker, which encodes what the table lacks.
 table comes from bounded summaries, one per task.
 
 A pre-token is what stands between two single spaces.  No piece of the vocabulary has a space after another character
-(the worker checks this), so merges never cross the cut and the lengths add up.
+(the worker checks this), so merges never cross the cut and the lengths add up.  Runs of spaces can be one piece, and the
+model takes U+2581 for a space: a text with two spaces side by side, or with that character, is encoded as a whole.
 
 Defined results: a null text counts as empty, with 0 tokens and 0 bytes.  One row per row of the table, repeated or not;
 an empty table gives an empty result; extra columns are ignored.
@@ -47,7 +48,7 @@ class PieceCounter:
         if not text:
             return 0
         chunks = text.split(" ")
-        if "" in chunks:  # runs of spaces can be pieces
+        if "" in chunks or SPACE in text:  # runs of spaces can be pieces
             return len(self.model.encode(text))
         near = self.lengths
         found = [table.get(c) or near.get(c) for c in chunks]

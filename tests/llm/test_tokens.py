@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -39,6 +39,15 @@ def test_decode_any_ids_like_the_library(ids):
 
 
 @settings(max_examples=400, deadline=None)
+@example("▁ ▁ ▁")
+@example("▁▁ ▁")
+@example("▁ ▁")
+@example("a ▁ ▁ b")
+@example("bar ▁▁▁▁ ▁▁▁ chart")
+@example("▁")
+@example(" ▁")
+@example("a▁ b")
+@example("a ▁b")
 @given(TEXTS)
 def test_piece_counts_like_the_library(text):
     assert token_count.counter(PIECES).text(text, {}) == len(MODEL.encode(text))
