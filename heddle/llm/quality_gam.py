@@ -7,7 +7,8 @@ sum of one table entry per feature and per pair, looked up for whole columns at
 The model is fitted on the driver, on at most max_rows labelled documents (the smallest hashes of their ids), which is a
 parameter; features and scores cover all documents.  Defined results: null and blank texts have all features 0 and are
 scored like others; a document without id counts as held out.  Labels that are null or of unknown documents are not
-learned from; several labels of one document count by their mean.  Without labels every score is 0.5.  Rows are scored
+learned from; several labels of one document count by their mean; of several rows
+with one id the one with the least features is learned from.  Without labels every score is 0.5.  Rows are scored
 each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -165,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     rows = stage(feature_rows(docs, id_col, text), "gam-features")
     fold = F.coalesce(F.crc32(F.col("id").cast("string")) % folds, F.lit(0))
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("double").alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
-    learn = rows.filter(fold != 0).dropDuplicates(["id"]).join(known, "id").select("id", "x", "y")
+    learn = rows.filter(fold != 0).join(known, "id").groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     n = learn.count()
     if n > max_rows:  # a hash lets through a few more than the bound, whatever the number of tasks
         learn = learn.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.1 * max_rows / n + 1e-3)))
