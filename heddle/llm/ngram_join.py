@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import small_batches, stage, words
+from heddle.llm.common import discard, marked, most_common, small_batches, stage, words
 from heddle.llm.components import components
 
 UPPER = "".join(map(chr, range(65, 91)))
@@ -209,31 +209,6 @@ def flat_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.repeat(np.arange(len(lists)), np.diff(offsets))
 
 
-def common_ngrams(sets: DataFrame, column: str, least: int, most: int) -> list[int]:
-    """At most so many n-grams that are in many arrays of column, the most common first, by counts of those that a task meets twice or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def counted() -> pa.RecordBatch:
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(t[c > 1]), pa.array(c[c > 1].astype(np.int64))], names=["t", "c"])
-
-        for batch in batches:
-            held.append(batch.column(column).flatten().to_numpy(zero_copy_only=False))
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield counted()
-                held, size = [], 0
-        if held:
-            yield counted()
-
-    seen = sets.select(column).mapInArrow(run, "t bigint, c bigint")
-    counts = seen.groupBy("t").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    return [r["t"] for r in counts.orderBy(F.desc("c"), "t").limit(most).collect()]
-
-
 def set_classes(sets: DataFrame, common: list[int]) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (n, k1, k2, rep, own, copies), and the rows (k1, t) of their sampled n-grams that are not common.
 
@@ -288,7 +263,7 @@ def prefixes(opened: DataFrame, num: int, den: int, common_from: int, common_mos
     The order is: by the number of sets that hold the element, then by hash; those on the list come last, the most common
     at the end.  The list is bounded, so it goes to all tasks; what is not on it is no large share of all rows.
     """
-    common = common_ngrams(opened, "set", common_from, common_most)
+    common = most_common(opened, "set", common_from, common_most)
     rank = {t: -i for i, t in enumerate(common)}
     by_hash = np.array(sorted(common), dtype=np.int64)
     last = opened.sparkSession.sparkContext.broadcast((by_hash, np.array([rank[t] for t in by_hash.tolist()], dtype=np.int64)))
@@ -337,24 +312,9 @@ def centred(post: DataFrame) -> DataFrame:
     return cold.unionByName(hot)
 
 
-def only_among(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """docs whose id may be among ids: a bitmap of hashed ids (8 MB at most, whatever the number) goes to all tasks.
-
-    It lets some others through; it saves shuffling the texts or sets of most documents that the join after it would drop.
-    """
-    spark = docs.sparkSession
-    bits = 1 << 10
-    n = ids.count()
-    while bits < 16 * n and bits < most_bits:
-        bits *= 2
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words_set = ids.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    table = [0] * (bits // 64)
-    for r in words_set:
-        table[r["w"]] = r["b"]
-    one = spark.createDataFrame([(table,)], "_bits array<bigint>")
-    hit = F.expr(f"(get(_bits, cast(shiftright(pmod(xxhash64(id), {bits}L), 6) as int)) & shiftleft(1L, cast(pmod(xxhash64(id), 64L) as int))) <> 0")
-    return docs.crossJoin(F.broadcast(one)).filter(hit).drop("_bits")
+def only_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose id may be among ids."""
+    return marked(docs.withColumn("key", F.col("id")), ids.select(F.col("id").alias("key"))).filter("_maybe").drop("key", "_maybe")
 
 
 def _joined(opened: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -380,12 +340,16 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sets = stage(digests(docs, n, below), "nj-sets")
 
     # Classes of equal sets; a class is shown by its smallest id.
-    classes, rows = set_classes(sets, common_ngrams(sets, "sample", common_from, common_most))
+    classes, rows = set_classes(sets, most_common(sets, "sample", common_from, common_most))
     classes = stage(classes, "nj-class")
     ids = stage(open_sets(classes, rows, num, den), "nj-open")
+    slim = stage(sets.drop("sample"), "nj-digests")
+    discard(sets)
     opened = only_among(named, ids).join(ids, "id").select("id", ngram_set(F.col("text"), n).alias("set"))
     opened = stage(opened.select("id", F.hash("set").alias("s"), "set"), "nj-open-sets")
-    post = stage(centred(stage(prefixes(opened, num, den, common_from, common_most), "nj-prefix")), "nj-post")
+    prefix = stage(prefixes(opened, num, den, common_from, common_most), "nj-prefix")
+    post = stage(centred(prefix), "nj-post")
+    discard(ids, prefix)
 
     # Meetings: a set goes where the smallest id is that it shares an element with; that one is in all blocks there.
     zero, yes = F.lit(0).cast("bigint"), F.lit(True)
@@ -394,7 +358,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = meet.join(blocks, "c").filter("id <> c").select("id", F.col("c").alias("j1"), F.pmod(F.xxhash64("id"), F.col("nb")).alias("j2"))
     centres = blocks.select(F.col("c").alias("id"), F.col("c").alias("j1"), F.explode(F.sequence(zero, F.col("nb") - 1)).alias("j2"))
     jobs = own.unionByName(centres).select("id", "j1", "j2", zero.alias("j3"), F.col("id").alias("comp"), yes.alias("probe"), yes.alias("stored"))
-    links = stage(_blocks(_joined(opened, stage(jobs, "nj-jobs")), num, den), "nj-links")
+    first_jobs = stage(jobs, "nj-jobs")
+    links = stage(_blocks(_joined(opened, first_jobs), num, den), "nj-links")
     label = stage(components(links), "nj-label")
 
     # Sets of different components that share an element meet again, around the element's smallest id: every block of such
@@ -406,7 +371,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     several = here.groupBy("t", "hot").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b")
     cold = here.filter("not hot").join(several.filter("not hot").select("t"), "t")
     hot = here.filter("hot").join(F.broadcast(several.filter("hot").select("t")), "t")
-    again = stage(cold.unionByName(hot).groupBy("c", "id").agg(F.max("comp").alias("comp"), F.max("n").alias("n")), "nj-again")
+    again = met = stage(cold.unionByName(hot).groupBy("c", "id").agg(F.max("comp").alias("comp"), F.max("n").alias("n")), "nj-again")
     alone = again.groupBy("c").agg(_blocks_of(again, block_rows, block_items)).filter("nb > 1").select("c", yes.alias("large"))
     step = 1.000001 * math.log(den / num) if num < den else 1e-6
     again = again.join(alone, "c", "left").withColumn("step", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(zero))
@@ -423,12 +388,16 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lower = again.select("id", "c", "comp", (F.col("step") - 1).alias("step"), "b").join(blocks, ["c", "step"]).select("id", "c", "comp", "step", "b", every(F.col("nb")))
     lower = lower.select("id", "c", number("step", F.col("o")).alias("j2"), number(F.col("step") + 1, F.col("b")).alias("j3"), "comp", (~yes).alias("probe"), yes.alias("stored"))
     jobs = same.unionByName(upper).unionByName(lower).withColumnRenamed("c", "j1")
-    more = stage(_blocks(_joined(opened, stage(jobs, "nj-jobs")), num, den), "nj-more")
+    jobs = stage(jobs, "nj-jobs")
+    more = stage(_blocks(_joined(opened, jobs), num, den), "nj-more")
+    discard(opened, first_jobs, jobs, links, post, meet, here, met)
     # Links between components join them; the components' own labels stand for all their members.
     joint = more.join(size.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(size.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
     merged = stage(components(joint.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "nj-merged")
     final = size.join(merged, size["comp"] == merged["node"], "left").select(F.col("id").alias("rep"), F.coalesce("label", "comp").alias("label"))
 
     of_class = classes.join(final.distinct(), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-    out = sets.select("id", "n", "k1", "k2").join(of_class, ["n", "k1", "k2"], "left")
+    of_class = stage(of_class, "nj-classes")
+    discard(classes, label, size, merged, more)
+    out = slim.join(of_class, ["n", "k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
