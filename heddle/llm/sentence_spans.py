@@ -12,7 +12,7 @@ case, by a 128-bit hash.
 
 Defined results: a null text stays null, an empty one empty, both with no sentence.  Equal rows (same id and text) are
 one document, and get the same result each.  Rows with a null id come first in the order.  An empty table gives an empty
-result.  Other columns are carried along.
+result.  Other columns are carried along, whatever their names; n_sentences, n_removed and removed are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import small_batches, stage
+from heddle.llm.common import discard, marked, most_common, small_batches, stage
 
 SENTENCE = r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+"
 ENDS = re.compile(r"[.!?\n]")
@@ -111,44 +111,62 @@ def spans(docs: DataFrame, min_sentences: int, min_words: int, long_words: int)
     return docs.mapInArrow(run, "id bigint, th bigint, a int, b int, h1 bigint, h2 bigint")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_sentences: int = 2, min_words: int = 12, long_words: int = 25) -> DataFrame:
+def later_runs(all_spans: DataFrame, common_from: int, common_most: int) -> DataFrame:
+    """id, th, a, b of the runs that are not the first with their hash, by id, then th, then place.
+
+    Runs that are among the most common ones are not shuffled: their first places are aggregated in each task, and go to
+    all tasks (a bounded list).  No other hash is a large share of the rows, so the rest is dealt out by hash, once.
+    """
+    spark = all_spans.sparkSession
+    common = most_common(all_spans, "h1", common_from, common_most)
+    place = F.struct("id", "th", "a")
+    listed = F.broadcast(spark.createDataFrame([(h,) for h in common], "h1 bigint"))
+    hot = all_spans.join(listed, "h1", "left_semi")
+    first = hot.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    hot = hot.join(F.broadcast(first), ["h1", "h2"])  # hashes of the list, a second half of 64 bits apart
+    same = Window.partitionBy("h1", "h2")
+    cold = all_spans.join(listed, "h1", "left_anti").withColumn("first", F.min(place).over(same))
+    return hot.unionByName(cold).filter(place != F.col("first")).select("id", "th", "a", "b")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_sentences: int = 2, min_words: int = 12, long_words: int = 25, common_from: int = 64, common_most: int = 65_536) -> DataFrame:
     """docs with repeated sentences removed from text, n_sentences, n_removed and removed array<struct<a, b>> (sentences a to b - 1).
 
-    The first occurrence of a run is a minimum that is aggregated before it is shuffled.  Only runs that occur twice are
-    joined back to their occurrences; where one run makes a large share of them, adaptive execution splits its partition.
+    common_from, common_most: runs met so often, and at most so many of the most common, are not shuffled; what is on that
+    list changes no result.  Texts of which nothing goes are not shuffled either, as far as a bitmap can tell.
     """
     small_batches(docs.sparkSession)
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_th": key})
-    all_spans = stage(spans(keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col(text).alias("text")), min_sentences, min_words, long_words), "spans")
-    place = F.struct("id", "th", "a")
-    # All occurrences count; equal rows give equal places, so the least and the greatest place tell whether there are two.
-    first = all_spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
-    later = all_spans.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter(place != F.col("first"))
-    gone = later.select("id", "th", F.struct("a", "b").alias("r")).distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list("r")).alias("removed"))
-    gone = stage(gone, "spans-gone")  # per document, no more than its sentences
-    gone = gone.select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), F.col("removed").alias("_r"))
-    joined = keyed.join(gone, keyed["_id"].eqNullSafe(gone["_gid"]) & (keyed["_th"] == gone["_gth"]), "left").drop("_id", "_th", "_gid", "_gth")
     columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed")]
-    fields = {f.name: f.dataType for f in docs.schema}
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    t = F.col(f"`{text}`")
+    keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.coalesce(t, F.lit("")), t.isNull()).alias("th"), t.alias("text"), whole)
+    all_spans = stage(spans(keyed.select("id", "th", "text"), min_sentences, min_words, long_words), "spans")
+    gone = later_runs(all_spans, common_from, common_most).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("removed"))
+    gone = stage(gone.withColumn("key", F.xxhash64("id", "th")), "spans-gone")  # per document, no more than its sentences
+    discard(all_spans)
+    keyed = marked(keyed.select("id", "th", "row").withColumn("key", F.xxhash64("id", "th")), gone.select("key"))
+    cut = keyed.filter("_maybe").alias("k").join(gone.alias("g"), F.expr("k.key = g.key and k.th = g.th and k.id <=> g.id"), "left").select("row", "removed")
+    kept = keyed.filter("not _maybe").select("row", F.lit(None).cast("array<struct<a:int,b:int>>").alias("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, cut = [], [], []
-            for t, spans_gone in zip(batch.column(text).to_pylist(), batch.column("_r").to_pylist(), strict=True):
+            rows = dict(zip(columns, batch.column("row").flatten(), strict=True))
+            texts, n, n_cut = [], [], []
+            for t, spans_gone in zip(rows[text].to_pylist(), batch.column("removed").to_pylist(), strict=True):
                 parts = sentences(t, long_words) if t else []
                 n.append(len(parts))
                 if not spans_gone:
                     texts.append(t)
-                    cut.append(0)
+                    n_cut.append(0)
                     continue
                 keep = [True] * len(parts)
                 for r in spans_gone:
                     keep[r["a"] : r["b"]] = [False] * (r["b"] - r["a"])
                 texts.append("".join(p for p, k in zip(parts, keep, strict=True) if k))
-                cut.append(keep.count(False))
-            arrays = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), batch.column("_r")], names=[*columns, "n_sentences", "n_removed", "removed"])
+                n_cut.append(keep.count(False))
+            rows[text] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.values(), pa.array(n, pa.int64()), pa.array(n_cut, pa.int64()), batch.column("removed")], names=[*columns, "n_sentences", "n_removed", "removed"])
 
-    schema = ", ".join([*(f"`{c}` {fields[c].simpleString()}" for c in columns), "n_sentences bigint, n_removed bigint, removed array<struct<a:int,b:int>>"])
-    return joined.select(*columns, "_r").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in columns), "n_sentences bigint, n_removed bigint, removed array<struct<a:int,b:int>>"])
+    return cut.unionByName(kept).mapInArrow(run, schema)
