@@ -5,8 +5,9 @@ vector of a block.  A query adds the slices, weighted by its own components, wit
 the slices of all scores at once; the best k are taken from the most significant slice downward, and rows that tie at
 the boundary are resolved by id.
 
-Defined results: vectors that are null, empty, of another length than most, or hold a null or non-finite component
-take no part, neither do rows without id.  Repeated ids are candidates each.  Fewer than k candidates give fewer rows;
+Defined results: vectors that are null or hold a null or non-finite component take no part, neither do rows without id.
+Vectors of different lengths have no inner product: a query's candidates are those of its own length (empty vectors score
+0 with each other).  Repeated ids are candidates each.  Fewer than k candidates give fewer rows;
 an empty table gives none.  Extra columns are ignored.
 """
 
@@ -16,19 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import small_batches, stage
+from heddle.llm.common import discard, small_batches, stage
 
-INDEX_SCHEMA = "block bigint, ids binary, low binary, bits binary, slices binary"
-QUERY_SCHEMA = "ids binary, vectors binary"
+INDEX_SCHEMA = "d int, ids binary, low binary, bits binary, slices binary"
+QUERY_SCHEMA = "q_d int, q_ids binary, q_vectors binary"
 RESULT_SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantise(x: Column, scale: int = 1024) -> Column:
     """floor(scale * component) as bigint, null for a vector with a null or non-finite component."""
-    ok = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
+    ok = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     return F.when(ok, F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("bigint")))
 
 
@@ -123,25 +125,32 @@ def search_block(ids: np.ndarray, low: np.ndarray, slices: list[list[np.ndarray]
             yield qid, int(ids[r]), const + sum(1 << w for w, s in enumerate(score) if int(s[r >> 6]) >> (r & 63) & 1)
 
 
-def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), -1)
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors (of one length) of up to 2 * most rows at a time; at most 4 * most rows are held."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    n: dict[int, int] = {}
 
+    def block(d: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = held.pop(d)
+        n.pop(d)
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
     for batch in batches:
-        if batch.num_rows:
-            ids, v = _vectors(batch)
-            for at in range(0, len(ids), most):
-                held.append((ids[at : at + most], v[at : at + most]))
-                n += len(held[-1][0])
-                if n >= most:
-                    yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-                    held, n = [], 0
-    if held:
-        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size := pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False).astype(np.int64))
+        flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for d in np.unique(size).tolist():
+            rows = np.flatnonzero(size == d)
+            for at in range(0, len(rows), most):
+                r = rows[at : at + most]
+                held.setdefault(d, []).append((ids[r], flat[(ends[r] - d)[:, None] + np.arange(d)]))
+                n[d] = n.get(d, 0) + len(r)
+                if n[d] >= most:
+                    yield block(d)
+        while sum(n.values()) > 4 * most:
+            yield block(max(n, key=n.get))
+    for d in list(held):
+        yield block(d)
 
 
 def build_index(vectors: DataFrame, block_rows: int = 16_384) -> DataFrame:
@@ -150,7 +159,7 @@ def build_index(vectors: DataFrame, block_rows: int = 16_384) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, v in _gathered(batches, block_rows):
             x = slice_block(ids, v)
-            yield pa.RecordBatch.from_pylist([{"block": int(ids.min())} | x], schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("low", pa.binary()), ("bits", pa.binary()), ("slices", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([{"d": v.shape[1]} | x], schema=pa.schema([("d", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("bits", pa.binary()), ("slices", pa.binary())]))
 
     return vectors.mapInArrow(blocks, INDEX_SCHEMA)
 
@@ -165,20 +174,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     small_batches(spark, 8192)
     quantised = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), quantise(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null")
     all_rows, asked = stage(quantised(vectors), "bsi-rows"), quantised(queries)
-    shape = all_rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if shape is None:
+    n = all_rows.count()
+    if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    same = F.size("v") == shape["d"]
-    parts = max(1, -(-shape["count"] // block_rows))
-    index = stage(build_index(all_rows.filter(same).repartition(parts), block_rows), "bsi-index")
+    parts = max(1, -(-n // block_rows))
+    index = stage(build_index(all_rows.repartition(parts), block_rows), "bsi-index")
+    discard(all_rows)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, v in _gathered(batches, query_rows):
-            yield pa.RecordBatch.from_pylist([{"ids": ids.tobytes(), "vectors": v.tobytes()}], schema=pa.schema([("ids", pa.binary()), ("vectors", pa.binary())]))
+            row = {"q_d": v.shape[1], "q_ids": ids.tobytes(), "q_vectors": v.tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("q_d", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary())]))
 
-    asked = stage(asked.filter(same), "bsi-asked")
-    n_asked = asked.count()
-    groups = stage(asked.repartition(max(1, -(-n_asked // query_rows))).mapInArrow(gather, QUERY_SCHEMA), "bsi-queries")
+    asked = stage(asked, "bsi-asked")
+    groups_wanted = max(1, -(-asked.count() // query_rows))
+    groups = stage(asked.repartition(groups_wanted).mapInArrow(gather, QUERY_SCHEMA), "bsi-queries")
+    discard(asked)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +206,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     # A task is one partition of blocks beside one of query groups; neither side is broadcast.
-    groups = groups.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).repartition(max(1, -(-n_asked // query_rows)))
-    pairs = index.repartition(parts).hint("shuffle_replicate_nl").crossJoin(groups)
+    groups = groups.repartition(groups_wanted)
+    pairs = index.repartition(parts).hint("shuffle_replicate_nl").join(groups, F.col("d") == F.col("q_d"))
     hits = pairs.mapInArrow(meet, RESULT_SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

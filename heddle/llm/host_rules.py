@@ -4,7 +4,8 @@ Every document is measured; rule failures are counted by host, the hosts' rates
 empirical beta prior, and the verdict on its host is joined back to each document.
 
 Defined results: a null text has no words, so it fails the base rule.  A null host is a host of its own.
-Repeated rows are measured and counted each.  An empty table gives an empty result.  Extra columns are ignored.
+Repeated rows are measured and counted each.  An empty table gives an empty result.
+Other columns are carried along, whatever their names, but for those that the result adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,14 +28,26 @@ def _repeat_words(w: Column, n: int) -> tuple[Column, Column]:
     return hashed, window
 
 
+def packed(docs: DataFrame, more: dict[str, str]) -> DataFrame:
+    """The columns of docs as one struct, _row, and those named in more beside it, so that no name of the caller's clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[F.col(f"`{c}`").alias(k) for k, c in more.items()])
+
+
+def unpacked(docs: DataFrame) -> DataFrame:
+    """The columns of _row, then those beside it, which replace columns of _row that have their names."""
+    beside = [c for c in docs.columns if c != "_row"]
+    return docs.select(*[F.col("_row")[c].alias(c) for c in docs.schema["_row"].dataType.names if c not in beside], *beside)
+
+
 def measures(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (bigint).
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (bigint), which replace columns of these names.
 
     A word counts as repeated if it lies in a window of so many words that the text holds twice or more;
     the windows are compared by a 64-bit hash within one text.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    hashed, windows_of = _repeat_words(words(F.col(text)), window)
+    t = F.coalesce(F.col("text"), F.lit(""))
+    docs = packed(docs, {"text": text})
+    hashed, windows_of = _repeat_words(words(F.col("text")), window)
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACES}]")))
     out = docs.withColumns(
         {
@@ -68,7 +81,8 @@ def measures(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
         lambda s, i: F.struct((s["n"] + i + window - F.greatest(s["end"], i)).alias("n"), (i + window).alias("end")),
         lambda s: s["n"],
     )
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("_at")
+    out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("_at", "text")
+    return unpacked(out)
 
 
 def base_failed(min_words: int = 20, repeat_percent: int = 30) -> Column:
@@ -78,19 +92,19 @@ def base_failed(min_words: int = 20, repeat_percent: int = 30) -> Column:
 def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = 0.6) -> DataFrame:
     """One row per host: docs, failures, shrunk rate, host_kept.
 
-    The beta prior has the mean and (by moments) the spread of the hosts' raw rates, weighing each host alike;
-    its strength alpha + beta is kept between 1 and 1000.  A host is rejected if (failures + alpha) / (docs + alpha + beta)
-    exceeds max_rate.  Hosts are one row each: the only ungrouped aggregate is over partial sums of them.
+    The beta prior has the mean m of the hosts' raw rates, weighing each host alike, and (by moments) the part of their
+    spread that chance alone does not make: their variance less the mean of m (1 - m) / docs.  Its strength alpha + beta
+    is kept between 1 and 1000, and is 1000 if nothing is left.  A host is rejected if (failures + alpha) / (docs + alpha +
+    beta) exceeds max_rate.  Hosts are one row each: the only ungrouped aggregate is over partial sums of them.
     """
-    by_host = measured.groupBy(F.col(host).alias("_host")).agg(
+    by_host = measured.groupBy(F.col(f"`{host}`").alias("_host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed")
     )
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = by_host.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    spread = F.col("m") * (1 - F.col("m"))
-    prior = prior.withColumn(
-        "strength", F.when((F.col("v") > 0) & (spread > F.col("v")), F.least(F.lit(1000.0), F.greatest(F.lit(1.0), spread / F.nullif(F.col("v"), F.lit(0.0)) - 1))).otherwise(F.lit(1.0))
-    )
+    prior = by_host.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("raw"), F.avg(1 / F.col("n_docs")).alias("share"))
+    most = F.col("m") * (1 - F.col("m"))
+    prior = prior.withColumn("v", F.col("raw") - most * F.col("share"))
+    prior = prior.withColumn("strength", F.when(F.col("v") > 1e-12, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), most / F.col("v") - 1))).otherwise(F.lit(1000.0)))
     return by_host.crossJoin(F.broadcast(prior)).select(  # prior: one row
         "_host",
         "n_docs",
@@ -111,5 +125,6 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     m = stage(m if keep_text else m.drop(text), "rules")
     hosts = stage(host_verdicts(m, host, max_rate), "hosts")
     v = hosts.select("_host", "host_rate", "host_kept")
-    out = m.join(v, m[host].eqNullSafe(v["_host"]), "left").drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).drop("host_kept")
+    m = packed(m, {"base_failed": "base_failed", "host": host})
+    out = m.join(v, m["host"].eqNullSafe(v["_host"]), "left")
+    return unpacked(out.select("_row", "host_rate", (~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).alias("kept")))

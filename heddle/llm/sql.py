@@ -7,11 +7,11 @@ ORACLE_SQL = {
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
@@ -72,8 +72,9 @@ m AS (
   FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n_docs, sum(CAST(base_failed AS INTEGER)) AS n_failed FROM b GROUP BY source),
-p AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v FROM h),
-a AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1.0 END AS strength FROM p),
+p AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS raw, avg(1 / n_docs) AS share FROM h),
+v AS (SELECT m, m * (1 - m) AS most, raw - m * (1 - m) * share AS v FROM p),
+a AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(1.0, most / v - 1)) ELSE 1000.0 END AS strength FROM v),
 j AS (SELECT source, (n_failed + m * strength) / (n_docs + strength) AS host_rate FROM h, a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND host_rate <= 0.6 AS kept, round(host_rate, 6) AS host_rate

@@ -26,7 +26,8 @@ def judged(rows, max_rate):
     rates = [f / n for n, f in hosts.values()]
     mean = sum(rates) / len(rates)
     var = sum((x - mean) ** 2 for x in rates) / len(rates)
-    strength = min(1000, max(1, mean * (1 - mean) / var - 1)) if 0 < var < mean * (1 - mean) else 1
+    var -= mean * (1 - mean) * sum(1 / n for n, _ in hosts.values()) / len(hosts)  # what chance alone makes of it
+    strength = min(1000, max(1, mean * (1 - mean) / var - 1)) if var > 1e-12 else 1000
     ok = {s: (f + mean * strength) / (n + strength) <= max_rate for s, (n, f) in hosts.items()}
     return sorted(((r[0], *r[2:8], not r[-1] and ok[r[1]]) for r in base), key=str)
 
@@ -39,7 +40,8 @@ def test_rules(docs, corpus, max_rate):
 
     rows = corpus + extra
     out = host_rules.judge(make(docs.sparkSession, rows), max_rate=max_rate)
-    assert {"lang", "h1", "text", "host_rate"} <= set(out.columns)
+    assert {"lang", "h1", "text", "host_rate", "_host", "_h", "_p", "n_docs"} <= set(out.columns)
+    assert len(set(out.columns)) == len(out.columns) and out.filter("_host <> 'h' or _h <> 8 or _p <> 9 or host_rate = 0.5").isEmpty()
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in out.collect()), key=str) == judged(rows, max_rate)
 
 

@@ -9,12 +9,13 @@ def table(spark, rows):
 
 
 def brute(rows, k):
-    ok = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and len(v) == 6]
+    ok = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v, *_ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = {}
     for i, q in ok:
         if i % 100 == 0:
-            best = sorted((-int(q @ v), j) for j, v in ok if j != i)[:k]
-            out[i] = [(j, -s) for s, j in best]
+            best = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            if best:
+                out[i] = [(j, -s) for s, j in best]
     return out
 
 
@@ -46,3 +47,11 @@ def test_few_candidates_and_none(spark):
 def test_zero_vectors(spark):
     rows = [(i, [0.0] * 4, 1, 2) for i in range(30)]
     assert search(spark, rows, block_rows=7)[0] == [(i, 0) for i in range(1, 11)]
+
+
+def test_vectors_of_several_lengths(spark):
+    """A query's candidates are the vectors of its own length, however rare that is; empty ones score 0 with each other."""
+    rows = [(i, [0.5, i / 9], 1, 2) for i in range(3)] + [(100, [1.0], 1, 2), (101, [0.5], 1, 2), (200, [], 1, 2), (7, [], 1, 2), (300, [1.0] * 5, 1, 2)]
+    found = search(spark, rows)
+    assert found == brute(rows, 10)
+    assert found[100] == [(101, 1024 * 512)] and found[200] == [(7, 0)] and 300 not in found
