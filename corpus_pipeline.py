@@ -1,5 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicate removal, substring de-duplication, mixing, BPE.
 
+A stage's result may read tables that it has staged; they stay until run() has written that result, or release() is called.
+An empty table passes through all stages; rows without doc_id are documents like others; columns beside those of documents
+are left out.
+
 STAGES run one after the other over documents; each returns the columns of documents but the last, which returns the
 token ids of the documents that are left, as often as the mix takes them.
 """
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import bpe, host_rules, mixing, ngram_join, sentence_spans
-from heddle.llm.common import spent, stage, staged_by
+from heddle.sources.staging import delete, stage, staged_by
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the smallest id the one with the least row hash stays.  Equal rows, blank ones too, are one document and stay once.
     """
     keyed, keys = _row_keys(docs.select(*COLUMNS))
-    groups = ngram_join.join_components(keyed, id_col="_key", n=5, num=80, den=100)
+    groups = ngram_join.join_components(keyed, id_col="_key", n=5, num=80, den=100, sample=1.6)
     members = stage(groups.select("_key", "component_id").distinct().join(keys, "_key"), "near-members")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"].alias("_best"))
     copies = members.join(best, "component_id").filter("_key <> _best").select("_key")
@@ -73,26 +77,12 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("doc_id", "source"), with_ids=True)
 
 
-_used: list[str] = []
-
-
-def _tidy(step):
-    """step, which first deletes what the stage before has staged: its rows are written by then."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spent(spark, _used)
-        with staged_by(_used):
-            return step(spark, docs, sf_dir)
-
-    return run
-
-
 STAGES = [
-    ("quality rules", _tidy(quality_rules)),
-    ("n-gram Jaccard join", _tidy(near_duplicates)),
-    ("substring dedup", _tidy(substring_dedup)),
-    ("mixing sources to target weights", _tidy(mix_sources)),
-    ("BPE encoding and decoding", _tidy(byte_pairs)),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", byte_pairs),
 ]
 
 #: The span hashes and the encoder are beyond SQL; tests hold every stage's rows against a brute-force version.
@@ -100,8 +90,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written and read again before the next one starts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written and read again before the next one starts; what a stage has staged goes once they are."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), "pipeline")
+        made: list[str] = []
+        with staged_by(made):
+            out = step(spark, docs, sf_dir)
+        docs = stage(out, "pipeline")
+        delete(spark, before + made)
+        before = [docs.staged_at]
     return STAGES[-1][1](spark, docs, sf_dir)
