@@ -42,3 +42,29 @@ def test_near_duplicates_without_id_and_repeated(spark, tmp_path):
     rows = [(None, text(0)), (None, text(0)), (None, text(1)), (7, near), (8, text(2)), (8, text(2)), (9, text(3)), (9, text(4)), (3, text(4)), (None, text(5))]
     found = step(spark, 1, [(i, t, "en", "s", len(t)) for i, t in rows], tmp_path)
     assert sorted(((r[0], r[1]) for r in found), key=str) == sorted([(None, text(0)), (7, near), (8, text(2)), (9, text(3)), (3, text(4)), (None, text(5))], key=str)
+
+
+def test_stages_built_one_upon_the_other(spark, docs, no_docs, tmp_path):
+    """All stages over each other's plans, written at the end only: with null ids, repeated rows and extra columns; and of nothing."""
+    for k, start in enumerate((docs, no_docs)):
+        out, plans = start, []
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, "")
+            plans.append(out)
+        out.write.parquet(f"{tmp_path}/lazy{k}")
+        counts = [p.count() for p in plans]  # what the first stages have staged is still there
+        assert counts[-1] == spark.read.parquet(f"{tmp_path}/lazy{k}").count() and (counts[0] > 20) == (k == 0)
+        assert all(p.columns == list(corpus_pipeline.COLUMNS) for p in plans[:-1])
+
+
+def test_run_like_its_stages(spark, corpus, tmp_path):
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in corpus]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for k in range(5):
+        docs = corpus_pipeline.STAGES[k][1](spark, docs, "")
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    key = lambda d: sorted(map(str, d.select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    assert key(found) == key(docs)
