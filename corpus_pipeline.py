@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import bpe, host_rules, mixing, ngram_join, sentence_spans
+from heddle.llm.common import marked
 from heddle.sources.staging import delete, stage, staged_by
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -50,10 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = stage(groups.select("_key", "component_id").distinct().join(keys, "_key"), "near-members")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"].alias("_best"))
     copies = members.join(best, "component_id").filter("_key <> _best").select("_key")
-    kept = keyed.join(copies, "_key", "left_anti")
-    if not keys.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
-    return kept.select(*COLUMNS)
+    touched = stage(copies.unionByName(keys.filter("n > 1").select("_key")).distinct().withColumnRenamed("_key", "key"), "near-touched")
+    rows = marked(keyed.withColumn("key", F.col("_key")), touched)  # the other texts are not shuffled
+    once = rows.filter("_maybe").join(copies, "_key", "left_anti").dropDuplicates(["_key"])
+    return rows.filter("not _maybe").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
