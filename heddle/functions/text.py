@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -154,6 +155,22 @@ def indentation(c: Column) -> Column:
     return F.when(F.startswith(first, F.lit("    ")), "4_spaces").when(F.startswith(first, F.lit("  ")), "2_spaces").when(F.startswith(first, F.lit("\t")), "tabs").otherwise("unknown")
 
 
+def unused_imports(c: Column) -> Column:
+    """Whether a name that an import line brings is nowhere in the text, compared as text with single spaces."""
+    own = F.filter(F.transform(lines(c), strip), lambda x: x.startswith("import ") | x.startswith("from "))
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))
+    plain = lambda w: F.array(F.substring_index(F.get(w, 1), ".", 1))
+    after = lambda w: F.slice(w, F.array_position(w, "import").cast("int") + 1, F.size(w))
+    several = lambda w: F.when(F.array_contains(w, "import"), F.transform(F.split(F.array_join(after(w), " "), ",", -1), strip)).otherwise(F.array().cast("array<string>"))
+    names = F.flatten(F.transform(own, lambda x: F.when(x.startswith("import "), plain(words(x))).otherwise(several(words(x)))))
+    return F.exists(names, lambda n: ~F.contains(c, n))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def readability(c: Column) -> Column:
     own = F.filter(lines(c), lambda x: strip(x) != "")
     length = F.greatest(1 - (line_length(c) - 80) / 80, F.lit(0.0))
@@ -164,29 +181,33 @@ def readability(c: Column) -> Column:
 def simple_complexity(c: Column, language: str = "python") -> Column:
     """Struct of the line-based complexity measures of a file."""
     p = W.CODE_PATTERNS.get({"typescript": "javascript"}.get(language, language), W.CODE_PATTERNS["python"])
-    own = F.array_join(filled_lines(c), "\n")
-    control, functions, classes = (matches(own, p[k]) for k in ("control", "functions", "classes"))
-    comments = F.size(F.filter(filled_lines(c), lambda x: reduce(lambda a, b: a | b, [F.rlike(x, F.lit("(?i)" + q)) for q in p["comments"]])))
-    operators = F.regexp_count(own, F.lit(r"[+\-*/=<>!&|%^~]"))
-    operands = F.regexp_count(own, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"))
-    n = n_filled_lines(c)
-    cc = (1 + control).cast("double")
-    mi = F.greatest(F.lit(0.0), 100 - 20 * (F.least(n / 100, F.lit(2.0)) + F.least(cc / 10, F.lit(2.0))))
+    comment = lambda x: reduce(lambda a, b: a | b, [F.rlike(x, F.lit("(?i)" + q)) for q in p["comments"]])
     zero, none = F.lit(0.0), F.lit(0)
-    blank = strip(c) == ""
-    pick = lambda x, z: F.when(blank, z).otherwise(x)
-    return F.struct(
-        pick(cc, zero).alias("cyclomatic_complexity"),
-        pick(mi, zero).alias("maintainability_index"),
-        pick((operators + operands).cast("double"), zero).alias("halstead_difficulty"),
-        pick(n_lines(c), none).alias("lines_of_code"),
-        pick(n, none).alias("logical_lines"),
-        pick(comments, none).alias("comment_lines"),
-        pick(functions, none).alias("function_count"),
-        pick(classes, none).alias("class_count"),
-        pick(n, none).alias("nloc"),
-        F.lit(language).alias("language"),
-    )
+
+    def measured(own_lines: Column, own: Column) -> Column:
+        control, functions, classes = (matches(own, p[k]) for k in ("control", "functions", "classes"))
+        operators = F.regexp_count(own, F.lit(r"[+\-*/=<>!&|%^~]"))
+        operands = F.regexp_count(own, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"))
+        n = F.size(own_lines)
+        return F.struct((1 + control).cast("double").alias("cc"), (operators + operands).cast("double").alias("halstead"), n.alias("n"), F.size(F.filter(own_lines, comment)).alias("comments"), functions.alias("functions"), classes.alias("classes"), (own == "").alias("blank"))
+
+    def named(m: Column) -> Column:
+        pick = lambda x, z: F.when(m["blank"], z).otherwise(x)
+        mi = F.greatest(F.lit(0.0), 100 - 20 * (F.least(m["n"] / 100, F.lit(2.0)) + F.least(m["cc"] / 10, F.lit(2.0))))
+        return F.struct(
+            pick(m["cc"], zero).alias("cyclomatic_complexity"),
+            pick(mi, zero).alias("maintainability_index"),
+            pick(m["halstead"], zero).alias("halstead_difficulty"),
+            pick(n_lines(c), none).alias("lines_of_code"),
+            pick(m["n"], none).alias("logical_lines"),
+            pick(m["comments"], none).alias("comment_lines"),
+            pick(m["functions"], none).alias("function_count"),
+            pick(m["classes"], none).alias("class_count"),
+            pick(m["n"], none).alias("nloc"),
+            F.lit(language).alias("language"),
+        )
+
+    return let(filled_lines(c), lambda x: let(F.array_join(x, "\n"), lambda own: let(measured(x, own), named)))
 
 
 def fallback_complexity(c: Column) -> Column:
@@ -232,12 +253,11 @@ def maintainability(c: Column) -> Column:
 
 def file_complexity(c: Column) -> Column:
     """Definitions, control words, error handling and imports per line, at most 1."""
-    def line_score(x: Column) -> Column:
-        low = F.lower(strip(x))
+    def line_score(low: Column) -> Column:
         part = lambda words, w: F.when(any_of(low, words), w).otherwise(0.0)
         return reduce(add, [part(words, w) for words, w in W.EFFORT_WORDS])
 
-    return F.least(ratio(F.aggregate(lines(c), F.lit(0.0), lambda a, x: a + line_score(x)), n_lines(c)), F.lit(1.0))
+    return F.least(ratio(F.aggregate(F.transform(lines(c), lambda x: F.lower(strip(x))), F.lit(0.0), lambda a, x: a + line_score(x)), n_lines(c)), F.lit(1.0))
 
 
 def file_type(path: Column) -> Column:

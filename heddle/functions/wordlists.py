@@ -216,4 +216,58 @@ JAVASCRIPT_IMPORTS = [r"import\s+.*\s+from\s+['\"]([^'\"]+)['\"]", r"import\s*\(
 GENERIC_IMPORTS = [r"#include\s*[<\"]([^>\"]+)[>\"]", r"using\s+([a-zA-Z_][a-zA-Z0-9_\.]*)", r"import\s+([a-zA-Z_][a-zA-Z0-9_\.]*)"]
 PYTHON_IMPORTS = [r"(?m)^\s*import\s+([a-zA-Z_][a-zA-Z0-9_\.]*)", r"(?m)^\s*from\s+([a-zA-Z_][a-zA-Z0-9_\.]*)\s+import"]
 GO_IMPORTS = [r"import\s+\"([^\"]+)\"", r"import\s+`([^`]+)`"]
+#: kind, name, weight, and the category that alone gets the test
+TEST_SUITE = [
+    ("compilation", "syntax_validation", 0.3, None),
+    ("compilation", "import_resolution", 0.2, None),
+    ("compilation", "type_checking", 0.2, None),
+    ("compilation", "api_endpoint_structure", 0.3, "feature_implementation"),
+    ("compilation", "refactor_consistency", 0.3, "cross_file_refactoring"),
+    ("unit", "function_signature_preservation", 0.25, None),
+    ("unit", "error_handling", 0.25, None),
+    ("unit", "input_validation", 0.25, None),
+    ("unit", "output_correctness", 0.25, None),
+    ("unit", "bug_fix_verification", 0.4, "bug_investigation"),
+    ("unit", "vulnerability_mitigation", 0.4, "security_analysis"),
+    ("integration", "module_integration", 0.3, None),
+    ("integration", "database_integration", 0.3, None),
+    ("integration", "api_integration", 0.4, None),
+    ("performance", "execution_time", 0.4, None),
+    ("performance", "memory_usage", 0.3, None),
+    ("performance", "scalability", 0.3, None),
+    ("security", "injection_prevention", 0.3, None),
+    ("security", "input_sanitization", 0.3, None),
+    ("security", "access_control", 0.4, None),
+]
+#: category: criteria with their points, weights of the metrics, multipliers of easy, medium, hard, expert
+RUBRICS = {
+    "architectural_understanding": ({"Pattern Recognition": 20, "Dependency Analysis": 20, "Component Relationships": 20, "Design Principles": 20, "Documentation Quality": 20}, {"ACS": 0.4, "DTA": 0.3, "CFRD": 0.2, "ICU": 0.1}, [1.0, 1.2, 1.5, 2.0]),
+    "cross_file_refactoring": ({"Code Quality": 25, "Cross-File Coordination": 25, "Backward Compatibility": 20, "Best Practices": 15, "Testing Integration": 15}, {"CFRD": 0.4, "ACS": 0.3, "IDC": 0.2, "DTA": 0.1}, [1.0, 1.3, 1.6, 2.2]),
+    "feature_implementation": ({"Functionality": 30, "Integration": 25, "Error Handling": 20, "Performance": 15, "Documentation": 10}, {"IDC": 0.4, "ACS": 0.3, "ICU": 0.2, "CFRD": 0.1}, [1.0, 1.4, 1.8, 2.5]),
+    "bug_investigation": ({"Problem Identification": 30, "Investigation Process": 25, "Code Analysis": 20, "Solution Quality": 15, "Impact Assessment": 10}, {"DTA": 0.4, "CFRD": 0.3, "ICU": 0.2, "ACS": 0.1}, [1.0, 1.3, 1.7, 2.3]),
+    "multi_session_development": ({"Session Planning": 25, "Context Retention": 25, "Incremental Progress": 20, "Integration Testing": 15, "Documentation Updates": 15}, {"MMR": 0.5, "IDC": 0.3, "ACS": 0.1, "ICU": 0.1}, [1.0, 1.5, 2.0, 3.0]),
+    "code_comprehension": ({"Code Understanding": 30, "Flow Analysis": 25, "Pattern Recognition": 20, "Complexity Assessment": 15, "Documentation Quality": 10}, {"ICU": 0.4, "CFRD": 0.3, "DTA": 0.2, "ACS": 0.1}, [1.0, 1.2, 1.5, 2.0]),
+    "integration_testing": ({"Test Coverage": 30, "Test Quality": 25, "Edge Cases": 20, "Test Organization": 15, "Performance Testing": 10}, {"CFRD": 0.4, "ICU": 0.3, "ACS": 0.2, "DTA": 0.1}, [1.0, 1.3, 1.6, 2.2]),
+    "security_analysis": ({"Vulnerability Identification": 35, "Risk Assessment": 25, "Remediation": 20, "Best Practices": 15, "Documentation": 5}, {"ICU": 0.4, "ACS": 0.3, "DTA": 0.2, "CFRD": 0.1}, [1.0, 1.4, 1.8, 2.5]),
+}
+CATEGORY_FOCUS = {
+    "architectural_understanding": "system design patterns, component relationships, and architectural decisions",
+    "cross_file_refactoring": "code restructuring across multiple files while maintaining functionality",
+    "feature_implementation": "adding new functionality that integrates well with existing code",
+    "bug_investigation": "systematic debugging, root cause analysis, and problem solving",
+    "multi_session_development": "incremental development over multiple sessions with context retention",
+    "code_comprehension": "deep understanding of complex code structures and logic",
+    "integration_testing": "testing interactions between components and system validation",
+    "security_analysis": "identifying security vulnerabilities and implementing security best practices",
+}
+OTHER_FOCUS = "software development best practices"
+AUTH_ERRORS = ["auth", "unauthorized", "forbidden", "invalid api key", "api key", "authentication failed", "credentials", "access denied", "token expired", "expiredtokenexception", "security token", "session token"]
+RETRYABLE_ERRORS = ["rate limit", "too many requests", "connection", "timeout", "network", "502", "503", "504", "internal error", "server error", "throttlingexception", "too many tokens"]
+THROTTLE_ERRORS = ["throttlingexception", "too many tokens"]
+#: first prefix that fits; all other models have TOKEN_LIMIT
+TOKEN_LIMITS = [("o1", 100000), ("o3", 100000), ("o4", 100000), ("gpt-5", 128000), ("gpt-4.1", 32768), ("gpt-4o", 16384), ("gpt-4-turbo", 16384), ("gemini-2.5-flash", 65000), ("gemini-2.5-pro", 64000), ("gemini-2.5", 32000)]
+TOKEN_LIMIT = 8192
+#: level: least and greatest number of files, least and greatest number of tokens
+PROJECT_SIZES = {"easy": (0, 15, 10000, 100000), "medium": (15, 40, 100000, 200000), "hard": (40, 80, 200000, 500000), "expert": (80, None, 500000, 1000000)}
+RETRIEVAL_LEVELS = ["hard", "expert"]
 # --- fixed values: end ---

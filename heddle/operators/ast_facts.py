@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,23 @@ FACTS = (
 )
 DEFENSIVE = ("is None", "is not None", "len(", "not ", "== 0", "!= 0")
 
+# --- fixed values: begin ---
+GO = {
+    "functions": r"func\s+(?:\([^)]*\)\s+)?(\w+)\s*\([^)]*\)",
+    "types": r"type\s+(\w+)\s+(?:struct|interface)",
+    "imports": [r'import\s+"([^"]+)"', r"import\s+`([^`]+)`"],
+    "variables": r"(?:var|:=)\s+(\w+)",
+    "branches": ["if", "for", "switch", "case", "select"],
+}
+JAVASCRIPT = {
+    "functions": [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>", r"(\w+)\s*:\s*(?:async\s+)?function\s*\(", r"(\w+)\s*\([^)]*\)\s*\{"],
+    "classes": r"class\s+(\w+)",
+    "imports": [r"import\s+.*\s+from\s+['\"]([^'\"]+)['\"]", r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"],
+    "variables": r"(?:const|let|var)\s+(\w+)",
+    "branches": ["if", "while", "for", "switch", "case", "catch"],
+}
+# --- fixed values: end ---
+
 
 def _doc(node: ast.AST) -> bool:
     body = getattr(node, "body", None)
@@ -115,26 +134,39 @@ def valid_imports(code: Column) -> Column:
     return run(code)
 
 
+def _per_line(c: Column, *patterns: str, first: bool = False) -> Column:
+    """The first group of each pattern's first match in each line; with first, of the first pattern that matches the line."""
+    hits = lambda x: F.filter(F.array(*[F.regexp_extract(x, p, 1) for p in patterns]), lambda h: h != "")
+    return F.flatten(F.transform(F.split(c, "\n", -1), lambda x: F.slice(hits(x), 1, 1) if first else hits(x)))
+
+
+def _branches(c: Column, words: list[str]) -> Column:
+    """1 and one for every line and word that the line holds."""
+    held = lambda x: reduce(add, [F.rlike(x, F.lit(rf"\b{w}\b")).cast("int") for w in words])
+    return F.aggregate(F.split(c, "\n", -1), F.lit(1), lambda n, x: n + held(x))
+
+
 def parse_go(c: Column) -> Column:
-    """Functions, types and imports of a Go file by line patterns."""
-    single = F.regexp_extract_all(c, F.lit(r'import\s+"([^"]+)"'), F.lit(1))
-    blocks = F.regexp_extract_all(c, F.lit(r"(?s)import\s+\(\s*([^)]+)\s*\)"), F.lit(1))
+    """Functions, types, imports (of one line), variables and complexity of a Go file by line patterns; one match a line."""
     return F.struct(
-        F.regexp_extract_all(c, F.lit(r"(?m)^\s*func\s+(?:\([^)]*\)\s*)?([a-zA-Z_]\w*)"), F.lit(1)).alias("functions"),
-        F.regexp_extract_all(c, F.lit(r"(?m)^\s*type\s+([a-zA-Z_]\w*)"), F.lit(1)).alias("types"),
-        F.concat(single, F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit('["`]([^"`]+)["`]'), F.lit(1))))).alias("imports"),
-        F.regexp_extract_all(c, F.lit(r"(?m)^\s*var\s+([a-zA-Z_]\w*)"), F.lit(1)).alias("variables"),
+        _per_line(c, GO["functions"]).alias("functions"),
+        _per_line(c, GO["types"]).alias("types"),
+        _per_line(c, *GO["imports"], first=True).alias("imports"),
+        _per_line(c, GO["variables"]).alias("variables"),
+        _branches(c, GO["branches"]).alias("complexity"),
+        F.size(F.split(c, "\n", -1)).alias("total_lines"),
     )
 
 
 def parse_javascript(c: Column) -> Column:
-    name = r"([a-zA-Z_$][\w$]*)"
-    found = lambda *ps: F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?m)" + p), F.lit(1)) for p in ps]))
+    """The same of a JavaScript or TypeScript file; a line's function is that of the first pattern that matches."""
     return F.struct(
-        found(rf"function\s+{name}", rf"(?:const|let|var)\s+{name}\s*=\s*(?:async\s*)?\([^)]*\)\s*=>", rf"^\s*(?:async\s+)?{name}\s*\([^)]*\)\s*\{{").alias("functions"),
-        found(rf"class\s+{name}").alias("classes"),
-        found(r"import\s+.*\s+from\s+['\"]([^'\"]+)['\"]", r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)").alias("imports"),
-        found(rf"(?:const|let|var)\s+{name}").alias("variables"),
+        _per_line(c, *JAVASCRIPT["functions"], first=True).alias("functions"),
+        _per_line(c, JAVASCRIPT["classes"]).alias("classes"),
+        _per_line(c, *JAVASCRIPT["imports"]).alias("imports"),
+        _per_line(c, JAVASCRIPT["variables"]).alias("variables"),
+        _branches(c, JAVASCRIPT["branches"]).alias("complexity"),
+        F.size(F.split(c, "\n", -1)).alias("total_lines"),
     )
 
 

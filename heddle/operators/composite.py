@@ -29,7 +29,7 @@ def composite(row: dict[str, Column], weights: dict[str, float] = W.COMPOSITE_WE
 
 
 def compilation(success: Column, errors: Column, warnings: Column, seconds: Column, binary_size: Column) -> Column:
-    ok = 0.8 + F.when(seconds < 5, 0.1).otherwise(0.0) - 0.05 * F.size(warnings) + F.when(binary_size < 10 * 1024 * 1024, 0.1).otherwise(0.0)
+    ok = 0.8 + F.when(seconds < 5, 0.1).otherwise(0.0) - 0.05 * F.size(warnings) + F.when((binary_size > 0) & (binary_size < 10_000_000), 0.1).otherwise(0.0)
     failed = F.when(F.size(errors) <= 2, 0.3).when(F.size(errors) <= 5, 0.1).otherwise(0.0)
     return T.clamp(F.when(success.isNull(), 0.2).when(success, ok).otherwise(failed))
 
@@ -108,12 +108,34 @@ def score_solutions(metrics: DataFrame, checks: DataFrame) -> DataFrame:
 
 def test_suite(scenarios: DataFrame) -> DataFrame:
     """Descriptors of the tests a scenario gets, by its category: scenario_id, kind, name, weight."""
-    base = {
-        "compilation": [("syntax_validation", 0.4, None), ("import_resolution", 0.3, None), ("type_checking", 0.3, None), ("integration_compilation", 0.2, ["feature_implementation", "cross_file_refactoring"])],
-        "unit": [("basic_functionality", 0.4, None), ("edge_cases", 0.3, None), ("error_handling", 0.2, None), ("input_validation", 0.1, None), ("regression", 0.4, ["bug_investigation"]), ("security_checks", 0.4, ["security_analysis"])],
-        "integration": [("module_integration", 0.4, None), ("api_compatibility", 0.3, None), ("data_flow", 0.3, None)],
-        "performance": [("execution_time", 0.4, None), ("memory_usage", 0.3, None), ("scalability", 0.3, None)],
-        "security": [("input_sanitization", 0.4, None), ("authentication", 0.3, None), ("data_protection", 0.3, None)],
-    }
-    rows = [F.when(F.col("task_category").isin(only) if only else F.lit(True), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(w).alias("weight"))) for kind, tests in base.items() for name, w, only in tests]
-    return scenarios.select("scenario_id", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("t")).select("scenario_id", "t.*")
+    made = [F.when(F.col("task_category") == only if only else F.lit(True), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(weight).alias("weight"))) for kind, name, weight, only in W.TEST_SUITE]
+    return scenarios.select("scenario_id", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("t")).select("scenario_id", "t.*")
+
+
+def suite_object(tests: DataFrame) -> DataFrame:
+    """One row per scenario: the tests of test_suite as an array for each kind, in the order of their names."""
+    kinds = list(dict.fromkeys(kind for kind, *_ in W.TEST_SUITE))
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "weight")))).alias(f"{k}_tests")
+    return tests.groupBy("scenario_id").agg(*[of(k) for k in kinds])
+
+
+def integration_by_files(n_files: Column) -> Column:
+    return F.when(n_files > 1, 0.7).otherwise(0.5)
+
+
+def performance(code: Column) -> Column:
+    """Base 0.7, less 0.2 for more than three loops, 0.2 more for concurrency; code is all files joined by spaces."""
+    loops = F.when(T.count_of(code, "for ") > 3, 0.2).otherwise(0.0)
+    return T.clamp(F.lit(0.7) - loops + F.when(T.any_of(F.lower(code), ["sync.", "goroutine", "channel"]), 0.2).otherwise(0.0))
+
+
+def functional_of_three(compile_score: Column, unit: Column, integrated: Column) -> Column:
+    return 0.4 * compile_score + 0.4 * unit + 0.2 * integrated
+
+
+def quality_of_three(complexity: Column, security: Column, maintainable: Column) -> Column:
+    return 0.3 * complexity + 0.3 * security + 0.4 * maintainable
+
+
+def style_of_three(formatting: Column, naming: Column, documentation: Column) -> Column:
+    return 0.4 * formatting + 0.3 * naming + 0.3 * documentation

@@ -18,20 +18,20 @@ from pyspark.sql import functions as F
 # --- fixed values: begin ---
 SUFFIXES = {"go": "go", "python": "py", "javascript": "js", "typescript": "ts", "rust": "rs", "java": "java", "cpp": "cpp"}
 INDICATORS = {
-    "go": ["package ", "func ", "import (", "type ", "struct {"],
-    "python": ["def ", "import ", "from ", "class ", "if __name__"],
+    "go": ["package main", "func main", 'import "', "type ", "func "],
+    "python": ["def ", "import ", "from ", "class ", "__init__"],
     "javascript": ["function ", "const ", "let ", "var ", "=>"],
-    "typescript": ["interface ", "type ", ": string", ": number", "export "],
-    "rust": ["fn ", "let mut", "impl ", "pub fn", "use std"],
-    "java": ["public class", "private ", "public static", "import java"],
-    "cpp": ["#include", "std::", "int main", "namespace "],
+    "typescript": ["interface ", "type ", "function ", "const ", "=>"],
+    "rust": ["fn ", "use ", "mod ", "struct ", "impl "],
+    "java": ["public class", "private ", "public ", "static "],
+    "cpp": ["#include", "int main", "class ", "namespace "],
 }
 NAME_KEYS = ["filename", "file", "name", "path", "file_path"]
 TEXT_KEYS = ["content", "code", "source", "text", "body"]
 SESSION_MARKS = ["session_", "step_", "phase_", "stage_"]
 SESSION_STARTS = ("s1", "s2", "s3", "stage1", "stage2", "stage3")
 CODE_SUFFIX = r"(?:go|py|js|ts|rs|java|cpp|h)"
-FILE_ENDINGS = (".go", ".py", ".js", ".ts", ".rs", ".java", ".cpp", ".h", ".txt", ".md", ".json", ".xml", ".yaml", ".yml")
+FILE_ENDINGS = (".go", ".py", ".js", ".ts", ".rs", ".java", ".cpp", ".h", ".txt", ".md", ".json", ".xml", ".yml", ".yaml", ".conf", ".cfg", ".ini", ".properties")
 # --- fixed values: end ---
 
 
@@ -240,3 +240,24 @@ def first_object(text: Column) -> Column:
 def fences(text: Column) -> Column:
     """Bodies of the code fences of a text, stripped."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```[^\n`]*\n(.*?)```"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def sanitised(solution: str | None) -> dict[str, str]:
+    """Files of a solution given as JSON: texts stay, objects and lists become JSON text, all else its text; {} if it is no object."""
+    try:
+        data = json.loads(solution or "")
+    except ValueError:
+        return {}
+    if not isinstance(data, dict):
+        return {}
+    return {k: v if isinstance(v, str) else json.dumps(v, indent=2) if isinstance(v, (dict, list)) else str(v) for k, v in data.items()}
+
+
+def sanitise(solution: Column) -> Column:
+    """map<string,string> of sanitised()."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(sanitised)
+
+    return run(solution)

@@ -90,6 +90,36 @@ def compare_models(summary: DataFrame, score: str = "avg_total_score", eps: floa
     return a.join(b, F.col("model_a") < F.col("model_b")).select("model_a", "model_b", diff.alias("difference"), winner.alias("winner"))
 
 
+def compare_all(summary: DataFrame, scores: list[str] = SCORES) -> DataFrame:
+    """Every pair of models once, with the differences of all mean scores and of the mean time."""
+    a, b = summary.alias("a"), summary.alias("b")
+    columns = [f"avg_{s}" for s in scores] + ["avg_time"]
+    diffs = [(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(f"{c.removeprefix('avg_').removesuffix('_score')}_diff") for c in columns]
+    return a.join(b, F.col("a.model_name") < F.col("b.model_name")).select(F.col("a.model_name").alias("model_a"), F.col("b.model_name").alias("model_b"), *diffs)
+
+
+def scenario_lookup(results: DataFrame, order: str, value: str = "total_score") -> DataFrame:
+    """Per scenario the models that were run on it, by name, and the value of each one's first result."""
+    first = results.groupBy("scenario_id", "model_name").agg(F.min_by(value, order).alias("v"))
+    entries = F.array_sort(F.collect_list(F.struct("model_name", "v")))  # as many as there are models
+    return first.groupBy("scenario_id").agg(F.transform(entries, lambda e: e["model_name"]).alias("models_evaluated"), F.map_from_entries(entries).alias("results"))
+
+
+def distinct_scenarios(results: DataFrame) -> DataFrame:
+    return results.select("scenario_id").distinct()
+
+
+def mean_success_rate(summary: DataFrame) -> DataFrame:
+    """Evaluations in all, and the mean of the models' success rates (0 for a model without scenarios)."""
+    return summary.agg(F.sum("completed").alias("total_evaluations"), F.avg(T.ratio(F.col("completed"), F.col("total_scenarios"))).alias("avg_success_rate"))
+
+
+def first_failures(rows: DataFrame, failed: Column, order: str, most: int = 10) -> DataFrame:
+    """The first failures in the given order (as many as a report shows), each with the number of all."""
+    bad = rows.filter(failed)
+    return bad.orderBy(order).limit(most).crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("n_failures"))))  # one row
+
+
 def extremes(results: DataFrame, key: str = "task_category", score: str = "total_score") -> DataFrame:
     """Per model its best and worst group by mean score; ties go to the first by name."""
     means = results.groupBy("model_name", key).agg(F.avg(score).alias("mean"))

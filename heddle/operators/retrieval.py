@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +25,82 @@ def keywords(prompt: Column, most: int = 10) -> Column:
 
 
 def keyword_scores(chunks: DataFrame, queries: DataFrame, query_id: str = "query_id", prompt: str = "prompt", same_project: bool = False) -> DataFrame:
-    """query_id, project, path, idx, text, score: the number of the query's keywords that a chunk contains.
+    """query_id, project, path, idx, score: the number of the query's keywords that a chunk contains; texts are joined to the best only.
 
-    With same_project, queries carry a project and only meet its chunks (an equi-join).  Without, the queries are a stated
-    set held against all chunks: one pass over the chunks with the keywords of all queries, which Spark broadcasts if small.
+    With same_project, queries carry a project and only meet its chunks (an equi-join).  Without, the distinct keywords of
+    all queries are a stated set: every chunk is searched once for them, and only what it contains is joined to the queries.
     """
     q = queries.select(query_id, *(["project"] if same_project else []), keywords(F.col(prompt)).alias("_k"))
-    met = chunks.join(q, "project") if same_project else chunks.crossJoin(q)
-    score = F.size(F.filter("_k", lambda w: F.contains(F.lower("text"), w)))
-    return met.withColumn("score", score).drop("_k").filter("score > 0")
+    if same_project:
+        score = F.size(F.filter("_k", lambda w: F.contains(F.lower("text"), w)))
+        return chunks.join(q, "project").withColumn("score", score).filter("score > 0").select(query_id, "project", "path", "idx", "score")
+    each = q.select(query_id, F.explode("_k").alias("_w")).groupBy(query_id, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    named = chunks.withColumn("_low", F.lower("text"))
+    hits = found_words(named, "_low", each.select("_w").distinct())
+    return hits.join(each, "_w").groupBy(query_id, "project", "path", "idx").agg(F.sum("_n").cast("int").alias("score"))
+
+
+def found_words(chunks: DataFrame, low: str, words: DataFrame, most: int = 100_000) -> DataFrame:
+    """project, path, idx, _w: which of words(_w) each chunk contains as text.
+
+    Up to most words are held in every task, as an automaton that reads a text once for all of them (word by word where
+    pyahocorasick is not installed).  More of them are joined instead, by their first four characters.
+    """
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, 4))
+    table = [r["_w"] for r in words.orderBy("_w").limit(most + 1).collect()]
+    spark = chunks.sparkSession
+    key = ["project", "path", "idx"]
+    if len(table) > most:
+        by_start = words.withColumn("_g", F.substring("_w", 1, 4))
+        pairs = chunks.select(*key, low, F.explode(F.array_distinct(grams(F.col(low)))).alias("_g"))
+        return pairs.join(by_start, "_g").filter(F.contains(low, F.col("_w"))).select(*key, "_w").distinct()
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<string>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(sent.value)
+        for texts in batches:
+            yield texts.map(find)
+
+    return chunks.select(*key, F.explode(search(F.col(low))).alias("_w"))
+
+
+def finder(words: list[str]) -> Callable[[str | None], list[str]]:
+    """A function from a text to those of the words that it contains."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda t: [w for w in words if w in t] if t else []
+    tree = ahocorasick.Automaton()
+    for w in words:
+        tree.add_word(w, w)
+    if not words:
+        return lambda t: []
+    tree.make_automaton()
+    return lambda t: list({w for _, w in tree.iter(t)}) if t else []
+
+
+def hashed_words(texts: list[str], size: int = 64) -> list[list[float]]:
+    """Counts of words by hash, scaled to length 1: a stand-in for a model's vectors that needs no model."""
+    out = []
+    for t in texts:
+        v = [0.0] * size
+        for w in t.lower().split():
+            v[zlib.crc32(w.encode()) % size] += 1.0
+        norm = sum(x * x for x in v) ** 0.5
+        out.append([x / norm for x in v] if norm else v)
+    return out
+
+
+def embed(texts: DataFrame, column: str = "text", vectoriser: Callable[[list[str]], list[list[float]]] = hashed_words, into: str = "embedding") -> DataFrame:
+    """texts with the vectors that a function from a list of texts to a list of vectors gives, a batch at a time."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(vectoriser(batch.fillna("").tolist()))
+
+    return texts.withColumn(into, run(F.col(column)))
 
 
 def best(scores: DataFrame, k: int = 5, query_id: str = "query_id") -> DataFrame:
@@ -66,10 +137,10 @@ def retrieve(files: DataFrame, queries: DataFrame, method: str = "keyword", k: i
     chunks = chunk_files(files, size)
     same = "project" in queries.columns
     if method == "embedding" and vectors is not None:
-        scores = chunks.join(vectors, ["path", "idx"])
+        top = best(vectors, k).join(chunks, ["path", "idx"])
     else:
-        scores = keyword_scores(chunks, queries, same_project=same)
-    found = as_text(best(scores, k))
+        top = best(keyword_scores(chunks, queries, same_project=same), k).join(chunks, ["project", "path", "idx"])
+    found = as_text(top)
     if not same:
         return found
     first = chunks.filter("idx = 0").join(queries.join(found, "query_id", "left_anti").select("query_id", "project"), "project")

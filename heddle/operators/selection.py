@@ -38,9 +38,9 @@ def information_coverage(files: DataFrame, chosen: Column, project: str = "proje
     return files.groupBy(project).agg(F.least(T.ratio(F.sum(F.when(chosen, n).otherwise(0)), F.sum(n)), F.lit(1.0)).alias("information_coverage"))
 
 
-def select_to_target(files: DataFrame, target: Column, order: list[Column], core: Column, project: str = "project") -> DataFrame:
+def select_to_target(files: DataFrame, target: Column, order: list[Column], core: Column, project: str = "project", size: Column | None = None) -> DataFrame:
     """All core files, then the others in order, as long as what came before covers less than target of the characters."""
-    n = F.length(F.coalesce("content", F.lit("")))
+    n = F.length(F.coalesce("content", F.lit(""))) if size is None else size
     x = files.withColumns({"_n": n, "_core": core})
     whole = Window.partitionBy(project)
     before = Window.partitionBy(project).orderBy(F.desc("_core"), *order).rowsBetween(Window.unboundedPreceding, -1)
@@ -50,8 +50,8 @@ def select_to_target(files: DataFrame, target: Column, order: list[Column], core
 
 
 def adaptive_selection(files: DataFrame, category: str, target: float, aggressive: bool = False, project: str = "project") -> DataFrame:
-    ranked = rank_files(files, category, aggressive, project)
-    return select_to_target(ranked, F.lit(target), [F.col("rank")], is_core(F.col("path"), category), project)
+    ranked = rank_files(files.withColumn("_size", F.length(F.coalesce("content", F.lit("")))), category, aggressive, project)
+    return select_to_target(ranked, F.lit(target), [F.col("rank")], is_core(F.col("path"), category), project, F.col("_size")).drop("_size")
 
 
 def expand_selection(files: DataFrame, chosen: Column, target: float, project: str = "project") -> DataFrame:

@@ -167,7 +167,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, con
 def keyword_topk(spark, sf_dir):
     docs = D.files(spark, sf_dir).select("project", "path", F.lit(0).alias("idx"), F.col("content").alias("text"), "pos")
     q = D.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]+", "9").alias("prompt"))
-    top = retrieval.best(retrieval.keyword_scores(docs, q))
+    top = retrieval.best(retrieval.keyword_scores(docs, q)).join(docs.select("path", "pos"), "path")
     return top.select(F.col("query_id").alias("item_id"), "rank", F.col("pos").alias("doc_id"), "score")
 
 

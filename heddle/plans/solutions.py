@@ -115,30 +115,37 @@ def code_fence_extract(spark, sf_dir):
     return c.select("conv_id", "turn", F.get(parsing.fences(F.col("reply")), 0).alias("body"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, text, conv_id % 7 AS k FROM conversations WHERE role = 'assistant') SELECT concat(conv_id, '_', turn) AS scenario_id, CASE WHEN k = 2 THEN 0 ELSE 1 END AS n_files, ['a.py', 'a.py', NULL, 'solution_1.py', 'src/b.py', 'a.py', 'app.ini'][k + 1] AS name, CASE WHEN k = 2 THEN NULL ELSE text END AS content FROM c WHERE length(trim(text)) >= 50""")
 def parse_response_cascade(spark, sf_dir):
-    c = D.read(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    as_json = F.concat(F.lit("Sure.\n```json\n"), F.to_json(F.struct(F.lit("plan").alias("approach"), F.create_map(F.lit("a.py"), "text").alias("files"))), F.lit("\n```"))
-    reply = F.when(F.col("conv_id") % 3 == 0, as_json).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("File: a.py\n"), "text")).otherwise(F.col("text"))
+    """Replies in seven forms, of which all but plain text hold one file: fenced JSON, a header, nothing, a code fence, a list of files, sessions, an object of files."""
+    c = D.read(spark, sf_dir, "conversations").filter("role = 'assistant' and length(trim(text)) >= 50")
+    one = lambda name: F.create_map(F.lit(name), "text")
+    forms = [
+        F.concat(F.lit("Sure.\n```json\n"), F.to_json(F.struct(F.lit("plan").alias("approach"), one("a.py").alias("files"))), F.lit("\n```")),
+        F.concat(F.lit("File: a.py\n"), "text"),
+        F.col("text"),
+        F.concat(F.lit("Here it is:\n```python\n"), "text", F.lit("\n```\nDone.")),
+        F.to_json(F.struct(F.array(F.struct(F.lit("src/b.py").alias("path"), F.col("text").alias("content"))).alias("files"))),
+        F.to_json(F.struct(one("a.py").alias("session_1"))),
+        F.to_json(F.struct(one("app.ini").alias("setup"))),
+    ]
+    reply = F.element_at(F.array(*forms), (F.col("conv_id") % 7 + 1).cast("int"))
     x = parsing.parse_replies(c.select(F.lit("m").alias("model"), F.concat_ws("_", "conv_id", "turn").alias("scenario_id"), reply.alias("reply"), F.lit("python").alias("language")))
-    return x.select("scenario_id", F.coalesce(F.size(F.map_keys("files")), F.lit(0)).alias("n_files"), F.get(F.map_values("files"), 0).alias("content"))
-
-
-Q["parse_response_cascade"] = parse_response_cascade
+    return x.select("scenario_id", F.coalesce(F.size(F.map_keys("files")), F.lit(0)).alias("n_files"), F.get(F.map_keys("files"), 0).alias("name"), F.get(F.map_values("files"), 0).alias("content"))
 
 
-def ast_fact_rows(spark, sf_dir):
+@query("SELECT conv_id, turn, true AS ok, 'f' AS functions, 2 AS complexity, 1 AS handled, 1 AS documented, 1 AS typed FROM conversations")
+def ast_facts_rows(spark, sf_dir):
+    """Every text as the description of one function with a branch that raises, one typed argument and a return."""
     code = F.concat(F.lit("def f(a, b: int):\n    '''"), F.regexp_replace("text", r"[\\'\"]", " "), F.lit("'''\n    if a is None:\n        raise ValueError(a)\n    return b\n"))
     x = ast_facts.parse_python(D.read(spark, sf_dir, "conversations").select("conv_id", "turn", code.alias("content")))
-    return x.select("conv_id", "turn", "facts.ok", "facts.functions", "facts.complexity", "facts.handled", "facts.documented", "facts.typed")
-
-
-Q["ast_facts"] = ast_fact_rows
+    return x.select("conv_id", "turn", "facts.ok", F.array_join("facts.functions", ",").alias("functions"), "facts.complexity", "facts.handled", "facts.documented", "facts.typed")
 
 
-@query("""WITH t(kind, name, weight, only_for) AS (VALUES ('compilation', 'syntax_validation', 0.4, ''), ('compilation', 'import_resolution', 0.3, ''), ('compilation', 'type_checking', 0.3, ''), ('compilation', 'integration_compilation', 0.2, 'feature_implementation,cross_file_refactoring'),
-  ('unit', 'basic_functionality', 0.4, ''), ('unit', 'edge_cases', 0.3, ''), ('unit', 'error_handling', 0.2, ''), ('unit', 'input_validation', 0.1, ''), ('unit', 'regression', 0.4, 'bug_investigation'), ('unit', 'security_checks', 0.4, 'security_analysis'),
-  ('integration', 'module_integration', 0.4, ''), ('integration', 'api_compatibility', 0.3, ''), ('integration', 'data_flow', 0.3, ''), ('performance', 'execution_time', 0.4, ''), ('performance', 'memory_usage', 0.3, ''), ('performance', 'scalability', 0.3, ''),
-  ('security', 'input_sanitization', 0.4, ''), ('security', 'authentication', 0.3, ''), ('security', 'data_protection', 0.3, '')),
+@query("""WITH t(kind, name, weight, only_for) AS (VALUES ('compilation', 'syntax_validation', 0.3, ''), ('compilation', 'import_resolution', 0.2, ''), ('compilation', 'type_checking', 0.2, ''), ('compilation', 'api_endpoint_structure', 0.3, 'feature_implementation'), ('compilation', 'refactor_consistency', 0.3, 'cross_file_refactoring'),
+  ('unit', 'function_signature_preservation', 0.25, ''), ('unit', 'error_handling', 0.25, ''), ('unit', 'input_validation', 0.25, ''), ('unit', 'output_correctness', 0.25, ''), ('unit', 'bug_fix_verification', 0.4, 'bug_investigation'), ('unit', 'vulnerability_mitigation', 0.4, 'security_analysis'),
+  ('integration', 'module_integration', 0.3, ''), ('integration', 'database_integration', 0.3, ''), ('integration', 'api_integration', 0.4, ''), ('performance', 'execution_time', 0.4, ''), ('performance', 'memory_usage', 0.3, ''), ('performance', 'scalability', 0.3, ''),
+  ('security', 'injection_prevention', 0.3, ''), ('security', 'input_sanitization', 0.3, ''), ('security', 'access_control', 0.4, '')),
 c AS (SELECT DISTINCT conv_id, CASE conv_id % 8 WHEN 0 THEN 'architectural_understanding' WHEN 1 THEN 'cross_file_refactoring' WHEN 2 THEN 'feature_implementation' WHEN 3 THEN 'bug_investigation' WHEN 4 THEN 'multi_session_development' WHEN 5 THEN 'code_comprehension' WHEN 6 THEN 'integration_testing' ELSE 'security_analysis' END AS k FROM conversations WHERE role = 'user')
 SELECT CAST(conv_id AS VARCHAR) AS scenario_id, kind, name, CAST(weight AS DOUBLE) AS weight FROM c, t WHERE only_for = '' OR contains(only_for, k)""")
 def test_suites(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import wordlists as W
 from heddle.operators.results import LEGACY, migrate
+from heddle.sources.staging import stage
 
 SCENARIO = (
     "id string, task_category string, difficulty string, title string, description string, context_files array<string>, context_length bigint, task_prompt variant, "
@@ -76,18 +77,22 @@ def context_files(scenarios: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(files.select("project", "path", "content"), ["project", "path"], "left")
 
 
-def tree_paths(trees: DataFrame, tree: str = "file_structure", levels: int = 20) -> DataFrame:
-    """Leaf paths of nested objects (VARIANT), joined by slashes; an object is a folder, anything else a file."""
+def tree_paths(trees: DataFrame, tree: str = "file_structure") -> DataFrame:
+    """Leaf paths of nested objects (VARIANT), joined by slashes; an object is a folder, anything else a file.
+
+    Level after level, each staged, until no folder is left.
+    """
     keep = [c for c in trees.columns if c != tree]
-    level = trees.select(*keep, F.lit("").alias("path"), F.col(tree).alias("v"))
-    out = None
-    for _ in range(levels):
-        kind = F.schema_of_variant("v")
-        opened = level.withColumn("m", F.when(F.startswith(kind, F.lit("OBJECT")), F.try_variant_get("v", "$", "map<string,variant>")))
-        leaves = opened.filter("m is null and path <> ''").select(*keep, "path")
+    row = F.struct(*keep) if keep else F.struct(F.lit(0))
+    level, out = trees.select(row.alias("row"), F.lit("").alias("path"), F.col(tree).alias("v")), None
+    while True:
+        opened = level.withColumn("m", F.when(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.try_variant_get("v", "$", "map<string,variant>")))
+        leaves = opened.filter("m is null and path <> ''").select(*[F.col("row")[c].alias(c) for c in keep], "path")
         out = leaves if out is None else out.unionByName(leaves)
-        level = opened.filter("m is not null").select(*keep, "path", F.explode("m").alias("k", "v")).select(*keep, F.concat_ws("/", F.nullif("path", F.lit("")), "k").alias("path"), "v")
-    return out
+        level = opened.filter("m is not null").select("row", "path", F.explode("m").alias("k", "v")).select("row", F.concat_ws("/", F.nullif("path", F.lit("")), "k").alias("path"), "v")
+        level = stage(level, "tree")
+        if level.isEmpty():
+            return out
 
 
 def save_state(state: DataFrame, path: str) -> None:
@@ -158,3 +163,13 @@ def markdown(board: DataFrame, score: str = "avg_total_score") -> str:
     """Ranking of models (one row each) as a table; se_ok marks engineering scores above 0.3."""
     rows = [f"| {r['rank']} | {r['model_name']} | {r[score]:.3f} | {r['grade']} | {'✅' if (r['avg_software_engineering_score'] or 0) > 0.3 else '❌'} |" for r in board.orderBy("rank").toLocalIterator()]
     return "\n".join(["| rank | model | score | grade | SE |", "| --- | --- | --- | --- | --- |", *rows, ""])
+
+
+def create_folders(spark: SparkSession, base: str, names: tuple[str, ...] = ("scenarios", "validation", "references")) -> list[str]:
+    """Makes base and its folders, where missing, in whatever store base is in; returns their paths."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made = [f"{base.rstrip('/')}/{n}" for n in names]
+    for folder in [base, *made]:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(conf).mkdirs(place)
+    return made
