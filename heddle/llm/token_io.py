@@ -4,8 +4,9 @@ Documents are range-partitioned by id and sorted; each task encodes its texts wi
 document with an end id, and writes files of at most segment_ids ids into a folder that all executors reach.  A file
 holds an index of its documents and independently coded blocks, each with the checksum of its payload:
 
-    magic "HTK1", then little-endian int64: part, segment, documents, ids, block length, blocks
+    magic "HTK2", then little-endian int64: part, segment, documents, ids, block length, blocks, bytes of the tables
     per document int64 doc_id and int64 ids with the end id (a null id is written as the least int64)
+    the frequency tables of order 0 and order 1 that every block starts from, and their uint32 crc32
     per block uint32 payload length and uint32 crc32 of the payload; then the payloads
     (the last block is filled up with end ids)
 
@@ -22,20 +23,21 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import shared_dir, small_batches, stage, worker_state
-from heddle.llm.context_coder import checksum, decode_blocks, encode_blocks
+from heddle.llm.context_coder import Tables, checksum, decode_blocks, encode_blocks
 
-MAGIC = b"HTK1"
+MAGIC = b"HTK2"
 NULL_ID = -(1 << 63)
-LANES = 4096
+BLOCK = 4096  # ids
+LANES = 1024  # blocks that are coded in step
 
 
 class LibraryEncoder:
@@ -53,66 +55,89 @@ class LibraryEncoder:
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.most = most
-        self.inner: dict[str, tuple[int, ...] | None] = {}
-        self.head: dict[str, tuple[int, ...] | None] = {}
-
-    def whole(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def fill(self, table: dict, chunks: set[str], before: str) -> dict:
-        if len(table) + len(chunks) > self.most:
-            table.clear()
-        clean = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
-        new = dict.fromkeys(chunks)
-        new.update(zip(clean, self.whole([before + c for c in clean]), strict=True))
-        table.update((c, x) for c, x in new.items() if len(c) <= 200)
-        return new
-
-    def texts(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; the chunks that a group of texts lacks are encoded in one call."""
-        for at in range(0, len(texts), 256):
-            group = [t.split(" ") for t in texts[at : at + 256]]
-            new = self.fill(self.inner, {c for g in group for c in g[1:] if c not in self.inner}, " ")
-            heads = self.fill(self.head, {g[0] for g in group if g[0] not in self.head}, "")
-            inner, head = self.inner.get, self.head.get
-            for text, chunks in zip(texts[at : at + 256], group, strict=True):
-                first = head(chunks[0]) or heads.get(chunks[0])
-                found = list(map(inner, chunks[1:]))
-                if None in found:  # just encoded but not kept, or not clean
-                    found = [new.get(c) if x is None else x for c, x in zip(chunks[1:], found, strict=True)]
-                if not text:
-                    yield []
-                elif first is None or None in found or any(s in text for s in self.specials):
-                    yield list(self.whole([text])[0])
-                else:
-                    yield list(chain(first, chain.from_iterable(found)))
-
-
-def block_length(n_ids: int) -> int:
-    """About a thousand blocks a file, of 512 to 4096 ids."""
-    return min(4096, max(512, 1 << max(0, (n_ids // 1024).bit_length())))
+        self.inner: dict[str, np.ndarray] = {}
+        self.head: dict[str, np.ndarray] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def found(self, table: dict[str, np.ndarray], chunks: list[str], before: str) -> list[np.ndarray | None]:
+        """Ids of each chunk after the text before; None if it is empty or touches other white space."""
+        known = list(map(table.get, chunks))
+        lack = [k for k, x in enumerate(known) if x is None and (c := chunks[k]) and not c[0].isspace() and not c[-1].isspace()]
+        if lack:
+            if len(table) + len(lack) > self.most:
+                table.clear()
+            for k, x in zip(lack, self.whole([before + chunks[k] for k in lack]), strict=True):
+                known[k] = x
+                if len(chunks[k]) <= 200:
+                    table[chunks[k]] = x
+        return known
+
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text (uint16); the distinct chunks of all texts are looked up or encoded once, and laid end to end."""
+        if not len(texts):
+            return
+        texts = texts.cast(pa.large_string())
+        lists = pc.split_pattern(texts, " ")
+        ends = lists.offsets.to_numpy()
+        coded = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+        first, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+        codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        head = codes[first]
+        inner = np.ones(len(codes), dtype=bool)
+        inner[first] = False
+        # One table for both kinds of chunks: those after a space, then those that start a text.
+        used, heads = np.unique(codes[inner]), np.unique(head)
+        parts = self.found(self.inner, [names[k] for k in used.tolist()], " ") + self.found(self.head, [names[k] for k in heads.tolist()], "")
+        unclean = np.array([x is None for x in parts], dtype=bool)
+        parts = [np.empty(0, dtype=np.uint16) if x is None else x for x in parts]
+        n = np.array([len(x) for x in parts], dtype=np.int64)
+        flat, start = np.concatenate(parts), np.cumsum(n) - n
+        at = np.empty(len(codes), dtype=np.int64)
+        at[inner] = np.searchsorted(used, codes[inner])
+        at[first] = len(used) + np.searchsorted(heads, head)
+        odd = np.logical_or.reduceat(unclean[at], first)
+        for special in self.specials:
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        sizes = n[at]
+        stop = np.cumsum(sizes)
+        ids = flat[np.repeat(start[at] - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
+        odd = np.flatnonzero(odd)
+        alone = dict(zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True)) if len(odd) else {}
+        a = 0
+        for k, b in enumerate(stop[ends - 1].tolist()):
+            yield alone.get(k, ids[a:b]) if alone else ids[a:b]
+            a = b
 
 
 def file_bytes(part: int, segment: int, doc_ids: list[int], counts: list[int], ids: np.ndarray, end: int) -> bytes:
-    length = block_length(len(ids))
-    n = -(-len(ids) // length)
-    blocks = np.full(n * length, end, dtype=np.uint16)
+    n = -(-len(ids) // BLOCK)
+    blocks = np.full(n * BLOCK, end, dtype=np.uint16)
     blocks[: len(ids)] = ids
-    blocks = blocks.reshape(n, length)
-    payloads = [p for a in range(0, n, LANES) for p in encode_blocks(blocks[a : a + LANES])]
+    tables = Tables.of(blocks, BLOCK)
+    blocks = blocks.reshape(n, BLOCK)
+    payloads = [p for a in range(0, n, LANES) for p in encode_blocks(blocks[a : a + LANES], tables)]
     index = np.empty((len(doc_ids), 2), dtype="<i8")
     index[:, 0], index[:, 1] = doc_ids, counts
-    table = np.array([(len(p), checksum(p)) for p in payloads], dtype="<u4")
-    return b"".join([MAGIC, struct.pack("<6q", part, segment, len(doc_ids), len(ids), length, n), index.tobytes(), table.tobytes(), *payloads])
+    model = tables.to_bytes()
+    sums = np.array([(len(p), checksum(p)) for p in payloads], dtype="<u4")
+    head = struct.pack("<7q", part, segment, len(doc_ids), len(ids), BLOCK, n, len(model))
+    return b"".join([MAGIC, head, index.tobytes(), model, struct.pack("<I", checksum(model)), sums.tobytes(), *payloads])
 
 
 def read_file(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
     """part, segment, index (doc_id, count), ids of a file; raises if a checksum fails."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
-    part, segment, n_docs, n_ids, length, n = struct.unpack("<6q", data[4:52])
-    index = np.frombuffer(data, dtype="<i8", count=2 * n_docs, offset=52).reshape(-1, 2)
-    at = 52 + 16 * n_docs
+    part, segment, n_docs, n_ids, length, n, n_model = struct.unpack("<7q", data[4:60])
+    index = np.frombuffer(data, dtype="<i8", count=2 * n_docs, offset=60).reshape(-1, 2)
+    at = 60 + 16 * n_docs
+    model = data[at : at + n_model]
+    at += n_model + 4
+    if struct.unpack("<I", data[at - 4 : at])[0] != checksum(model):
+        raise ValueError(f"the tables of part {part}, segment {segment} are damaged")
+    tables, _ = Tables.from_bytes(model)
     table = np.frombuffer(data, dtype="<u4", count=2 * n, offset=at).reshape(-1, 2)
     at += 8 * n
     payloads = []
@@ -121,15 +146,17 @@ def read_file(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
         at += size
         if checksum(payloads[-1]) != crc:
             raise ValueError(f"block {b} of part {part}, segment {segment} is damaged")
-    ids = np.concatenate([decode_blocks(payloads[a : a + LANES], length) for a in range(0, n, LANES)]).reshape(-1)[:n_ids]
+    ids = np.concatenate([decode_blocks(payloads[a : a + LANES], length, tables) for a in range(0, n, LANES)]).reshape(-1)[:n_ids]
     return part, segment, index, ids
 
 
-def write(docs: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "doc_id", text: str = "text", segment_ids: int = 12_000_000, parts: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "doc_id", text: str = "text", segment_ids: int = 4_000_000, parts: int | None = None, part_bytes: int = 128 << 20) -> DataFrame:
     """Writes docs to folder (a URI that all executors reach) and returns part, segment, file, n_docs, n_ids of each file."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:  # as many as shuffles have, more if they held over part_bytes of text each
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(parts, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // part_bytes))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h")
 
@@ -143,6 +170,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         held: list[np.ndarray] = []
+        stop = np.array([end], dtype=np.uint16)
         doc_ids: list[int] = []
         counts: list[int] = []
         n_held = 0
@@ -158,12 +186,11 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "
 
         for batch in batches:
             ids_column = batch.column("id").to_pylist()
-            for doc_id, ids in zip(ids_column, encoder.texts(batch.column("text").to_pylist()), strict=True):
-                ids.append(end)
-                held.append(np.array(ids, dtype=np.uint16))
+            for doc_id, ids in zip(ids_column, encoder.texts(batch.column("text")), strict=True):
+                held += (ids, stop)
                 doc_ids.append(NULL_ID if doc_id is None else doc_id)
-                counts.append(len(ids))
-                n_held += len(ids)
+                counts.append(len(ids) + 1)
+                n_held += counts[-1]
                 if n_held >= segment_ids:
                     yield flush()
                     segment += 1
