@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from heddle.llm.common import small_batches, worker_state
 
-#: Notices as they stand in files and pages; SPDX names.
+#: Notices as they stand in files and pages, and whole short licenses; SPDX names.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -33,6 +33,9 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "Apache-2.0-text": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "ISC-license": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT-license": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause-license": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
 }
 SHINGLE = 5
@@ -76,8 +79,6 @@ class Scanner:
     def __init__(self, templates: dict[str, str], containment: float = 0.8, rows: int = 1, seed: int = 7):
         self.containment = containment
         self.table = WordHashes()
-        rng = np.random.default_rng(seed)
-        self.mul = rng.integers(1, 1 << 62, 1024, dtype=np.uint64) | np.uint64(1)
         self.groups: dict[int, dict] = {}
         for name in sorted(templates):
             h = word_hashes(templates[name], self.table)
@@ -94,6 +95,9 @@ class Scanner:
             # Worst case: the best window is half a stride off and a share of the template is lost to changes.
             common = max(1, containment * count - stride / 2) if count > 1 else 1
             g["bands"], g["rows"] = band_plan(common / (2 * count - common), rows=rows), rows
+        most = max((g["bands"] * g["rows"] for g in self.groups.values()), default=0)
+        self.mul = np.random.default_rng(seed).integers(1, 1 << 62, most, dtype=np.uint64) | np.uint64(1)
+        for g in self.groups.values():
             keys: dict[int, list[int]] = {}
             g["minima"] = []
             for t, s in enumerate(g["sets"]):
@@ -160,13 +164,10 @@ class Scanner:
                         mixed[n, i] = self.mixed(s, i)
                     m = mixed[n, i]
                     minima.append(sliding_min(m, wide)[starts] if len(m) >= wide else np.array([m.min()]))
-                if g["rows"] == 1 and len(g["names"]) <= 8:  # a band is one minimum: compare it as it stands
-                    hits = [(int(starts[w]), t) for b, m in enumerate(minima) for t, own in enumerate(g["minima"]) for w in np.flatnonzero(m == own[b])]
-                else:
-                    keys = self.band_keys(np.array(minima), g)
-                    at = np.searchsorted(g["keys"], keys)
-                    found = g["keys"][np.minimum(at, len(g["keys"]) - 1)] == keys
-                    hits = [(int(starts[w]), t) for b, w in zip(*np.nonzero(found), strict=True) for t in g["of"][int(keys[b, w])]]
+                keys = self.band_keys(np.array(minima), g)
+                at = np.searchsorted(g["keys"], keys)
+                found = g["keys"][np.minimum(at, len(g["keys"]) - 1)] == keys
+                hits = [(int(starts[w]), t) for b, w in zip(*np.nonzero(found), strict=True) for t in g["of"][int(keys[b, w])]]
             done: dict[tuple[int, int], int] = {}
             for p, t in sorted(set(hits)):
                 # the texts that the window touches: usually one

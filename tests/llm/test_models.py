@@ -38,6 +38,38 @@ def test_scan_finds_what_plain_windows_find(docs):
     assert scanner.scan(filler(500)) == [] and scanner.scan("") == []
 
 
+def test_recall_of_edited_templates_and_what_is_found_is_true():
+    """500 templates with words changed, dropped or put in, inside other text: all that reach the containment are found."""
+    r = random.Random(9)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    clean = lambda t: [w.strip(licenses.STRIP).lower() for w in t.split()]
+    filler = lambda n: [f"w{r.randrange(9999)}" for _ in range(n)]
+    wanted = met = 0
+    for k in range(500):
+        name = r.choice([n for n, t in licenses.TEMPLATES.items() if len(t.split()) > 5])
+        words = licenses.TEMPLATES[name].split()
+        for _ in range(r.randrange(1 + len(words) // 25 + (k % 2))):
+            p = r.randrange(len(words))
+            words[p : p + 1] = r.choice([["other"], [], [words[p], "extra"]])
+        text = " ".join(filler(r.randrange(80)) + words + filler(r.randrange(80)))
+        found = scanner.scan(text)
+        want = plain_scan(text, licenses.TEMPLATES)
+        wanted += len(want)
+        met += len(want & {x for x, _, _ in found})
+        for other, first, share in found:  # and nothing is found that plain sets do not confirm
+            t = clean(licenses.TEMPLATES[other])
+            n = min(5, len(t))
+            grams = lambda x: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+            stride = max(1, len(t) // 8)
+            near = clean(text)[max(0, first - stride) : first + len(t) + stride]
+            assert abs(len(grams(t) & grams(near)) / len(grams(t)) - share) < 1e-9 and share >= 0.8
+    assert wanted > 300 and met >= 0.999 * wanted
+
+
+def test_scanner_with_many_bands():
+    assert {x for x, _, _ in licenses.Scanner({"a": "one two three four five six seven eight nine ten"}, containment=0.05, rows=3).scan("zero one two three four five six seven eight nine ten")} == {"a"}
+
+
 def test_scan_counts_and_places(spark, no_docs):
     from helpers import make
 
@@ -64,6 +96,31 @@ def test_model_learns_an_interaction():
     assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
 
 
+def test_score_like_a_plain_sum():
+    """A score is the logistic of the intercept, one entry per feature and one per pair, looked up one by one."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 5))
+    m = quality_gam.AdditiveModel(n_bins=8, rounds=20, n_pairs=3).fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    bin_of = lambda cuts, v: sum(1 for c in cuts if c <= v)
+    for row, s in zip(x[:200], m.score(x[:200])):
+        f = m.intercept + sum(t[bin_of(m.cuts[j], row[j])] for j, t in enumerate(m.tables))
+        f += sum(t[bin_of(m.coarse[a], row[a]), bin_of(m.coarse[b], row[b])] for (a, b), t in zip(m.pairs, m.pair_tables))
+        assert abs(s - 1 / (1 + np.exp(-f))) < 1e-12
+
+
+def test_features_one_by_one():
+    """The features of a text, counted character by character."""
+    t = "Ab ab ab! #1 |x, é\nAb ab ab! #1 |x, é\n\nc."
+    w = t.split()
+    lines = [x for x in t.split("\n") if x.strip()]
+    want = [np.log1p(len(w)), (len(t) - len(w)) / len(w), len(set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w)]
+    up, low = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+    want += [up / (up + low), sum(c.isdigit() for c in t) / len(t), t.count("#") / len(w), t.count("|") / len(w), t.count("!") / len(w), t.count(".") / len(w), t.count(",") / len(w), t.count("\n") / len(w)]
+    want += [1 - len(set(lines)) / len(lines), sum(c == "é" for c in t) / len(t), sum(x.isalpha() for x in w) / len(w)]
+    assert quality_gam.features(t) == [float(x) for x in want] or max(abs(a - b) for a, b in zip(quality_gam.features(t), want)) < 1e-12
+    assert quality_gam.features(None) == quality_gam.features(" ") == [0.0] * 15
+
+
 def test_classify(spark, no_docs):
     from helpers import make
 
