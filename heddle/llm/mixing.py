@@ -54,12 +54,12 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     return leveled.withColumn("target", target).select("source", "source_size", "weight", "rank", "target", *[c for c in by_source.columns if c not in ("source", "source_size")])
 
 
-def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bucket_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bucket_rows: int = 2_000) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of docs(doc_id, source, text)."""
     return placed_mix(docs, text, weights, cap, bucket_rows).drop("place")
 
 
-def placed_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bucket_rows: int = 20_000) -> DataFrame:
+def placed_mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, bucket_rows: int = 2_000) -> DataFrame:
     """The rows of mix() with their place, which with the source tells them apart.
 
     The running sums are two-level: within hash buckets of about bucket_rows documents, then over the buckets' totals,
