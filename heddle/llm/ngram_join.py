@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import discard, marked, most_common, small_batches, stage, words
@@ -243,11 +243,11 @@ def open_sets(classes: DataFrame, rows: DataFrame, num: int, den: int) -> DataFr
     """id of the classes that can have a link: those whose sampled n-grams of no other class do not fill a prefix.
 
     Common n-grams (a bounded list) are known to be shared and are not shuffled, so no n-gram here has more than a small
-    share of the rows.  The rows are dealt out by n-gram once; the counts and the join back read that one exchange.
+    share of the rows, which are dealt out by n-gram once.
     """
-    dealt = rows.repartition("t")
-    several = dealt.groupBy("t").agg(F.min("k1").alias("_a"), F.max("k1").alias("_b")).filter("_a < _b").select("t")
-    others = dealt.join(several.hint("shuffle_hash"), "t").groupBy("k1").agg(F.count(F.lit(1)).alias("others"))
+    same = Window.partitionBy("t")
+    shared = rows.select("k1", F.min("k1").over(same).alias("_a"), F.max("k1").over(same).alias("_b")).filter("_a < _b")
+    others = shared.groupBy("k1").agg(F.count(F.lit(1)).alias("others"))
     own = F.col("own") - F.coalesce(F.col("others") / F.col("copies"), F.lit(0))  # each copy has given the same rows
     return classes.join(others, "k1", "left").filter(own < prefix_length(num, den)).select(F.col("rep").alias("id")).distinct()
 
@@ -292,9 +292,8 @@ def prefixes(opened: DataFrame, num: int, den: int, common_from: int, common_mos
             n = pa.array(np.diff(batch.column("set").offsets.to_numpy()).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("s"), n, pa.ListArray.from_arrays(pa.array(ends), pa.array(t[by]))], names=["id", "s", "n", "hot"])
 
-    dealt = opened.select("id", "s", "set").mapInArrow(rare, "id bigint, s int, t bigint").repartition("t")
-    counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = dealt.join(counts.hint("shuffle_hash"), "t").groupBy("id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))
+    held = opened.select("id", "s", "set").mapInArrow(rare, "id bigint, s int, t bigint").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t")))
+    shared = held.filter("df > 1").groupBy("id", "s").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("x"))
     sets = opened.select("id", "s", "set").mapInArrow(whole, "id bigint, s int, n bigint, hot array<bigint>")
     sets = sets.join(shared, ["id", "s"], "left").withColumn("x", F.coalesce(F.col("x.t"), F.array().cast("array<bigint>")))
     alone = F.col("n") - F.size("x") - F.size("hot")
