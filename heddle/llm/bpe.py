@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -21,13 +22,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from heddle.llm.common import small_batches, worker_state
+from heddle.llm.common import Recent, small_batches, worker_state
 
 #: White space by Unicode's property, and the pre-token pattern of byte-level BPE.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
+#: Whether a chunk is of letters alone, so that it is one pre-token, with or without a space before it.
+letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
 def byte_chars() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -39,22 +44,6 @@ class Unclean(Exception):
     """A chunk between two single spaces that is empty or touches other white space."""
 
 
-class Chunks(dict):
-    """Results by chunk, at most so many; one that is missing is made. A full table starts anew."""
-
-    def __init__(self, make: Callable, most: int = 400_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        if len(chunk) <= 200:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = value
-        return value
-
-
 class BytePairCoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -66,43 +55,52 @@ class BytePairCoder:
         self.text_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of |= {i: t.encode() for t, i in self.specials.items()}
+        # By pair of ids: place in the order of merges, from 1, above 32 bits for a position.  By that place: the id it makes.
         self.rank: dict[int, int] = {}
-        self.made: list[int] = []
+        self.made = [0]
         for pair in spec["model"]["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[a] << 20 | vocab[b]] = len(self.made)
+            self.rank[vocab[a] << 20 | vocab[b]] = len(self.made) << 32
             self.made.append(vocab[a + b])
         self.pre = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else None
-        self.pretokens = Chunks(lambda t: tuple(self.merge(t.encode())), 200_000)
-        self.inner = Chunks(lambda c: self.clean(c, " " + c))
-        self.outer = Chunks(lambda c: self.clean(c, c), 50_000)
+        self.pretokens = Recent(300_000, lambda t: tuple(self.merge(t.encode())))
+        self.inner = Recent(600_000, lambda c: self.clean(c, " " + c))
+        self.outer = Recent(60_000, lambda c: self.clean(c, c))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        first, rank, made = self.first, self.rank, self.made
-        ids = [first[b] for b in data]
+        get, made = self.rank.get, self.made
+        ids = list(map(self.first.__getitem__, data))
         n = len(ids)
         if n < 2:
             return ids
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank.get(ids[i] << 20 | ids[i + 1])) is not None]
+        want = [get(a << 20 | b, 0) for a, b in zip(ids, ids[1:])]  # rank of the pair that starts at a symbol, 0: no merge
+        want.append(0)
+        heap = [r | i for i, r in enumerate(want) if r]
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             x = heappop(heap)
-            r, i = x >> 32, x & 0xFFFFFFFF
-            j = after[i]
-            if j >= n or ids[i] < 0 or rank.get(ids[i] << 20 | ids[j]) != r:
+            i = x & 0xFFFFFFFF
+            if want[i] | i != x:
                 continue  # stale: a neighbour was merged since
-            ids[i], ids[j] = made[r], -1
+            j = after[i]
+            ids[i] = new = made[x >> 32]
+            ids[j], want[j] = -1, 0
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := rank.get(ids[i] << 20 | ids[k])) is not None:
-                    heappush(heap, s << 32 | i)
+                want[i] = r = get(new << 20 | ids[k], 0)
+                if r:
+                    heappush(heap, r | i)
+            else:
+                want[i] = 0
             h = before[i]
-            if h >= 0 and (s := rank.get(ids[h] << 20 | ids[i])) is not None:
-                heappush(heap, s << 32 | h)
+            if h >= 0:
+                want[h] = r = get(ids[h] << 20 | new, 0)
+                if r:
+                    heappush(heap, r | h)
         return [i for i in ids if i >= 0]
 
     def words(self, text: str) -> tuple[int, ...]:
@@ -111,7 +109,7 @@ class BytePairCoder:
     def clean(self, chunk: str, text: str) -> tuple[int, ...]:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Unclean
-        return self.words(text)
+        return self.pretokens[text] if letters(chunk) else self.words(text)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,34 @@ def worker_state() -> dict:
     return sys.__dict__.setdefault("_heddle_worker", {})
 
 
+class Recent(dict):
+    """A bounded table of two generations: the young one, this dictionary, and the one before it.
+
+    Once the young one holds half of most, it becomes the old one.  What is looked up there is young again, so that
+    frequent keys stay and rare ones go.  Keys of over 200 characters are not kept.
+    """
+
+    def __init__(self, most: int, make: Callable | None = None):
+        super().__init__()
+        self.half, self.make, self.old = max(1, most // 2), make, {}
+
+    def keep(self, key: str, value: object) -> None:
+        if len(key) <= 200:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
+    def __missing__(self, key: str):
+        """The value of a key that is not young: an old one, or a new one where there is a way to make it, or None."""
+        value = self.old.get(key)
+        if value is None and self.make:
+            value = self.make(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -16,14 +16,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import small_batches, worker_state
+from heddle.llm.common import Recent, small_batches, worker_state
 
 SPACE = "▁"
 
@@ -31,7 +30,7 @@ SPACE = "▁"
 class PieceCounter:
     """Lengths of pre-tokens under a sentencepiece model, with a bounded cache."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -39,7 +38,7 @@ class PieceCounter:
         pieces = (m.id_to_piece(i) for i in range(m.get_piece_size()))
         if any(SPACE in p.lstrip(SPACE) for p in pieces) or m.encode("a") != m.encode("a b")[: len(m.encode("a"))]:
             raise ValueError(f"pieces of {path} cross spaces: lengths of pre-tokens would not add up")
-        self.lengths, self.most = {}, most
+        self.lengths = Recent(most)
 
     def encode(self, words: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(words, num_threads=1)]
@@ -51,14 +50,13 @@ class PieceCounter:
         if "" in chunks or SPACE in text:  # runs of spaces can be pieces
             return len(self.model.encode(text))
         near = self.lengths
-        found = [table.get(c) or near.get(c) for c in chunks]
+        found = [table.get(c) or near[c] for c in chunks]
         if None in found:
             new = list({c for c, n in zip(chunks, found, strict=True) if n is None})
             lengths = dict(zip(new, self.encode(new), strict=True))
             found = [lengths[c] if n is None else n for c, n in zip(chunks, found, strict=True)]
-            if len(near) + len(lengths) > self.most:
-                near.clear()
-            near.update((c, n) for c, n in islice(lengths.items(), self.most) if len(c) <= 200)
+            for c, n in lengths.items():
+                near.keep(c, n)
         return sum(found)
 
 

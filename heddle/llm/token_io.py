@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import shared_dir, small_batches, stage, worker_state
+from heddle.llm.common import Recent, shared_dir, small_batches, stage, worker_state
 from heddle.llm.context_coder import Tables, checksum, decode_blocks, encode_blocks
 
 MAGIC = b"HTK2"
@@ -54,24 +54,19 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most = most
-        self.inner: dict[str, np.ndarray] = {}
-        self.head: dict[str, np.ndarray] = {}
+        self.inner, self.head = Recent(most), Recent(most)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def found(self, table: dict[str, np.ndarray], chunks: list[str], before: str) -> list[np.ndarray | None]:
+    def found(self, table: Recent, chunks: list[str], before: str) -> list[np.ndarray | None]:
         """Ids of each chunk after the text before; None if it is empty or touches other white space."""
-        known = list(map(table.get, chunks))
+        known = list(map(table.__getitem__, chunks))
         lack = [k for k, x in enumerate(known) if x is None and (c := chunks[k]) and not c[0].isspace() and not c[-1].isspace()]
         if lack:
-            if len(table) + len(lack) > self.most:
-                table.clear()
             for k, x in zip(lack, self.whole([before + chunks[k] for k in lack]), strict=True):
                 known[k] = x
-                if len(chunks[k]) <= 200:
-                    table[chunks[k]] = x
+                table.keep(chunks[k], x)
         return known
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from heddle.llm import bpe, context_coder, token_count, token_io
+from heddle.llm.common import Recent
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +34,28 @@ def test_bpe_like_the_library(text):
     assert c.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_table_of_two_generations():
+    made = []
+    table = Recent(6, lambda k: made.append(k) or len(k))
+    for i in range(40):
+        assert table["often"] == 5 and table["x" * i] == i
+        assert len(table) <= 3 and len(table.old) <= 3
+    assert made.count("often") == 1  # what is looked up again and again stays
+    assert table["y" * 300] == 300 and "y" * 300 not in table
+
+
+@given(st.text("abcéÿ ªßÀ×÷ŀ", max_size=8))
+def test_letters_are_one_pre_token(chunk):
+    c = bpe.coder(PATH)
+    if bpe.letters(chunk):
+        assert c.pre(chunk) == [chunk] and c.pre(" " + chunk) == [" " + chunk]
+
+
+def test_merges_of_long_pre_tokens_like_the_library():
+    for text in ("ab" * 3000, "the" * 2000, "=" * 5001, "aaab" * 1500 + "é" * 999):
+        assert bpe.coder(PATH).merge(text.encode()) == ids_of(text)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=20))
 def test_decode_any_ids_like_the_library(ids):
