@@ -62,10 +62,11 @@ class BytePairCoder:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a] << 20 | vocab[b]] = len(self.made) << 32
             self.made.append(vocab[a + b])
+        self.pairs = [self.rank.get(a << 20 | b, 0) for a in self.first for b in self.first]  # ranks of the pairs of bytes
         self.pre = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")").split if self.specials else None
-        self.pretokens = Recent(300_000, lambda t: tuple(self.merge(t.encode())))
-        self.inner = Recent(600_000, lambda c: self.clean(c, " " + c))
+        self.pretokens = Recent(500_000, lambda t: tuple(self.merge(t.encode())))
+        self.inner = Recent(1_000_000, lambda c: self.clean(c, " " + c))
         self.outer = Recent(60_000, lambda c: self.clean(c, c))
 
     def merge(self, data: bytes) -> list[int]:
@@ -75,7 +76,8 @@ class BytePairCoder:
         n = len(ids)
         if n < 2:
             return ids
-        want = [get(a << 20 | b, 0) for a, b in zip(ids, ids[1:])]  # rank of the pair that starts at a symbol, 0: no merge
+        pairs = self.pairs
+        want = [pairs[a << 8 | b] for a, b in zip(data, data[1:])]  # rank of the pair that starts at a symbol, 0: no merge
         want.append(0)
         heap = [r | i for i, r in enumerate(want) if r]
         heapify(heap)

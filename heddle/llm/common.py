@@ -50,10 +50,11 @@ class Recent(dict):
     def __missing__(self, key: str):
         """The value of a key that is not young: an old one, or a new one where there is a way to make it, or None."""
         value = self.old.get(key)
-        if value is None and self.make:
+        if value is None:
+            if not self.make:
+                return None
             value = self.make(key)
-        if value is not None:
-            self.keep(key, value)
+        self.keep(key, value)
         return value
 
 
