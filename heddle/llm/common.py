@@ -90,7 +90,7 @@ def marked(docs: DataFrame, keys: DataFrame, most_bits: int = 1 << 26) -> DataFr
 def most_common(rows: DataFrame, column: str, least: int, most: int) -> list[int]:
     """At most so many values that many rows hold in column (bigint, or an array of them), the most common first.
 
-    Counts are of values that a task meets twice or more among some 4 million; what is on the list only decides where work is done.
+    Counts are of values that a task meets twice or more among some million (counting takes some 60 MB); what is on the list only decides where work is done.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def most_common(rows: DataFrame, column: str, least: int, most: int) -> list[int
             values = batch.column(column)
             held.append((values.flatten() if pa.types.is_list(values.type) else values).to_numpy(zero_copy_only=False))
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield counted()
                 held, size = [], 0
         if held:
