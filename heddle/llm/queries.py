@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bitsliced, bpe, host_rules, licenses, mixing, ngram_join, quality_gam, sentence_spans, token_count, token_io
+from heddle.llm import bitsliced, bpe, divergence, fill_middle, host_rules, licenses, mixing, ngram_join, quality_gam, sentence_spans, token_count, token_io, warc
 from heddle.llm.common import read
 from heddle.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -58,6 +58,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fill_middle.arrange(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return arranged.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +85,8 @@ QUERIES = {
         op8_bpe_round_trip,
         op9_token_files,
         op10_token_counts,
+        op11_source_divergence,
+        op12_fill_in_middle,
+        op13_warc,
     )
 }
