@@ -64,65 +64,61 @@ def followed(links: DataFrame) -> DataFrame:
 def depth(edges: DataFrame) -> DataFrame:
     """project, node, depth: the longest path from each node to a leaf; infinite where a cycle can be reached.
 
-    A round takes the depths known by now into the nodes above (each keeps the greatest so far, its floor), settles those
-    that wait for nothing else, and contracts the nodes that wait for one other node: their depth is max(floor, weight +
-    depth of that node), which composes along a chain.  Contracted nodes are filled in at the end, the last round first.
-    Where a round settles and contracts nothing, each node that is left leads to others that are left, so into a cycle.
+    A round takes the depths known by now into the nodes above (each keeps the greatest so far, its floor) and settles those
+    that wait for nothing else.  Where that are few, nodes that wait for one other node are contracted: their depth is
+    max(floor, weight + depth of that node), which composes along a chain; they are filled in at the end, the last ones
+    first.  Where a round settles and contracts nothing, each node that is left leads to others that are left, so into a cycle.
     """
     open_edges = _plain(edges).withColumn("w", F.lit(1.0))
     nodes = open_edges.select("project", F.col("src").alias("node")).distinct().withColumn("floor", F.lit(0.0))
     leaves = open_edges.select("project", F.col("dst").alias("node")).distinct().join(nodes, ["project", "node"], "left_anti")
     done = stage(leaves.withColumn("depth", F.lit(0.0)), "settled")
     settled, chains = [done], []
+    known, one = (F.col("floor") == ENDLESS) | F.col("n").isNull(), F.col("n") == 1
     while True:
         waits = stage(open_edges.join(_named(done, "dst", "depth"), ["project", "dst"], "left"), "waits")
-        floors = waits.groupBy("project", F.col("src").alias("node")).agg(F.max(F.col("w") + F.col("depth")).alias("_floor"))
-        waits = waits.filter("depth is null").drop("depth")
-        left = waits.groupBy("project", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to"), F.max("w").alias("w"))
-        state = nodes.join(floors, ["project", "node"], "left").join(left, ["project", "node"], "left")
-        state = stage(state.withColumn("floor", F.greatest("floor", "_floor")).drop("_floor"), "state")
-        known, one = (F.col("floor") == ENDLESS) | F.col("n").isNull(), F.col("n") == 1
+        floors = waits.groupBy("project", F.col("src").alias("node")).agg(
+            F.max(F.col("w") + F.col("depth")).alias("_floor"), F.nullif(F.count_if(F.col("depth").isNull()), F.lit(0)).alias("n"), F.min(F.when(F.col("depth").isNull(), F.struct("dst", "w"))).alias("_next")
+        )
+        state = nodes.join(floors, ["project", "node"], "left").select("project", "node", F.greatest("floor", "_floor").alias("floor"), "n", F.col("_next.dst").alias("to"), F.col("_next.w").alias("w"))
+        state = stage(state, "state")
         n_all, n_known, n_one = state.agg(F.count(F.lit(1)), F.count_if(known), F.count_if(~known & one)).first()
-        many = state.filter(~known & ~one)
         done = state.filter(known).select("project", "node", F.col("floor").alias("depth"))
-        if not n_known and not n_one:
-            settled.append(many.select("project", "node", F.lit(ENDLESS).alias("depth")))
-            break
         settled.append(done)
-        if n_known + n_one == n_all and not n_one:
+        if n_known == n_all:
             break
-        waits = waits.join(_named(many, "src"), ["project", "src"], "left_semi")
-        nodes = many.select("project", "node", "floor")
-        if n_one:
-            ends = followed(state.filter(~known & one).select("project", "node", "to", F.col("floor").alias("a"), F.col("w").alias("b")))
-            rings = ends.filter("to is null").select("project", "node", F.lit(ENDLESS).alias("depth"))
-            chains.append(ends.filter("to is not null"))
-            settled.append(rings)
-            done = done.unionByName(rings)
-            short = waits.join(_named(chains[-1], "dst", "to", "a", "b"), ["project", "dst"], "left")
-            short = stage(short.select("project", "src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("b", F.lit(0.0))).alias("w"), (F.col("w") + F.col("a")).alias("floor")), "short")
-            waits = short.groupBy("project", "src", "dst").agg(F.max("w").alias("w"))
-            more = short.groupBy("project", F.col("src").alias("node")).agg(F.max("floor").alias("_floor"))
-            nodes = nodes.join(more, ["project", "node"], "left").withColumn("floor", F.greatest("floor", "_floor")).drop("_floor")
-        open_edges, nodes = stage(waits, "open"), stage(nodes, "nodes")
-        if nodes.isEmpty():
+        if not n_known and not n_one:
+            settled.append(state.select("project", "node", F.lit(ENDLESS).alias("depth")))
             break
-    out = stage(reduce(DataFrame.unionByName, settled), "depths")
+        waits = waits.filter("depth is null").drop("depth")
+        if 5 * n_known >= n_all or not n_one:
+            nodes = state.filter(~known).select("project", "node", "floor")
+            open_edges = waits.join(_named(nodes, "src"), ["project", "src"], "left_semi") if n_known else waits
+            continue
+        many = state.filter(~known & ~one).select("project", "node", "floor")
+        ends = followed(state.filter(~known & one).select("project", "node", "to", F.col("floor").alias("a"), F.col("w").alias("b")))
+        rings = ends.filter("to is null").select("project", "node", F.lit(ENDLESS).alias("depth"))
+        chains.append(ends.filter("to is not null"))
+        settled.append(rings)
+        done = done.unionByName(rings)
+        short = waits.join(_named(many, "src"), ["project", "src"], "left_semi").join(_named(chains[-1], "dst", "to", "a", "b"), ["project", "dst"], "left")
+        short = stage(short.select("project", "src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("b", F.lit(0.0))).alias("w"), (F.col("w") + F.col("a")).alias("floor")), "short")
+        open_edges = short.groupBy("project", "src", "dst").agg(F.max("w").alias("w"))
+        more = short.groupBy("project", F.col("src").alias("node")).agg(F.max("floor").alias("_floor"))
+        nodes = stage(many.join(more, ["project", "node"], "left").select("project", "node", F.greatest("floor", "_floor").alias("floor")), "nodes")
+    out = reduce(DataFrame.unionByName, settled)
     for ends in reversed(chains):
+        out = stage(out, "depths")
         filled = ends.join(_named(out, "to", "depth"), ["project", "to"]).select("project", "node", F.greatest("a", F.col("b") + F.col("depth")).alias("depth"))
-        out = stage(out.unionByName(filled), "depths")
+        out = out.unionByName(filled)
     return out
 
 
-def _endless(edges: DataFrame) -> DataFrame:
-    return depth(edges).filter(F.col("depth") == ENDLESS).select("project", "node")
-
-
-def _core(edges: DataFrame) -> DataFrame:
-    """The edges on ways from one cycle to one: the others are trimmed from both sides, however long their chains."""
-    upper = stage(_inside(edges, _endless(edges)), "trimmed")
-    back = upper.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return stage(_inside(upper, _endless(back)), "core")
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The edges that another edge leads to and another one goes on from."""
+    starts = edges.select("project", F.col("src").alias("dst")).distinct()
+    ends = edges.select("project", F.col("dst").alias("src")).distinct()
+    return edges.join(starts, ["project", "dst"], "left_semi").join(ends, ["project", "src"], "left_semi")
 
 
 def _passes(edges: DataFrame) -> DataFrame:
@@ -171,39 +167,48 @@ def _rooted(edges: DataFrame, colors: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """project, node, cycle of the nodes that lie on cycles: cycle is the smallest node of the strongly connected component.
 
-    The edges are trimmed, chains contracted (rings of them are components), colours spread forwards and the components of
-    the nodes that gave colours gathered backwards; then the same with what is left, until nothing is.
+    Edges that lead nowhere or come from nowhere are peeled off; where that goes slowly, chains are contracted (rings of them
+    are components).  Where neither is left to do, colours spread forwards and the components of the nodes that gave them are
+    gathered backwards; then the same goes on with what is left.  At last the chains are filled in, the last ones first: they
+    belong to the component that holds both of their ends.
     """
     all_edges = _plain(edges)
     loops = all_edges.filter("src = dst").select("project", F.col("src").alias("node"))
-    rest, found = all_edges.filter("src <> dst"), []
-    while True:
-        core = _core(rest)
-        if core.isEmpty():
-            break
-        ends = followed(_passes(core))
-        chains = ends.filter("to is not null")
-        short = stage(_contracted(core, ends), "short")
-        colors = _coloured(short, short.select("project", F.col("src").alias("node")).distinct())
-        rooted = _rooted(short, colors).withColumnRenamed("color", "part")
-        through = short.join(_named(rooted, "src", "part"), ["project", "src"]).join(_named(rooted, "dst", F.col("part").alias("_part")), ["project", "dst"])
-        through = through.filter("part = _part and key is not null").select("project", F.col("key").alias("last"), "part")
-        here = stage(
-            ends.filter("to is null").select("project", "node", F.col("low").alias("part"))
-            .unionByName(rooted.select("project", "node", "part"))
-            .unionByName(chains.join(through, ["project", "last"]).select("project", "node", "part")),
-            "part",
-        )
-        found.append(here)
-        for end in ("src", "dst"):
-            core = core.join(_named(here, end), ["project", end], "left_anti")
-        rest = stage(core, "rest")
-    if found:
-        every = reduce(DataFrame.unionByName, found)
-        names = every.groupBy("project", "part").agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        several = stage(every.join(names, ["project", "part"]).select("project", "node", "cycle"), "components")
-        return several.unionByName(loops.join(several, ["project", "node"], "left_anti").withColumn("cycle", F.col("node")))
-    return loops.withColumn("cycle", F.col("node"))
+    here = stage(all_edges.filter("src <> dst"), "rest")
+    n, found, levels = here.count(), [], []
+    while n:
+        before, n_before = here, n
+        here = stage(_peeled(here), "peeled")
+        n = here.count()
+        if not n or 5 * n < 4 * n_before:
+            continue
+        passes = stage(_passes(here), "passes")
+        if not passes.isEmpty():
+            ends = followed(passes)
+            short = stage(_contracted(here, ends), "short")
+            levels.append((ends, short))
+            here = stage(short.filter("src <> dst").select("project", "src", "dst").distinct(), "rest")
+        elif n == n_before:
+            rooted = _rooted(before, _coloured(before, before.select("project", F.col("src").alias("node")).distinct())).withColumnRenamed("color", "part")
+            found.append(rooted)
+            here = before
+            for end in ("src", "dst"):
+                here = here.join(_named(rooted, end), ["project", end], "left_anti")
+            here = stage(here, "rest")
+        n = here.count()
+    parts = reduce(DataFrame.unionByName, found) if found else loops.withColumn("part", F.col("node")).limit(0)
+    for ends, short in reversed(levels):
+        parts = stage(parts, "part")
+        own = short.filter("src = dst").select("project", F.col("src").alias("node")).distinct().join(parts, ["project", "node"], "left_anti").withColumn("part", F.col("node"))
+        rings = ends.filter("to is null").select("project", "node", F.col("low").alias("part"))
+        parts = stage(parts.unionByName(own).unionByName(rings), "part")
+        through = short.filter("key is not null").join(_named(parts, "src", "part"), ["project", "src"]).join(_named(parts, "dst", F.col("part").alias("_part")), ["project", "dst"])
+        through = through.filter("part = _part").select("project", F.col("key").alias("last"), "part")
+        parts = parts.unionByName(ends.filter("to is not null").join(through, ["project", "last"]).select("project", "node", "part"))
+    parts = stage(parts, "part")
+    names = parts.groupBy("project", "part").agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = stage(parts.join(names, ["project", "part"]).select("project", "node", "cycle"), "components")
+    return several.unionByName(loops.join(several, ["project", "node"], "left_anti").withColumn("cycle", F.col("node")))
 
 
 def shortest_cycles(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:

@@ -42,28 +42,30 @@ def detect_language(text: str) -> str | None:
 
 
 def balanced(text: str) -> list[str]:
-    """Outermost balanced objects, then those inside what never closes."""
-    out, at = [], 0
-    while (start := text.find("{", at)) >= 0:
-        depth, quoted, skip, end = 0, False, False, -1
-        for i in range(start, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = quoted
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    end = i + 1
-                    break
-        if end > 0:
-            out.append(text[start:end])
-        at = end if end > 0 else start + 1
-        if len(out) > 200:
-            break
+    """Outermost balanced objects, then those inside what never closes.
+
+    One pass from the back over braces, quotes and backslashes notes for each of them, read outside and inside a string, at
+    which mark an enclosing object would end; the objects are then read off from the front.
+    """
+    marks = [(m.start(), m.group()) for m in re.finditer(r'[{}"\\]', text)]
+    n = len(marks)
+    outside, inside = [-1] * (n + 2), [-1] * (n + 2)
+    for k in range(n - 1, -1, -1):
+        at, c = marks[k]
+        if c == "\\":
+            outside[k] = outside[k + 1]
+            inside[k] = inside[k + 2 if k + 1 < n and marks[k + 1][0] == at + 1 else k + 1]
+        elif c == '"':
+            outside[k], inside[k] = inside[k + 1], outside[k + 1]
+        else:
+            inside[k] = inside[k + 1]
+            end = outside[k + 1]
+            outside[k] = k if c == "}" else outside[end + 1] if end >= 0 else -1
+    out, after = [], 0
+    for k, (at, c) in enumerate(marks):
+        if c == "{" and at >= after and outside[k + 1] >= 0:
+            after = marks[outside[k + 1]][0] + 1
+            out.append(text[at:after])
     return out
 
 
@@ -230,11 +232,30 @@ def solution_files(parsed: DataFrame) -> DataFrame:
     return parsed.filter("files is not null").select("model", "scenario_id", F.posexplode(F.map_entries("files")).alias("file_pos", "e")).select("model", "scenario_id", "file_pos", F.col("e.key").alias("path"), F.col("e.value").alias("content"))
 
 
+def first_balanced(text: Column) -> Column:
+    """The object at the start of a text, up to the brace that closes it; null if it starts with none or none closes it.
+
+    A fold over the text's marks (braces, quotes, escaped characters) and what lies between them, in the JVM.
+    """
+    body = F.regexp_replace(text, r"^\s+", "")
+    tokens = F.regexp_extract_all(body, F.lit(r'(?s)\\.|[{}"\\]|[^{}"\\]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(s["quoted"], 0).when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        quoted = F.when(t == '"', ~s["quoted"]).otherwise(s["quoted"])
+        return F.when(s["closed"], s).otherwise(F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["length"] + F.length(t)).alias("length"), (depth == 0).alias("closed")))
+
+    end = F.aggregate(tokens, start, step, lambda s: F.when(s["closed"], s["length"]))
+    return F.when(F.startswith(body, F.lit("{")), F.substring(body, F.lit(1), end))
+
+
 def first_object(text: Column) -> Column:
-    """First JSON object of a text, as VARIANT: the text itself, a fence, or the span from the first to the last brace."""
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
-    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(fence, F.lit(""))), F.try_parse_json(F.nullif(span, F.lit(""))))
+    """First JSON object of a text, as VARIANT: the text itself, what a fence holds or the object that it starts with, or the
+    first object from a brace on."""
+    fence = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1), F.lit(""))
+    rest = F.nullif(F.regexp_extract(text, r"(?s)(\{.*)", 1), F.lit(""))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(fence), F.try_parse_json(first_balanced(fence)), F.try_parse_json(first_balanced(rest)))
 
 
 def fences(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import text as T
 from heddle.functions import wordlists as W
+from heddle.operators.ranges import numbered
 
 SCORES = ["software_engineering_score", "functional_correctness_score", "code_quality_score", "longcontext_utilization_score", "total_score"]
 LEGACY = {
@@ -137,8 +138,9 @@ def dimension_extremes(summary: DataFrame, scores: list[str] = SCORES[:4]) -> Da
 
 
 def remaining_work(models: DataFrame, scenarios: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of model and scenario that are not done; the models are a short list, and broadcast as such."""
-    return scenarios.select("scenario_id").crossJoin(F.broadcast(models.select("model_name"))).join(done.select("model_name", "scenario_id"), ["model_name", "scenario_id"], "left_anti")
+    """Pairs of model and scenario that are not done.  The result is about models times scenarios; Spark broadcasts the models
+    if they are under its limit."""
+    return scenarios.select("scenario_id").crossJoin(models.select("model_name")).join(done.select("model_name", "scenario_id"), ["model_name", "scenario_id"], "left_anti")
 
 
 def prioritise(scenarios: DataFrame, position: str = "pos", category: str = "task_category", difficulty: str = "difficulty") -> DataFrame:
@@ -148,7 +150,7 @@ def prioritise(scenarios: DataFrame, position: str = "pos", category: str = "tas
 
 def work_queue(scenarios: DataFrame, models: DataFrame) -> DataFrame:
     """Prioritised scenarios times models, with the place of each in the queue of its scenario."""
-    return prioritise(scenarios).crossJoin(F.broadcast(models)).withColumn("slot", F.struct(-F.col("priority"), F.col("pos"), F.col("model_name")))
+    return prioritise(scenarios).crossJoin(models).withColumn("slot", F.struct(-F.col("priority"), F.col("pos"), F.col("model_name")))
 
 
 def retry_state(attempts: DataFrame, limit: int = 10) -> DataFrame:
@@ -192,22 +194,19 @@ def progress(log: DataFrame, total: int, ts: str = "ts", key: str = "provider")
     return out.withColumns({"share": F.col("done") / total, "eta_seconds": F.col("elapsed") / F.col("done") * F.greatest(F.lit(total) - F.col("done"), F.lit(0))})
 
 
-def quota_assignment(rows: DataFrame, targets: dict[str, int], order: str, key: str | None = None) -> DataFrame:
-    """Rows fill the quotas in the order given (hardest first); what is over gets a level by hash.
+def quota_assignment(rows: DataFrame, targets: dict[str, int], order: str) -> DataFrame:
+    """rows with level: they fill the quotas in the order given (hardest first); what is over gets a level by hash.
 
-    Quotas are a short list of cumulative bounds, so the level is a chain of comparisons of the row's number.  The numbers
-    come from per-bucket counts: only the first sum(targets) rows can be inside a quota, so a limit finds them.
+    Quotas are a short list of cumulative bounds, so the level is a chain of comparisons of the row's number.  Rows with
+    the same place in the order, null or not, are numbered one by one.
     """
-    total = sum(targets.values())
-    head = rows.orderBy(order).limit(total)
-    number = head.withColumn("_n", F.row_number().over(Window.orderBy(order)))
     level, end = None, 0
     for name, n in targets.items():
         end += n
         level = F.when(F.col("_n") <= end, name) if level is None else level.when(F.col("_n") <= end, name)
     names = F.array(*[F.lit(n) for n in targets])
-    inside = number.select(order, level.alias("level"))
-    return rows.join(inside, order, "left").withColumn("level", F.coalesce("level", F.get(names, F.pmod(F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 6), 16, 10).cast("int"), F.lit(len(targets))))))
+    spare = F.get(names, F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(order).cast("string"), F.lit(""))), 1, 6), 16, 10).cast("int"), F.lit(len(targets))))
+    return numbered(rows, [F.col(order)], "_n").withColumn("level", F.coalesce(level, spare)).drop("_n")
 
 
 def histogram_against(rows: DataFrame, level: str, desired: dict[str, int]) -> DataFrame:

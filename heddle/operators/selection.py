@@ -1,6 +1,8 @@
 """Choosing context files: relevance, coverage prefixes, retries over targets, file types, project constraints.
 
-Files are files(project, path, content, pos).  Windows are per project: a project's files are a bounded set (a context).
+Files are files(project, path, content, pos); pos tells a project's files apart.  Ranks and running sums are in two levels
+(heddle.operators.ranges), so no window holds a whole project.  Texts are measured, then left where they are: what is
+selected comes without its content, which a join by project and path brings back.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from heddle.functions import text as T
 from heddle.functions import wordlists as W
+from heddle.operators.ranges import running
+from heddle.sources.staging import stage
 
 
 def is_core(path: Column, category: str, compat: bool = False) -> Column:
@@ -27,9 +31,19 @@ def relevance(path: Column, content: Column, category: str, aggressive: bool = F
     return name_relevance(path, category) + 0.3 * size + 0.2 * T.file_complexity(content) + (0.5 * size if aggressive else F.lit(0.0))
 
 
+def _score(category: str, aggressive: bool = False) -> Column:
+    return F.round(relevance(F.col("path"), F.col("content"), category, aggressive), 6)
+
+
+def _size() -> Column:
+    return F.length(F.coalesce("content", F.lit("")))
+
+
 def rank_files(files: DataFrame, category: str, aggressive: bool = False, project: str = "project") -> DataFrame:
-    score = F.round(relevance(F.col("path"), F.col("content"), category, aggressive), 6)
-    return files.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy(project).orderBy(F.desc("score"), "pos")))
+    """score and rank (from 1 per project) of each file, by score, then pos."""
+    scored = files.withColumn("score", _score(category, aggressive)).drop("content")
+    out = running(scored, [project], [F.desc("score"), F.col("pos")], {"rank": F.lit(1)})
+    return out.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("rank_total")
 
 
 def information_coverage(files: DataFrame, chosen: Column, project: str = "project") -> DataFrame:
@@ -38,30 +52,36 @@ def information_coverage(files: DataFrame, chosen: Column, project: str = "proje
     return files.groupBy(project).agg(F.least(T.ratio(F.sum(F.when(chosen, n).otherwise(0)), F.sum(n)), F.lit(1.0)).alias("information_coverage"))
 
 
-def select_to_target(files: DataFrame, target: Column, order: list[Column], core: Column, project: str = "project", size: Column | None = None) -> DataFrame:
+def _ahead(files: DataFrame, order: list[Column], core: Column, project: str = "project") -> DataFrame:
+    """files without content, with core, size, and the share of the project's characters that lies before each (core files first)."""
+    x = files.withColumns({"size": _size(), "core": F.coalesce(core, F.lit(False))})
+    x = running(x.drop("content"), [project], [F.desc("core"), *order], {"ahead": F.col("size")})
+    return x.withColumn("share", T.ratio(F.col("ahead"), F.col("ahead_total"), 1.0))
+
+
+def select_to_target(files: DataFrame, target: float, order: list[Column], core: Column, project: str = "project") -> DataFrame:
     """All core files, then the others in order, as long as what came before covers less than target of the characters."""
-    n = F.length(F.coalesce("content", F.lit(""))) if size is None else size
-    x = files.withColumns({"_n": n, "_core": core})
-    whole = Window.partitionBy(project)
-    before = Window.partitionBy(project).orderBy(F.desc("_core"), *order).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"_total": F.sum("_n").over(whole), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
-    keep = F.col("_core") | (T.ratio(F.col("_before"), F.col("_total"), 1.0) < target)
-    return x.filter(keep).drop("_n", "_core", "_total", "_before")
+    x = _ahead(files, order, core, project)
+    return x.filter(F.col("core") | (F.col("share") < target)).drop("size", "core", "ahead", "ahead_total", "share")
 
 
 def adaptive_selection(files: DataFrame, category: str, target: float, aggressive: bool = False, project: str = "project") -> DataFrame:
-    ranked = rank_files(files.withColumn("_size", F.length(F.coalesce("content", F.lit("")))), category, aggressive, project)
-    return select_to_target(ranked, F.lit(target), [F.col("rank")], is_core(F.col("path"), category), project, F.col("_size")).drop("_size")
+    """Core files of the category, then the others by score until the target is covered."""
+    scored = files.withColumn("score", _score(category, aggressive))
+    return select_to_target(scored, target, [F.desc("score"), F.col("pos")], is_core(F.col("path"), category), project)
 
 
 def expand_selection(files: DataFrame, chosen: Column, target: float, project: str = "project") -> DataFrame:
     """What is chosen, then the longest of the rest until the target is covered."""
-    return select_to_target(files, F.lit(target), [F.desc(F.length("content")), F.col("pos")], chosen, project)
+    sized = files.withColumn("_length", F.length("content"))
+    return select_to_target(sized, target, [F.desc("_length"), F.col("pos")], chosen, project).drop("_length")
 
 
 def longest(files: DataFrame, k: int = 4, project: str = "project") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(project).orderBy(F.desc(F.length("content")), "pos"))
-    return files.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """The k longest files of each project with their rank; each task keeps k of a project before the shuffle."""
+    sized = files.withColumn("_length", F.length("content")).drop("content")
+    rank = F.row_number().over(Window.partitionBy(project).orderBy(F.desc("_length"), "pos"))
+    return sized.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_length")
 
 
 def random_subset(files: DataFrame, most: int, seed: int = 0, project: str = "project") -> DataFrame:
@@ -79,18 +99,22 @@ def by_pattern(files: DataFrame, patterns: list[str], most: int, seed: int = 0,
 
 
 def select_for_difficulty(files: DataFrame, category: str, low: float, high: float, level: str, project: str = "project") -> DataFrame:
-    """Per project the first of five targets (middle, 75 %, 90 %, high, low) whose selection has the wanted level, else the first."""
+    """Per project the first of five targets (middle, 75 %, 90 %, high, low) whose selection has the wanted level, else the first.
+
+    The files are ranked once; as their order is the same for all targets, each one's selection follows from the share that
+    lies before a file, and one aggregation measures all five.
+    """
     targets = [(low + high) / 2, low + 0.75 * (high - low), low + 0.9 * (high - low), high, low]
-    tries = None
-    for k, t in enumerate(targets):
-        own = adaptive_selection(files, category, t, project=project).select(project, "path").withColumn("attempt", F.lit(k))
-        tries = own if tries is None else tries.unionByName(own)
-    n = files.select(project, "path", F.length("content").alias("n"))
-    total = n.groupBy(project).agg(F.sum("n").alias("total"))
-    covered = tries.join(n, [project, "path"]).groupBy(project, "attempt").agg(F.sum("n").alias("got")).join(total, project)
-    covered = covered.withColumn("coverage", F.least(T.ratio(F.col("got"), F.col("total")), F.lit(1.0))).withColumn("level", T.difficulty_of_coverage(F.col("coverage")))
-    best = covered.groupBy(project).agg(F.coalesce(F.min(F.when(F.col("level") == level, F.col("attempt"))), F.lit(0)).alias("attempt"))
-    return tries.join(best, [project, "attempt"]).join(covered.select(project, "attempt", "coverage", "level"), [project, "attempt"])
+    ranked = _ahead(files.withColumn("score", _score(category)), [F.desc("score"), F.col("pos")], is_core(F.col("path"), category), project)
+    taken = F.array(*[F.col("core") | (F.col("share") < t) for t in targets])
+    ranked = stage(ranked.select(project, "path", "size", "ahead_total", taken.alias("taken")), "ranked")
+    got = [F.sum(F.when(F.get("taken", k), F.col("size")).otherwise(0)) for k in range(len(targets))]
+    tries = ranked.groupBy(project).agg(F.array(*[F.least(T.ratio(g, F.max("ahead_total")), F.lit(1.0)) for g in got]).alias("shares"))
+    tries = tries.withColumn("levels", F.array(*[T.difficulty_of_coverage(F.get("shares", k)) for k in range(len(targets))]))
+    first = F.coalesce(F.nullif(F.array_position("levels", level), F.lit(0)), F.lit(1)).cast("int")
+    best = tries.select(F.col(project).alias("_project"), (first - 1).alias("attempt"), F.get("shares", first - 1).alias("coverage"), F.get("levels", first - 1).alias("level"))
+    out = ranked.join(best, F.col(project).eqNullSafe(F.col("_project"))).filter(F.get("taken", F.col("attempt")))
+    return out.select(project, "attempt", "path", "coverage", "level")
 
 
 def project_constraints(files: DataFrame, min_files: int = 10, max_files: int = 100, low: float = 0.3, high: float = 1.0, min_docs: float = 0.01, project: str = "project") -> DataFrame:

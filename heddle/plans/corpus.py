@@ -140,11 +140,41 @@ def difficulty_from_coverage(spark, sf_dir):
     return x.withColumn("difficulty", T.difficulty_of_coverage(F.col("share")))
 
 
-def select_for_difficulty(spark, sf_dir):
-    return selection.select_for_difficulty(D.files(spark, sf_dir), "none", 0.4, 0.6, "medium")
+def _by_category(category: str) -> str:
+    """Files under names (D.NAMED) with core and score, as the category sees them."""
+    core = " OR ".join(f"contains(lower(path), '{w.lower()}')" for w in W.CORE_FILES[category])
+    words = " + ".join(f"CAST(contains(lower(path), '{w}') AS INT)" for w in W.RELEVANT_WORDS[category])
+    return f"SELECT '{category}' AS category, *, {core} AS core, round(least({words}, 5) + 0.3 * least(length(content) / 10000, 1.0) + 0.2 * x, 6) AS score FROM f"
+
+
+EFFORT = f"{D.NAMED.replace('f AS', 'g AS', 1)}, f AS (SELECT *, {_effort()} AS x FROM g)"
+
 
+@query(f"""WITH {EFFORT}, k AS ({" UNION ALL ".join(_by_category(c) for c in W.CATEGORIES)})
+SELECT category, project, path, core, score, CAST(row_number() OVER (PARTITION BY category, project ORDER BY score DESC, pos) AS INT) AS rank FROM k""")
+def category_relevance(spark, sf_dir):
+    """Every file as each of the eight categories ranks it."""
+    files = D.named_files(spark, sf_dir)
+    out = None
+    for c in W.CATEGORIES:
+        ranked = selection.rank_files(files.withColumn("core", selection.is_core(F.col("path"), c)), c).select(F.lit(c).alias("category"), "project", "path", "core", "score", "rank")
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
-Q["select_for_difficulty"] = select_for_difficulty
+
+TRIES = [0.5, 0.4 + 0.75 * (0.6 - 0.4), 0.4 + 0.9 * (0.6 - 0.4), 0.6, 0.4]
+
+
+@query(f"""WITH {EFFORT}, k AS ({_by_category("bug_investigation")}), t(attempt, target) AS (VALUES {", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(TRIES))}),
+b AS (SELECT *, length(content) AS n, sum(length(content)) OVER (PARTITION BY project) AS total, coalesce(sum(length(content)) OVER (PARTITION BY project ORDER BY core DESC, score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+s AS (SELECT project, attempt, path, n, total FROM b, t WHERE core OR before / total < target),
+c AS (SELECT project, attempt, least(sum(n) / any_value(total), 1.0) AS coverage FROM s GROUP BY ALL),
+l AS (SELECT *, CASE WHEN coverage BETWEEN 0.2 AND 0.4 THEN 'easy' WHEN coverage BETWEEN 0.4 AND 0.6 THEN 'medium' WHEN coverage BETWEEN 0.6 AND 0.8 THEN 'hard' WHEN coverage BETWEEN 0.8 AND 1.0 THEN 'expert' ELSE 'easy' END AS level FROM c),
+w AS (SELECT project, coalesce(min(CASE WHEN level = 'medium' THEN attempt END), 0) AS attempt FROM l GROUP BY project)
+SELECT s.project, CAST(s.attempt AS INT) AS attempt, s.path, round(l.coverage, 6) AS coverage, l.level FROM s JOIN w ON w.project = s.project AND w.attempt = s.attempt JOIN l ON l.project = s.project AND l.attempt = s.attempt""")
+def select_for_difficulty(spark, sf_dir):
+    x = selection.select_for_difficulty(D.named_files(spark, sf_dir), "bug_investigation", 0.4, 0.6, "medium")
+    return x.withColumn("coverage", F.round("coverage", 6))
 
 
 @query(rf"""WITH RECURSIVE {D.FILES}, l AS (SELECT path, string_split(content, chr(10)) AS l FROM f WHERE content <> ''),

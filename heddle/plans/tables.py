@@ -54,6 +54,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = "f AS (SELECT source AS project, concat('doc_', doc_id, '.txt') AS path, text AS content, doc_id AS pos FROM documents)"
 
 
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files whose names have the words that categories look for: the word at the place that the text's length gives."""
+    words = F.array(*[F.lit(w) for w in NAMES])
+    name = F.concat(F.element_at(words, (F.length("text") % len(NAMES) + 1).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(words, (F.length("text") % 7 + 1).cast("int")), F.lit(".py"))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("project"), name.alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("pos"))
+
+
+#: Names for files: words of the categories' lists and others.
+NAMES = ["main", "util", "test", "auth", "service", "error_trace", "notes", "debug_bug_issue", "Makefile", "login_token", "api_client", "readme", "state_cache", "index", "refactor_helper", "create_endpoint"]
+NAMED = f"""f AS (SELECT source AS project, concat(n[1 + length(text) % {len(NAMES)}], '_', doc_id, '/', n[1 + length(text) % 7], '.py') AS path, text AS content, doc_id AS pos FROM documents, (SELECT {NAMES!r} AS n))"""
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as solutions: what the assistant says is code."""
     c = read(spark, sf_dir, "conversations").filter("role = 'assistant'")

@@ -55,16 +55,18 @@ def plain(edges):
 
 
 def check(spark, edges):
-    e = frame(spark, edges)
+    """Both projects at once: the edges, and the edges turned round."""
+    e = frame(spark, edges).cache()
+    found = cycles.components(e)
+    deep, rows = graph.depth(e).collect(), cycles.shortest_cycles(e, found).collect()
+    found = found.collect()
     for project, turned in (("p", edges), ("q", [(b, a) for a, b in edges])):
         depths, part, paths = plain(turned)
-        of = lambda df: df.filter(f"project = '{project}'").collect()  # noqa: B023, E731
-        assert {r.node: r.depth for r in of(graph.depth(e))} == depths
-        found = cycles.components(e)
-        assert {r.node: r.cycle for r in of(found)} == part
-        rows = of(cycles.shortest_cycles(e, found))
-        assert {r.cycle: r.path for r in rows} == paths
-        assert all(r.length == len(r.path) for r in rows)
+        assert {r.node: r.depth for r in deep if r.project == project} == depths
+        assert {r.node: r.cycle for r in found if r.project == project} == part
+        assert {r.cycle: r.path for r in rows if r.project == project} == paths
+    assert all(r.length == len(r.path) for r in rows)
+    assert len(deep) == len({(r.project, r.node) for r in deep}) and len(found) == len({(r.project, r.node) for r in found})
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -74,6 +76,7 @@ def test_random_graphs(spark, seed):
     edges = {(r.randrange(n), r.randrange(n)) for _ in range([22, 44, 75][seed])}
     chain = [1000 + k for k in range(9)]
     edges |= set(zip(chain, chain[1:], strict=False)) | {(3, 1000), (1008, r.randrange(n))}
+    edges |= {(2000 + k, 2001 + k) for k in range(12)} | {(2100 + k, 2000 + k) for k in range(12)}  # a spine with legs
     check(spark, sorted(edges))
 
 
@@ -101,4 +104,10 @@ def test_a_chain_and_a_ring_of_a_million_nodes(spark):
     tail = one.unionAll(spark.createDataFrame([("p", n, 10)], "project string, src bigint, dst bigint"))
     parts = graph.cycles(tail)
     assert tuple(parts.selectExpr("count(*)", "min(node)", "max(cycle)").first()) == (n - 9, 10, 10)
-    assert tuple(cycles.shortest_cycles(tail, parts).selectExpr("cycle", "length", "path[0]", "path[1]", "element_at(path, -1)").first()) == (10, n - 9, 10, 11, n)
+
+
+def test_the_path_of_a_long_ring(spark):
+    n = 20_000
+    ring = spark.range(n).selectExpr("'p' as project", "id + 10 as src", f"(id + 1) % {n} + 10 as dst")
+    parts = ring.selectExpr("project", "src as node", "10L as cycle")
+    assert tuple(cycles.shortest_cycles(ring, parts).selectExpr("cycle", "length", "path[0]", "path[1]", "element_at(path, -1)").first()) == (10, n, 10, 11, n + 9)
