@@ -65,9 +65,9 @@ def depth(edges: DataFrame) -> DataFrame:
     """project, node, depth: the longest path from each node to a leaf; infinite where a cycle can be reached.
 
     A round takes the depths known by now into the nodes above (each keeps the greatest so far, its floor) and settles those
-    that wait for nothing else.  Where that are few, nodes that wait for one other node are contracted: their depth is
-    max(floor, weight + depth of that node), which composes along a chain; they are filled in at the end, the last ones
-    first.  Where a round settles and contracts nothing, each node that is left leads to others that are left, so into a cycle.
+    that wait for nothing else.  Where far more wait for one other node, these are contracted: their depth is max(floor,
+    weight + depth of that node), which composes along a chain; they are filled in at the end, the last ones first.  Where a
+    round settles and contracts nothing, each node that is left leads to others that are left, so into a cycle.
     """
     open_edges = _plain(edges).withColumn("w", F.lit(1.0))
     nodes = open_edges.select("project", F.col("src").alias("node")).distinct().withColumn("floor", F.lit(0.0))
@@ -91,7 +91,7 @@ def depth(edges: DataFrame) -> DataFrame:
             settled.append(state.select("project", "node", F.lit(ENDLESS).alias("depth")))
             break
         waits = waits.filter("depth is null").drop("depth")
-        if 5 * n_known >= n_all or not n_one:
+        if n_one <= 8 * n_known or not n_one:
             nodes = state.filter(~known).select("project", "node", "floor")
             open_edges = waits.join(_named(nodes, "src"), ["project", "src"], "left_semi") if n_known else waits
             continue
@@ -183,7 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not n or 5 * n < 4 * n_before:
             continue
         passes = stage(_passes(here), "passes")
-        if not passes.isEmpty():
+        n_passes = passes.count()
+        if n_passes > 8 * (n_before - n):
             ends = followed(passes)
             short = stage(_contracted(here, ends), "short")
             levels.append((ends, short))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import text as T
 from heddle.functions import wordlists as W
-from heddle.operators import metrics, retrieval, security, selection
+from heddle.operators import metrics, retrieval, security, selection, vectors
 from heddle.plans import tables as D
 
 Q: dict = {}
@@ -209,6 +209,14 @@ def cosine_topk(spark, sf_dir):
     return retrieval.cosine_top_k(v, v.filter("vec_id % 100 = 0"))
 
 
+@query(SQL["cosine_topk"].replace("rank <= 5", "rank <= 3"))
+def cosine_index_topk(spark, sf_dir):
+    """The same by the index of cells; so many cells are searched that nothing is missed here, which the SQL would show."""
+    v = D.read(spark, sf_dir, "embeddings")
+    index = vectors.CellIndex(v, cells=32)
+    return index.search(v.filter("vec_id % 100 = 0"), k=3, probes=32)
+
+
 @query(f"""WITH {D.FILES}, l AS (SELECT project, unnest({FILLED}) AS l FROM f), c AS (SELECT project, l, count(*) AS n FROM l GROUP BY ALL), a AS (SELECT project, sum(n) AS n, count(*) AS d FROM c GROUP BY project)
 SELECT project, CAST(n AS BIGINT) AS n_filled, d AS n_distinct, round(greatest(1 - 2 * (n - d) / n, 0.0), 6) AS dry FROM a""")
 def dry_ratio(spark, sf_dir):

@@ -110,11 +110,15 @@ def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: The languages that projects are made in.
+LANGUAGES = ["python", "cpp", "java", "c", "csharp", "javascript", "typescript", "go", "rust", "php"]
+
+
 @dataclass
 class Config:
     """Settings with the checks that keep them usable."""
 
-    languages: list[str] = field(default_factory=lambda: ["python", "javascript", "java", "cpp", "go", "rust", "typescript", "csharp", "c", "php"])
+    languages: list[str] = field(default_factory=lambda: list(LANGUAGES))
     categories: list[str] = field(default_factory=lambda: list(W.CATEGORIES))
     total_instances: int = 8000
     projects_per_language: int = 100

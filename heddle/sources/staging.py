@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[str] = []
-_also: list[list[str]] = []
+#: The lists that note what is staged here; a thread has its own, so one pipeline never notes what another one stages.
+_also: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("also", default=())
 
 
 @contextlib.contextmanager
 def staged_by(paths: list[str]) -> Iterator[None]:
     """Notes in paths what is staged meanwhile."""
-    _also.append(paths)
+    token = _also.set((*_also.get(), paths))
     try:
         yield
     finally:
-        _also.remove(paths)
+        _also.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def noted(path: str) -> str:
     """path, which is staged data from now on."""
-    for paths in (_staged, *_also):
+    for paths in (_staged, *_also.get()):
         paths.append(path)
     return path
 
@@ -56,7 +58,7 @@ def delete(spark: SparkSession, paths: Iterable[str]) -> None:
     """Deletes staged data that no plan reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in list(paths):
-        for known in (_staged, *_also):
+        for known in (_staged, *_also.get()):
             if path in known:
                 known.remove(path)
         place = jvm.org.apache.hadoop.fs.Path(path)

@@ -90,7 +90,7 @@ def test_keyword_ties_and_fallback(spark):
     files = spark.createDataFrame([("p", "b.py", "alpha beta"), ("p", "a.py", "alpha beta"), ("q", "z.py", "none")], "project string, path string, content string")
     q = spark.createDataFrame([(1, "p", "Alpha and that beta thing"), (2, "q", "zzzz")], "query_id int, project string, prompt string")
     out = {r.query_id: r.context for r in retrieval.retrieve(files, q, k=1).collect()}
-    assert out == {1: "From a.py:\nalpha beta", 2: "From z.py:\nnone"}
+    assert out == {1: "From a.py (chunk 1, keyword matches: 2):\nalpha beta", 2: "From z.py:\nnone"}
 
 
 def test_cosine_of_zero(spark):

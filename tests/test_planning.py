@@ -114,7 +114,7 @@ def test_unused_imports_and_sanitised(spark):
 def test_embedding_and_keywords(spark):
     t = spark.createDataFrame([("red green",), ("",), (None,)], "text string")
     v = [r.embedding for r in retrieval.embed(t).collect()]
-    assert sum(x * x for x in v[0]) == pytest.approx(1) and not any(v[1]) and not any(v[2]) and len(v[0]) == 64
+    assert sum(x * x for x in v[0]) == pytest.approx(1) and not any(v[1]) and not any(v[2]) and len(v[0]) == 256
     assert [r.embedding for r in retrieval.embed(t, vectoriser=lambda ts: [[float(len(x))] for x in ts]).collect()] == [[9.0], [0.0], [0.0]]
     chunks = spark.createDataFrame([("p", "a", 0, "Hidden lanterns glow"), ("p", "b", 0, "no match"), ("p", "c", 0, None)], "project string, path string, idx int, text string")
     q = spark.createDataFrame([(1, "lantern lantern glow"), (2, "zzzz")], "query_id int, prompt string")
@@ -162,4 +162,3 @@ def test_file_rules(spark):
     assert [score(k) for k in ("architectural_understanding", "cross_file_refactoring", "multi_session_development", "other")] == pytest.approx([0.8, 0.475, 0.14, 0.275])
     assert one(spark, metrics.prompt_text(F.create_map(F.lit("session_2"), F.lit("b"), F.lit("session_10"), F.lit("a")))) == "a b"
     assert one(spark, ast_facts.symbols(F.struct(F.array(F.lit("f")).alias("functions"), F.array(F.lit("C")).alias("classes"), F.array(F.lit("f")).alias("variables")))) == ["f", "C"]
-    assert security.warnings_of is not None
