@@ -8,7 +8,8 @@ the boundary are resolved by id.
 Defined results: vectors that are null or hold a null or non-finite component take no part, neither do rows without id.
 Vectors of different lengths have no inner product: a query's candidates are those of its own length (empty vectors score
 0 with each other).  Repeated ids are candidates each.  Fewer than k candidates give fewer rows;
-an empty table gives none.  Extra columns are ignored.
+an empty table gives none.  Extra columns are ignored.  Scores are exact whatever their size; where one that would be
+returned, or a quantised component, does not fit in 64 bits, the query ends in a ScoreOverflow that names it.
 """
 
 from __future__ import annotations
@@ -28,10 +29,16 @@ QUERY_SCHEMA = "q_d int, q_ids binary, q_vectors binary"
 RESULT_SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
+class ScoreOverflow(ArithmeticError):
+    """A score among the best of a block, or a quantised component, is beyond 64 bits, so no result would be right."""
+
+
 def quantise(x: Column, scale: int = 1024) -> Column:
-    """floor(scale * component) as bigint, null for a vector with a null or non-finite component."""
+    """floor(scale * component) as bigint, null for a vector with a null or non-finite component; an error beyond 64 bits."""
     ok = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    return F.when(ok, F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("bigint")))
+    fits = ~F.exists(x, lambda v: F.abs(scale * v.cast("double")) >= 2.0**63)
+    whole = F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("bigint"))
+    return F.when(ok & fits, whole).when(ok, F.raise_error(F.lit(f"ScoreOverflow: a component times {scale} does not fit in 64 bits")))
 
 
 def slice_block(ids: np.ndarray, v: np.ndarray) -> dict[str, bytes]:
@@ -49,7 +56,7 @@ def score_slices(q: np.ndarray, low: np.ndarray, slices: list[list[np.ndarray]],
     A component of q is taken as signed digits; a digit -1 adds the complement (all ones less the slice), which moves the constant.
     """
     columns: list[list[np.ndarray]] = []
-    const = int(np.dot(q, low))
+    const = sum(a * b for a, b in zip(q.tolist(), low.tolist(), strict=True))
     for d, own in enumerate(slices):
         left, at = int(q[d]), 0
         while left:
@@ -122,7 +129,10 @@ def search_block(ids: np.ndarray, low: np.ndarray, slices: list[list[np.ndarray]
         tied = places(maybe)
         tied = tied[np.argsort(ids[tied], kind="stable")][: max(0, k - len(found))]
         for r in [*found.tolist(), *tied.tolist()]:
-            yield qid, int(ids[r]), const + sum(1 << w for w, s in enumerate(score) if int(s[r >> 6]) >> (r & 63) & 1)
+            total = const + sum(1 << w for w, s in enumerate(score) if int(s[r >> 6]) >> (r & 63) & 1)
+            if not -(1 << 63) <= total < 1 << 63:
+                raise ScoreOverflow(f"the score of query {qid} with vector {int(ids[r])}, {total}, does not fit in 64 bits")
+            yield qid, int(ids[r]), total
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from heddle.llm import bitsliced
 
 
@@ -55,3 +56,19 @@ def test_vectors_of_several_lengths(spark):
     found = search(spark, rows)
     assert found == brute(rows, 10)
     assert found[100] == [(101, 1024 * 512)] and found[200] == [(7, 0)] and 300 not in found
+
+
+@pytest.mark.parametrize("large", [1e15, 1e17, 1e30])
+def test_scores_beyond_64_bits_are_named(spark, large):
+    rows = [(0, [0.5, 0.25]), (1, [large, 1.0]), (2, [0.25, 0.5])]
+    t = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="ScoreOverflow"):
+        bitsliced.top_k(t, t.filter("vec_id % 100 = 0")).collect()
+
+
+def test_large_scores_that_fit(spark):
+    rows = [(0, [2.0**20, -1.0]), (1, [2.0**20, 1.0]), (2, [-(2.0**20), 3.0]), (3, [2.0**21, 2.0**21])]
+    t = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in bitsliced.top_k(t, t.filter("vec_id = 0")).orderBy("rank").collect()]
+    dot = lambda a, b: sum(int(1024 * x) * int(1024 * y) for x, y in zip(a, b, strict=True))
+    assert found == sorted(((i, dot(rows[0][1], v)) for i, v in rows[1:]), key=lambda x: (-x[1], x[0]))
