@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import wordlists as W
@@ -42,13 +42,32 @@ def prompts(scenarios: DataFrame) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """JSON lines of results of any age; damaged lines are left out, or fail if strict."""
-    old = ", ".join(f"{o} double" for names in LEGACY.values() for o in names)
-    return migrate(spark.read.schema(f"{RESULT}, {old}").option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path))
+    if strict:
+        return migrate(spark.read.schema(f"{RESULT}, {OLD}").option("mode", "FAILFAST").json(path))
+    return observed_results(spark, path)[0]
+
+
+OLD = ", ".join(f"{o} double" for names in LEGACY.values() for o in names)
+
+
+def observed_results(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """What read_results() gives, and an observation of the same pass: lines, damaged (count) and sample (one such line).
+
+    observation.get waits for the first action on the results, which should be one that reads them once: a sort, which samples
+    its input before it, counts every line twice.
+    """
+    seen = Observation("lines")
+    bad = F.col("_corrupt_record")
+    rows = spark.read.schema(f"{RESULT}, {OLD}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(bad).alias("damaged"), F.min(F.substring(bad, 1, 200)).alias("sample"))
+    return migrate(rows.filter(bad.isNull()).drop("_corrupt_record")), seen
 
 
 def count_damaged(spark: SparkSession, path: str) -> int:
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.filter(F.try_parse_json("value").isNull()).count()
+    """How many lines cannot be read, for callers that want nothing else."""
+    rows, seen = observed_results(spark, path)
+    rows.write.format("noop").mode("overwrite").save()
+    return seen.get["damaged"]
 
 
 def append_results(results: DataFrame, path: str) -> None:
