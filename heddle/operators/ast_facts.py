@@ -6,7 +6,7 @@ A file that does not parse has ok = false and empty facts.  Async functions coun
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -29,6 +29,7 @@ GO = {
     "imports": [r'import\s+"([^"]+)"', r"import\s+`([^`]+)`"],
     "variables": r"(?:var|:=)\s+(\w+)",
     "branches": ["if", "for", "switch", "case", "select"],
+    "arguments": r"func\s+(?:\([^)]*\)\s+)?\w+\s*\(([^)]*)\)",
 }
 JAVASCRIPT = {
     "functions": [r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>", r"(\w+)\s*:\s*(?:async\s+)?function\s*\(", r"(\w+)\s*\([^)]*\)\s*\{"],
@@ -146,6 +147,32 @@ def _branches(c: Column, words: list[str]) -> Column:
     return F.aggregate(F.split(c, "\n", -1), F.lit(1), lambda n, x: n + held(x))
 
 
+def _numbered_lines(c: Column, name: Callable[[Column], Column], more: Callable[[Column], list[Column]]) -> Column:
+    """name, line_number and more of the lines for which name is not empty."""
+    rows = F.transform(F.split(c, "\n", -1), lambda x, i: F.struct(name(x).alias("name"), (i + 1).alias("line_number"), *more(x)))
+    return F.filter(rows, lambda r: r["name"] != "")
+
+
+def go_functions(c: Column) -> Column:
+    """name, line_number, args (the last word of each parameter) and is_method of a Go file's functions, one a line.
+
+    is_method says that a parenthesis opens before the word func.
+    """
+
+    def more(x: Column) -> list[Column]:
+        parts = F.filter(F.split(F.regexp_extract(x, GO["arguments"], 1), ","), lambda p: F.rlike(p, F.lit(r"\S")))
+        method = F.contains(x, F.lit(")")) & (F.locate("(", x) > 0) & (F.locate("(", x) < F.locate("func", x))
+        return [F.transform(parts, lambda p: F.regexp_extract(p, r"(\S+)\s*$", 1)).alias("args"), method.alias("is_method")]
+
+    return _numbered_lines(c, lambda x: F.regexp_extract(x, GO["functions"], 1), more)
+
+
+def javascript_functions(c: Column) -> Column:
+    """name, line_number and is_async (the line has the word) of a JavaScript or TypeScript file's functions, one a line."""
+    name = lambda x: F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in JAVASCRIPT["functions"]], F.lit(""))
+    return _numbered_lines(c, name, lambda x: [F.contains(x, F.lit("async")).alias("is_async")])
+
+
 def parse_go(c: Column) -> Column:
     """Functions, types, imports (of one line), variables and complexity of a Go file by line patterns; one match a line."""
     return F.struct(

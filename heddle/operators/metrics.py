@@ -7,7 +7,7 @@ many files it has.  The prompts (scenarios) are joined by scenario_id to the gro
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -205,10 +205,21 @@ def prompt_text(prompt: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(prompt)), lambda e: e["value"]), " ")
 
 
+def requirements_text(prompt: Column) -> Column:
+    """The sessions of a map session -> prompt as they are put to a model: each under its name in capitals, in their order."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(prompt)), lambda e: F.concat(F.lit("**"), F.upper(e["key"]), F.lit("**: "), e["value"])), "\n\n")
+
+
+def first_session(prompt: Column) -> Column:
+    """The first of them, by which context is retrieved; null without sessions."""
+    first = F.get(F.array_sort(F.map_entries(prompt)), 0)
+    return F.concat(F.lit("**"), F.upper(first["key"]), F.lit("**: "), first["value"])
+
+
 def term_coverage(files: DataFrame, scenarios: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Scores that compare a scenario's words with a solution's: extraction, requirements, terminology, context usage.
 
-    Wanted words are one row per scenario and word; each is looked for in the files of the scenario's solutions.
+    The words that a scenario wants go to its files as one array; what a file holds of them is counted by solution.
     scenarios(scenario_id, task_category, description, prompt, context_files).
     """
     low_text = F.lower(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("prompt", F.lit(""))))
@@ -228,14 +239,26 @@ def term_coverage(files: DataFrame, scenarios: DataFrame, keys: list[str] = KEYS
         "context": F.transform(F.coalesce("context_files", F.array().cast("array<string>")), T.stem),
         "structure": mentioned(["function", "struct", "interface", "package"]),
     }
-    wanted = scenarios.select("scenario_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("words")) for k, v in kinds.items()])).alias("x"))
-    wanted = wanted.select("scenario_id", "x.kind", F.explode("x.words").alias("word")).groupBy("scenario_id", "kind", "word").agg(F.count(F.lit(1)).alias("n"))
+    lists = [F.transform(F.coalesce(v, F.array().cast("array<string>")), partial(lambda kind, w: F.struct(kind.alias("kind"), w.alias("word")), F.lit(k))) for k, v in kinds.items()]
+    wanted = scenarios.select("scenario_id", F.concat(*lists).alias("_wanted"))
+    counts = wanted.select("scenario_id", F.explode("_wanted").alias("x")).groupBy("scenario_id", "x.kind", "x.word").agg(F.count(F.lit(1)).alias("n"))
+
+    def held(content: Column, words: Column) -> Column:
+        """Those of words that the text holds; the text is put into lower case once, as an element of an array."""
+
+        def of(low: Column) -> Column:
+            structure = lambda w: F.when(w == "function", F.contains(low, F.lit("func "))).when(w == "struct", F.contains(low, F.lit("type ")) & F.contains(low, F.lit("struct"))).when(w == "package", F.contains(low, F.lit("package "))).otherwise(F.contains(low, w))
+            exact = lambda w: F.contains(content, w) | F.contains(content, F.lower(w)) | F.contains(content, F.upper(w))
+            hit = lambda k, w: F.when(k == "structure", structure(w)).when(k == "term", exact(w)).when(k == "dependency", F.contains(low, w) | F.contains(low, F.lit("import"))).otherwise(F.contains(low, F.lower(w)))
+            return F.filter(words, lambda x: hit(x["kind"], x["word"]))
+
+        return F.get(F.transform(F.array(F.lower(content)), of), 0)
+
+    found = files.join(wanted, "scenario_id").select(*keys, F.explode(F.array_distinct(held(F.col("content"), F.col("_wanted")))).alias("x"))
+    found = found.groupBy(*keys, "x.kind", "x.word").agg(F.count(F.lit(1)).alias("files"))
+    solutions = files.select(*keys).distinct().join(counts, "scenario_id")
+    seen = solutions.join(found, [*keys, "kind", "word"], "left").select(*keys, "kind", "n", F.coalesce("files", F.lit(0)).alias("files"), F.when(F.col("files") > 0, 1).otherwise(0).alias("any"))
     low = F.lower("content")
-    structure = F.when(F.col("word") == "function", F.contains(low, F.lit("func "))).when(F.col("word") == "struct", F.contains(low, F.lit("type ")) & F.contains(low, F.lit("struct"))).when(F.col("word") == "package", F.contains(low, F.lit("package "))).otherwise(F.contains(low, F.col("word")))
-    exact = F.contains(F.col("content"), F.col("word")) | F.contains(F.col("content"), F.lower("word")) | F.contains(F.col("content"), F.upper("word"))
-    found = F.when(F.col("kind") == "structure", structure).when(F.col("kind") == "term", exact).when(F.col("kind") == "dependency", F.contains(low, F.col("word")) | F.contains(low, F.lit("import"))).otherwise(F.contains(low, F.lower("word")))
-    joined = files.join(wanted, "scenario_id")
-    seen = joined.groupBy(*keys, "kind", "word", "n").agg(F.max(found.cast("int")).alias("any"), F.sum(found.cast("int")).alias("files"))
     total = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
     share = lambda kind: T.ratio(total(kind, F.col("any") * F.col("n")), total(kind, F.col("n")))
     per = seen.groupBy(*keys).agg(

@@ -162,3 +162,17 @@ def test_file_rules(spark):
     assert [score(k) for k in ("architectural_understanding", "cross_file_refactoring", "multi_session_development", "other")] == pytest.approx([0.8, 0.475, 0.14, 0.275])
     assert one(spark, metrics.prompt_text(F.create_map(F.lit("session_2"), F.lit("b"), F.lit("session_10"), F.lit("a")))) == "a b"
     assert one(spark, ast_facts.symbols(F.struct(F.array(F.lit("f")).alias("functions"), F.array(F.lit("C")).alias("classes"), F.array(F.lit("f")).alias("variables")))) == ["f", "C"]
+
+
+def test_function_details(spark):
+    go = "package m\n\nfunc Add(a int, b  int) int {\nfunc (s *Set) Has(key string) bool {\n x := 1\nfunc none() {}\n(f) func Odd( , y T ) {"
+    assert [tuple(r) for r in one(spark, ast_facts.go_functions(F.lit(go)))] == [("Add", 3, ["int", "int"], False), ("Has", 4, ["string"], False), ("none", 6, [], False), ("Odd", 7, ["T"], True)]
+    js = "async function load(x) {\nconst f = async (a) => a\nobj = { go: function () {} }\nlet y = 2\nrun(x) {"
+    assert [tuple(r) for r in one(spark, ast_facts.javascript_functions(F.lit(js)))] == [("load", 1, True), ("f", 2, True), ("go", 3, False), ("run", 5, False)]
+    assert one(spark, ast_facts.go_functions(F.lit(""))) == []
+
+
+def test_session_headings(spark):
+    prompt = F.create_map(F.lit("session_2"), F.lit("b"), F.lit("session_10"), F.lit("a"))
+    assert one(spark, metrics.requirements_text(prompt)) == "**SESSION_10**: a\n\n**SESSION_2**: b"
+    assert one(spark, metrics.first_session(prompt)) == "**SESSION_10**: a"
