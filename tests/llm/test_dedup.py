@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from helpers import make
 from heddle.llm import components, ngram_join, sentence_spans
@@ -150,3 +151,51 @@ def test_short_last_sentence_of_a_passage(spark):
     rows = [(i, text(9) + passage + text(9), "s") for i in range(3)]
     found = {x.doc_id: x.text for x in sentence_spans.remove_repeats(make(spark, rows)).collect()}
     assert found == {i: t.replace(passage, "") if i else t for i, t, _ in rows}
+
+
+def word_windows(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def test_repeats_by_plain_word_windows(spark):
+    """No use of the operator's own sentences or runs: what repeats are is told by windows of words alone."""
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+
+    def prose(n, ends=".!?\n"):
+        out = []
+        while n > 0:
+            k = min(n, r.randint(3, 16))
+            out.append(" ".join(r.choice(vocabulary) for _ in range(k)).capitalize() + r.choice(ends) + " ")
+            n -= k
+        return "".join(out)
+
+    passages = [prose(60), prose(90), prose(70, [","]), " ".join(r.choice(vocabulary) for _ in range(80)) + " "]  # the last two without sentence ends
+    rows = []
+    for i in range(90):
+        parts = [prose(r.randint(20, 120)) for _ in range(3)]
+        if i % 3 == 0:
+            parts.insert(r.randint(1, 2), passages[i // 3 % 4])
+        rows.append((i, "".join(parts), "s"))
+    rows += [(100 + i, prose(60) + rows[1][1] + prose(40), "s") for i in range(3)]  # a whole document within others
+    clean = {i for i, _, _ in rows if i % 3 and i < 90 and i != 1}
+    out = {x.doc_id: x.text for x in sentence_spans.remove_repeats(make(spark, rows)).collect()}
+    before, texts = {}, {i: t for i, t, _ in rows}
+    for i, t in texts.items():
+        for w in word_windows(t, 50):
+            before.setdefault(w, set()).add(i)
+    repeated = {w: ids for w, ids in before.items() if len(ids) > 1}
+    assert len(repeated) > 100
+    left = {}
+    for i, t in out.items():
+        for w in word_windows(t, 50) & repeated.keys():
+            left.setdefault(w, set()).add(i)
+    assert all(len(ids) < 2 for ids in left.values())
+    # The first document that holds a repeat keeps all of its text; documents without any are as they were.
+    assert all(out[i] == texts[i] for i in clean | {0, 1, 3, 6, 9})
+    # Nothing else goes: what is left of a text and the repeats of it are all of its words.
+    for i, t in out.items():
+        common = {w for win in repeated if i in repeated[win] for w in win}
+        gone = Counter(texts[i].lower().split()) - Counter(t.lower().split())
+        assert set(gone) <= common | {w for p in passages for w in p.lower().split()} | set(rows[1][1].lower().split())
