@@ -283,11 +283,8 @@ def term_coverage(files: DataFrame, scenarios: DataFrame, keys: list[str] = KEYS
     return out.select(*keys, extraction.alias("information_extraction"), F.coalesce("requirement_coverage", F.lit(0.5)).alias("requirement_coverage"), F.coalesce("terminology", F.lit(0.6)).alias("terminology"), F.coalesce("context_usage", F.lit(0.5)).alias("context_usage"))
 
 
-def all_metrics(files: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """One row per solution with the metrics that code alone can give, each between 0 and 1."""
-    prompts = scenarios.select("scenario_id", F.lower("prompt").alias("_prompt"), F.col("task_category").alias("_category"))
-    parts = [text_metrics(files), line_duplication(files), naming_mix(files), naming_conflicts(files), cross_references(files), syntax_metrics(files), term_coverage(files, scenarios)]
-    x = reduce(lambda a, b: a.join(b, KEYS, "left"), parts).join(prompts, "scenario_id", "left").na.fill({"n_filled": 0, "n_distinct": 0})
+def compositions() -> dict[str, Column]:
+    """The eleven composed scores, each between 0 and 1, over the columns of the partial scores, _prompt (in lower case) and _category."""
     asks = lambda words, otherwise, score: F.when(T.any_of(F.coalesce("_prompt", F.lit("")), words), score).otherwise(otherwise)
     c = F.col
     context = 0.4 * c("context_usage") + 0.35 * c("requirement_coverage") + 0.25 * c("terminology")
@@ -307,4 +304,12 @@ def all_metrics(files: DataFrame, scenarios: DataFrame) -> DataFrame:
         "information_coverage": 0.4 * c("context_usage") + 0.35 * c("requirement_coverage") + 0.25 * c("information_extraction"),
         "multi_session_memory": F.when(c("_category") == "multi_session_development", 0.4 * c("naming_across") + 0.35 * c("approach_consistency") + 0.25 * c("state_management")).otherwise(context),
     }
-    return x.select(*KEYS, *[T.clamp(s).alias(k) for k, s in scores.items()])
+    return {k: T.clamp(s) for k, s in scores.items()}
+
+
+def all_metrics(files: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """One row per solution with the metrics that code alone can give, each between 0 and 1."""
+    prompts = scenarios.select("scenario_id", F.lower("prompt").alias("_prompt"), F.col("task_category").alias("_category"))
+    parts = [text_metrics(files), line_duplication(files), naming_mix(files), naming_conflicts(files), cross_references(files), syntax_metrics(files), term_coverage(files, scenarios)]
+    x = reduce(lambda a, b: a.join(b, KEYS, "left"), parts).join(prompts, "scenario_id", "left").na.fill({"n_filled": 0, "n_distinct": 0})
+    return x.select(*KEYS, *[v.alias(k) for k, v in compositions().items()])

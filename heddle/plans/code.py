@@ -189,6 +189,32 @@ def naming_mix(spark, sf_dir):
     return metrics.naming_mix(code_files(spark, sf_dir)).select("model", "scenario_id", F.round("naming", 9).alias("naming"))
 
 
+#: Prompts that ask for changes, for every second scenario.
+ASKS = " ".join([W.MODIFY_WORDS[0], W.COMPATIBILITY_WORDS[0], W.DISRUPTION_WORDS[0]]).lower()
+MEANS = ", ".join(f"{'least(' * (k == 'disruption')}avg({PER_FILE[k]}){', 1)' * (k == 'disruption')} AS {k}" for k in ("pattern_consistency", "file_organization", "dependency_structure", "interface_usage", "modification", "data_flow", "compatibility", "reuse", "extension", "disruption"))
+TEXTUAL = ("shared_state", "algorithm_efficiency", "design_patterns", "performance", "modern_practices")
+COMPOSED = {
+    "architectural_coherence": "0.4 * pattern_consistency + 0.3 * file_organization + 0.2 * naming + 0.1 * dependency_structure",
+    "cross_file_reasoning": "0.35 * interface_usage + 0.3 * shared_state + 0.25 * CASE WHEN asks THEN modification ELSE 0.6 END + 0.1 * data_flow",
+    "innovation": "0.3 * algorithm_efficiency + 0.25 * design_patterns + 0.25 * performance + 0.2 * modern_practices",
+    "incremental_development": "0.4 * CASE WHEN asks THEN compatibility ELSE 0.7 END + 0.3 * greatest(reuse - 0.5 * (n_filled - n_distinct) / n_filled, 0) + 0.2 * extension + 0.1 * CASE WHEN asks THEN disruption ELSE 0.7 END",
+}
+
+
+@query(f"""WITH {CODE}, {NAMES}, c AS (SELECT model, scenario_id, style, count(*) AS n FROM y GROUP BY ALL), m AS (SELECT model, scenario_id, least(1.2 * max(n) / sum(n), 1) AS naming FROM c GROUP BY ALL),
+o AS (SELECT model, scenario_id, unnest(list_transform({OWN}, lambda v: {strip('v')})) AS line FROM x), u AS (SELECT model, scenario_id, count(*) AS n_filled, count(DISTINCT line) AS n_distinct FROM o GROUP BY ALL),
+t AS (SELECT model, scenario_id, CAST(scenario_id AS INT) % 2 = 0 AS asks, {MEANS}, {', '.join(f'{PER_SOLUTION[k]} AS {k}' for k in TEXTUAL)} FROM x GROUP BY ALL),
+j AS (SELECT t.*, coalesce(naming, 0.5) AS naming, n_filled, n_distinct FROM t LEFT JOIN m USING (model, scenario_id) LEFT JOIN u USING (model, scenario_id))
+SELECT model, scenario_id, {', '.join(f'round(CAST(least(greatest({v}, 0), 1) AS DOUBLE), 9) AS {k}' for k, v in COMPOSED.items())} FROM j""")
+def solution_compositions(spark, sf_dir):
+    """Those of the composed scores that texts alone give."""
+    files = code_files(spark, sf_dir)
+    x = metrics.text_metrics(files).join(metrics.naming_mix(files), metrics.KEYS, "left").join(metrics.line_duplication(files), metrics.KEYS, "left")
+    x = x.withColumn("_prompt", F.when(F.col("scenario_id").cast("int") % 2 == 0, ASKS).otherwise(""))
+    scores = metrics.compositions()
+    return x.select("model", "scenario_id", *[F.round(scores[k], 9).alias(k) for k in COMPOSED])
+
+
 SOLUTION = """concat('{"a.py": "x = ', p_partkey, '", "b": {"k": [1, ', p_partkey, ']}, "c": ', p_partkey, ', "d": null}')"""
 
 
