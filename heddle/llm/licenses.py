@@ -96,6 +96,12 @@ class Scanner:
             common = max(1, containment * count - stride / 2) if count > 1 else 1
             g["bands"], g["rows"] = band_plan(common / (2 * count - common), rows=rows), rows
         most = max((g["bands"] * g["rows"] for g in self.groups.values()), default=0)
+        self.shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {g["n"] for g in self.groups.values()}:
+            known = np.unique(np.concatenate([x for g in self.groups.values() if g["n"] == n for x in g["sets"]]))
+            bits = np.zeros(1 << 16, dtype=bool)
+            bits[known & np.uint64(len(bits) - 1)] = True
+            self.shingles[n] = bits, known
         self.mul = np.random.default_rng(seed).integers(1, 1 << 62, most, dtype=np.uint64) | np.uint64(1)
         for g in self.groups.values():
             keys: dict[int, list[int]] = {}
@@ -140,6 +146,28 @@ class Scanner:
         return out + (self._laid(held) if held else [])
 
     def _laid(self, parts: list[np.ndarray]) -> list[list[tuple[str, int, float]]]:
+        """Matches of each text.  A text without a single shingle of any template has none: only the others are gone through."""
+        kept = np.flatnonzero(self._touched(parts))
+        out: list[list[tuple[str, int, float]]] = [[] for _ in parts]
+        if len(kept):
+            for k, found in zip(kept.tolist(), self._matched([parts[k] for k in kept.tolist()]), strict=True):
+                out[k] = found
+        return out
+
+    def _touched(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Which texts hold a shingle of a template (and perhaps some that do not)."""
+        ends = np.cumsum([len(p) for p in parts])
+        h = np.concatenate(parts)
+        out = np.zeros(len(parts), dtype=bool)
+        for n, (bits, known) in self.shingles.items():
+            if len(h) >= n:
+                s = shingles(h, n)
+                at = np.flatnonzero(bits[s & np.uint64(len(bits) - 1)])
+                at = at[np.isin(s[at], known)]
+                out[np.searchsorted(ends, at, side="right")] = True
+        return out
+
+    def _matched(self, parts: list[np.ndarray]) -> list[list[tuple[str, int, float]]]:
         """A window that reaches over a text's end is a candidate like others; it is verified on its own text's part only."""
         ends = np.cumsum([len(p) for p in parts])
         begins = ends - [len(p) for p in parts]

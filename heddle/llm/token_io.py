@@ -12,6 +12,8 @@ holds an index of its documents and independently coded blocks, each with the ch
 
 A task that is run again writes the same file under the same name: the file appears whole, by a rename.
 
+Ids are held in 16 bits: a vocabulary of over 65,536 ids is refused.
+
 Defined results: a null text is encoded as an empty one, to its end id alone.  Null ids come first; rows that share an
 id follow each other, in the order of their texts' hashes.  An empty table gives no file and an empty result.  Extra
 columns are ignored.
@@ -53,6 +55,8 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has over 65,536 ids, more than the files' 16 bits hold")
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.inner, self.head = Recent(most), Recent(most)
 
