@@ -32,6 +32,9 @@ SESSION_MARKS = ["session_", "step_", "phase_", "stage_"]
 SESSION_STARTS = ("s1", "s2", "s3", "stage1", "stage2", "stage3")
 CODE_SUFFIX = r"(?:go|py|js|ts|rs|java|cpp|h)"
 FILE_ENDINGS = (".go", ".py", ".js", ".ts", ".rs", ".java", ".cpp", ".h", ".txt", ".md", ".json", ".xml", ".yml", ".yaml", ".conf", ".cfg", ".ini", ".properties")
+FENCE_NAMES = {"python": "python|py", "javascript": "javascript|js", "typescript": "typescript|ts", "go": "go|golang", "rust": "rust|rs", "cpp": r"cpp|c\+\+"}
+HEADERS = [r"(?:File|Filename):\s*([^\n]+)", rf"#+\s*([^\n]+\.{CODE_SUFFIX})", rf"//\s*([^\n]+\.{CODE_SUFFIX})"]
+PAIRS = [rf'"([^"]+\.{CODE_SUFFIX})"\s*:\s*"((?:[^"\\]|\\.)*)"', rf"(\w+\.{CODE_SUFFIX})\s*[:=]\s*`([^`]+)`"]
 # --- fixed values: end ---
 
 
@@ -179,15 +182,14 @@ def from_json(reply: str, language: str) -> dict[str, str] | None:
 
 
 def from_pairs(reply: str, language: str) -> dict[str, str] | None:
-    found = re.findall(rf'"([^"]+\.{CODE_SUFFIX})"\s*:\s*"((?:[^"\\]|\\.)*)"', reply, re.DOTALL)
+    found = re.findall(PAIRS[0], reply, re.DOTALL)
     if found:
         return {name: unescape(code) for name, code in found}
-    return dict(re.findall(rf"(\w+\.{CODE_SUFFIX})\s*[:=]\s*`([^`]+)`", reply, re.DOTALL)) or None
+    return dict(re.findall(PAIRS[1], reply, re.DOTALL)) or None
 
 
 def from_fences(reply: str, language: str) -> dict[str, str] | None:
-    names = {"python": "python|py", "javascript": "javascript|js", "typescript": "typescript|ts", "go": "go|golang", "rust": "rust|rs", "cpp": r"cpp|c\+\+"}
-    own = re.findall(rf"```(?:{names.get(language, re.escape(language))})\s*\n(.*?)```", reply, re.DOTALL | re.IGNORECASE)
+    own = re.findall(rf"```(?:{FENCE_NAMES.get(language, re.escape(language))})\s*\n(.*?)```", reply, re.DOTALL | re.IGNORECASE)
     if own:
         return {f"solution_{i}.{SUFFIXES.get(language, 'go')}": c.strip() for i, c in enumerate(own, 1)}
     every = re.findall(r"```[^\n`]*\n(.*?)```", reply, re.DOTALL)
@@ -196,7 +198,7 @@ def from_fences(reply: str, language: str) -> dict[str, str] | None:
 
 def from_headers(reply: str, language: str) -> dict[str, str] | None:
     out = {}
-    for mark in (r"(?:File|Filename):\s*([^\n]+)", rf"#+\s*([^\n]+\.{CODE_SUFFIX})", rf"//\s*([^\n]+\.{CODE_SUFFIX})"):
+    for mark in HEADERS:
         heads = list(re.finditer(rf"(?:^|\n){mark}", reply, re.IGNORECASE))
         for h, after in zip(heads, [*heads[1:], None]):
             body = re.sub(r"^```[^\n]*\n|\n?```\s*$", "", reply[h.end() : after.start() if after else len(reply)].strip()).strip("\n")

@@ -92,7 +92,7 @@ def test_errors_and_limits(spark):
     assert one(spark, planning.lookup(F.lit("b"), {"a": "1", "b": "2"}, "a")) == "2" and one(spark, planning.lookup(F.lit("z"), {"a": "1", "b": "2"}, "a")) == "1"
 
 
-def test_planning(spark):
+def test_planning(spark, tmp_path):
     sizes = [tuple(one(spark, planning.size_ranges(F.lit(d)))) for d in W.DIFFICULTIES]
     assert sizes == [(10, 15, 10000, 100000), (15, 40, 100000, 200000), (40, 80, 200000, 500000), (80, 100, 500000, 1000000)]
     rows = planning.level_quotas(spark.range(1003), "id", {"easy": 0.25, "hard": 0.5}).groupBy("level").count().collect()
@@ -101,7 +101,7 @@ def test_planning(spark):
     lines = [one(spark, planning.split_lines(F.lit(t))) for t in ("", "a", "a\n", "a\nb", "a\r\nb\r", "a\x0bb\u2028c")]
     assert lines == [len(t.splitlines()) for t in ("", "a", "a\n", "a\nb", "a\r\nb\r", "a\x0bb\u2028c")]
     assert one(spark, planning.retrieves(F.lit("Expert"))) and not one(spark, planning.retrieves(F.lit("easy"))) and not one(spark, planning.retrieves(F.lit("hard"), enabled=False))
-    assert sources.create_folders(spark, "file:///tmp/heddle-folders-test/x")[0].endswith("x/scenarios")
+    assert sources.create_folders(spark, f"file://{tmp_path}/x")[0].endswith("x/scenarios")
 
 
 def test_unused_imports_and_sanitised(spark):
