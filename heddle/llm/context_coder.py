@@ -3,12 +3,17 @@
 A block of ids is coded on its own: all state starts anew and the payload has a checksum.  The blocks of a file are coded
 in step, one id of each, so that numpy works on whole columns of blocks.
 
-Order 2 predicts the id that followed the last two ids (hashed) when the block last had them, and knows how often that has
-come true in a row.  Orders 1 and 0 are frequency tables that adapt to the file: the ids that often follow an id, and all
-ids; the file's header holds them, and every block starts from them.  An id is coded as a hit of order 2, or by the table
-of the id before it, or by the table of all ids.  The two decisions have adaptive probabilities, each the mean of what two
-contexts have learnt in the block: the state of the predictions with the last outcome, and a hash of the id before.  All
-arithmetic is on integers, so that encoder and decoder agree on every machine.
+Four predictions of the next id are mixed, as probabilities, in proportion to weights that adapt:
+
+- order 2: the id that followed the last two ids (hashed) when the block last had them;
+- order 1, recent: the same of the last id alone;
+- order 1, counted: a frequency table of the ids that often follow the last id;
+- order 0: a frequency table of all ids, whose ranges grow and shrink with what the block has had.
+
+Weights belong to a state: how often in a row either recent prediction has come true, whether both agree, and whether there
+is a counted table.  After every id each weight moves towards the share that its prediction had in the probability of the
+id.  A file's header holds the two tables and the weights from which every block starts.  All arithmetic of the coding is on
+integers, so that encoder and decoder agree on every machine.
 """
 
 from __future__ import annotations
@@ -19,14 +24,22 @@ import zlib
 import numpy as np
 
 U = np.uint64
-BITS, LOW = U(28), U(31)
-SLOTS = 2048  # order-2 contexts of a block
+SLOTS = 2048  # recent contexts of a block, for either order
 SURE = 3  # highest count of hits in a row
-STATES = (SURE + 1) * 2 * 3  # hits in a row, whether order 1 has a table, last outcome
-NEAR = 64  # hashes of the id before
+STATES = (SURE + 1) * (SURE + 2) * 2
 ZERO, ONE = 1 << 16, 512  # total weights of the tables of order 0 and order 1
+ROW = 127  # ids of a table of order 1
+GROUPS, UNIT = 32, 16  # ranges of order 0, and what each weighs at first
+WIDE = ZERO // GROUPS
+P_BITS = 20  # probabilities; ZERO * UNIT is their total
+TO_P = P_BITS - 9  # from weights of an order-1 table
+W_BITS = 12  # weights of predictions
+BITS = U(P_BITS + W_BITS)
+LOW, DIGIT = U(47), U(16)
 RATE = 5
+LEAST = 24
 PREPARED = 128  # blocks
+FITTED = 64  # blocks of a file by which first weights are chosen
 
 
 def shares(counts: np.ndarray, total: int) -> np.ndarray:
@@ -37,30 +50,32 @@ def shares(counts: np.ndarray, total: int) -> np.ndarray:
 
 
 class Tables:
-    """Frequencies of order 0 and order 1 of the ids of a file."""
+    """Frequencies of order 0 and order 1 of the ids of a file, and the weights that its blocks start from."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, after: np.ndarray, after_weights: np.ndarray):
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, after: np.ndarray, after_weights: np.ndarray, mix: np.ndarray):
         self.parts = (ids, weights, contexts, sizes, after, after_weights)
+        self.mix = mix
         self.weight = np.zeros(1 << 16, dtype=np.int64)
         self.weight[ids] = weights
         self.start = np.cumsum(self.weight) - self.weight
         self.symbol = np.repeat(np.arange(1 << 16), self.weight)
-        # Order 1: a row of ONE slots for every context; row 0 is for ids without a table.
+        # Order 1: row 0 is for ids without a table.
         self.row = np.zeros(1 << 16, dtype=np.int64)
         self.row[contexts] = np.arange(1, len(contexts) + 1)
-        first = np.cumsum(after_weights) - after_weights
-        first %= ONE
-        pad = np.zeros(ONE, dtype=np.int64)
-        self.after = np.concatenate([pad, np.repeat(after, after_weights)])
-        self.after_start = np.concatenate([pad, np.repeat(first, after_weights)])
-        self.after_weight = np.concatenate([pad + 1, np.repeat(after_weights, after_weights)])
+        self.size = np.concatenate([[0], sizes]).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes) - sizes]).astype(np.int64)
         self.pairs = (np.repeat(contexts, sizes) << 16) | after  # sorted
-        self.pair_start, self.pair_weight = first, after_weights
+        self.after = np.append(after, 0)
+        self.slots = np.concatenate([[0], np.cumsum(after_weights)]).astype(np.int64)  # before each pair, over all rows
+        self.pair_start = self.slots % ONE
+        self.pair_weight = np.append(after_weights, 0)
+        self.pair_zero = self.start[self.after]
+        self.search = int(self.size.max()).bit_length()
 
     @classmethod
     def of(cls, x: np.ndarray, length: int, least: int = 3, context_least: int = 24) -> Tables:
         """Tables of the ids of a file: successors seen least times, of ids seen context_least times; blocks start after id 0."""
-        x = x.astype(np.int64)
+        blocks, x = x.reshape(-1, length), x.astype(np.int64)
         counts = np.bincount(x, minlength=1 << 16)
         ids = np.flatnonzero(counts)
         before = np.concatenate([[0], x[:-1]])
@@ -72,19 +87,24 @@ class Tables:
         used, weights, kept_sizes = [], [], []
         for a, k in zip(first.tolist(), sizes.tolist()):
             c = n[a : a + k]
-            best = np.sort(np.argsort(-c, kind="stable")[: ONE // 2])
+            best = np.sort(np.argsort(-c, kind="stable")[:ROW])
             used.append(a + best)
             weights.append(shares(c[best], ONE))
             kept_sizes.append(len(best))
-        at = np.concatenate(used) if used else np.zeros(0, dtype=np.int64)
-        return cls(ids, shares(counts[ids], ZERO) if len(ids) else np.zeros(0, np.int64), contexts, np.array(kept_sizes, dtype=np.int64), pairs[at] & 0xFFFF, np.concatenate(weights) if weights else np.zeros(0, np.int64))
+        none = np.zeros(0, dtype=np.int64)
+        at = np.concatenate(used) if used else none
+        mix = np.full((3, STATES), 1 << W_BITS - 2, dtype=np.int64)
+        tables = cls(ids, shares(counts[ids], ZERO) if len(ids) else none, contexts, np.array(kept_sizes, dtype=np.int64), pairs[at] & 0xFFFF, np.concatenate(weights) if weights else none, mix)
+        if len(blocks):
+            tables.mix = first_weights(blocks[:: max(1, len(blocks) // FITTED)], tables)
+        return tables
 
     def to_bytes(self) -> bytes:
         ids, weights, contexts, sizes, after, after_weights = self.parts
         step = np.diff(after, prepend=0)
         first = np.cumsum(sizes) - sizes
         step[first] = after[first]  # ids of a context are sorted
-        sent = [np.diff(ids, prepend=0), weights - 1, np.diff(contexts, prepend=0), sizes, step, after_weights - 1]
+        sent = [np.diff(ids, prepend=0), weights - 1, np.diff(contexts, prepend=0), sizes, step, after_weights - 1, self.mix.reshape(-1)]
         # low and high bytes apart: the high ones are mostly 0
         planes = b"".join((a & 255).astype(np.uint8).tobytes() + (a >> 8).astype(np.uint8).tobytes() for a in sent)
         body = zlib.compress(planes, 9)
@@ -96,52 +116,136 @@ class Tables:
         n0, n1, n2, size = struct.unpack("<4I", data[:16])
         planes = np.frombuffer(zlib.decompress(data[16 : 16 + size]), dtype=np.uint8).astype(np.int64)
         out, at = [], 0
-        for n in (n0, n0, n1, n1, n2, n2):
+        for n in (n0, n0, n1, n1, n2, n2, 3 * STATES):
             out.append(planes[at : at + n] | (planes[at + n : at + 2 * n] << 8))
             at += 2 * n
-        ids, weights, contexts, sizes, step, after_weights = out
+        ids, weights, contexts, sizes, step, after_weights, mix = out
         total = np.cumsum(step)
         first = np.cumsum(sizes) - sizes
         after = total - np.repeat(total[first] - step[first], sizes) if n2 else step
-        return cls(np.cumsum(ids), weights + 1, np.cumsum(contexts), sizes, after, after_weights + 1), 16 + size
+        return cls(np.cumsum(ids), weights + 1, np.cumsum(contexts), sizes, after, after_weights + 1, mix.reshape(3, STATES)), 16 + size
+
+
+def state_of(sure_two: np.ndarray, sure_one: np.ndarray, agree: np.ndarray, has: np.ndarray) -> np.ndarray:
+    return (sure_two * (SURE + 2) + np.where(agree, SURE + 1, sure_one)) * 2 + has
+
+
+def first_weights(blocks: np.ndarray, tables: Tables) -> np.ndarray:
+    """Weights by state under which the blocks' ids are likely, after a few rounds of expectation and maximisation."""
+    x, two, one, sure_two, sure_one, has, _, weight = (a.astype(np.int64).reshape(-1) for a in prepared(blocks, tables))
+    agree = (two == one) & (sure_two > 0) & (sure_one > 0)
+    state = state_of(sure_two, sure_one, agree, has)
+    p = np.array([(x == two) & (sure_two > 0), (x == one) & (sure_one > 0) & ~agree, weight / ONE, tables.weight[x] / ZERO])
+    n = np.maximum(1, np.bincount(state, minlength=STATES))
+    w = np.full((4, STATES), 0.25)
+    for _ in range(6):
+        part = w[:, state] * p
+        part /= part.sum(axis=0)
+        w = np.array([np.bincount(state, weights=part[j], minlength=STATES) + 1 for j in range(4)]) / (n + 4)
+    return np.maximum(LEAST, (w[:3] * (1 << W_BITS)).astype(np.int64))
 
 
 class Mixer:
-    """Adaptive probabilities (of 4096) of the two decisions, in n blocks; everything of a step is a column over the blocks."""
-
-    def __init__(self, n: int):
-        self.base, self.near = np.arange(n) * STATES, np.arange(n) * NEAR
-        self.hit = [np.full(n * STATES, 1024, dtype=np.int32), np.full(n * NEAR, 1024, dtype=np.int32)]
-        self.one = [np.full(n * STATES, 2048, dtype=np.int32), np.full(n * NEAR, 2048, dtype=np.int32)]
-        self.last = np.full(n, 2)
-
-    def predict(self, sure: np.ndarray, has: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the intervals of a hit and of order 1, of 4096."""
-        self.at = (self.base + (sure * 2 + has) * 3 + self.last, self.near + (before * 40503 >> 4 & NEAR - 1))
-        self.h, self.o = [t[i] for t, i in zip(self.hit, self.at)], [t[i] for t, i in zip(self.one, self.at)]
-        a = np.where(sure > 0, (self.h[0] + self.h[1] >> 1).clip(16, 4000), 0)
-        b = np.where(has > 0, a + ((4096 - a) * (self.o[0] + self.o[1] >> 1).clip(64, 4032) >> 12), a)
-        return a, b
-
-    def learn(self, k: np.ndarray) -> None:
-        is_hit, is_one, missed = (k == 0) * 4095, (k == 1) * 4095, k != 0
-        for t, i, old in zip(self.hit, self.at, self.h):
-            t[i] = old + (is_hit - old >> RATE)
-        for t, i, old in zip(self.one, self.at, self.o):
-            t[i] = np.where(missed, old + (is_one - old >> RATE), old)
-        self.last = k
+    """Weights of the predictions and ranges of order 0, in n blocks; everything of a step is a column over the blocks."""
+
+    def __init__(self, n: int, tables: Tables):
+        self.n, self.tables = n, tables
+        self.lane = np.arange(n)
+        self.base = self.lane * STATES
+        self.weights = np.tile(tables.mix, n).astype(np.int32)
+        # By range and block: units of the ranges before it, and its own in the low 16 bits; a last range ends the table.
+        self.ranges = np.repeat((np.arange(GROUPS + 1, dtype=np.int32) * UNIT << 16) + UNIT, n)
+        self.after_range = np.arange(GROUPS + 1)[:, None]
+
+    def begin(self, two: np.ndarray, one: np.ndarray, sure_two: np.ndarray, sure_one: np.ndarray, has: np.ndarray) -> None:
+        """The predictions of a step; afterwards e holds the three weights that count, and e0 the one of order 0."""
+        self.two, self.one = two, one
+        agree = (two == one) & (sure_two > 0) & (sure_one > 0)
+        self.at = self.base + state_of(sure_two, sure_one, agree, has)
+        self.w = self.weights[:, self.at]
+        self.e = (self.w * 4000 >> W_BITS).astype(np.int64)
+        self.e[0] *= sure_two > 0
+        self.e[1] *= (sure_one > 0) & ~agree
+        self.e[2] *= has
+        self.e0 = (1 << W_BITS) - self.e.sum(axis=0)
+
+    def below(self, slot: np.ndarray) -> np.ndarray:
+        """Probability of order 0 below a slot of its table."""
+        x = self.ranges[(slot >> 11) * self.n + self.lane]
+        return (x >> 16 << 11) + (x & 0xFFFF) * (slot & WIDE - 1)
+
+    def interval(self, x: np.ndarray, start_one: np.ndarray, weight_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of an id under the mixture, of 2 ** BITS; with the begin and width in its order-1 table."""
+        e, t = self.e, self.tables
+        self.slot, self.size = t.start[x], t.weight[x]
+        c0 = self.below(self.slot)
+        p0 = self.below(self.slot + self.size) - c0
+        self.parts = np.stack((e[0] * (x == self.two) << P_BITS, e[1] * (x == self.one) << P_BITS, e[2] * weight_one << TO_P))
+        left = (e[0] * (x > self.two) + e[1] * (x > self.one) << P_BITS) + (e[2] * start_one << TO_P) + self.e0 * c0
+        self.width = self.parts.sum(axis=0) + self.e0 * p0
+        return left, self.width
+
+    def learn(self, step: int) -> None:
+        share = (self.parts << W_BITS) // self.width
+        self.weights[:, self.at] = np.maximum(LEAST, self.w + (share - self.w >> RATE))
+        # The range of the id takes a unit from one of the others, each of which gives in turn.
+        n, giver = self.n, step % GROUPS
+        taker = self.slot + (self.size >> 1) >> 11
+        ranges = self.ranges.reshape(GROUPS + 1, n)
+        moved = ((ranges[giver] & 0xFFFF > 1) & (taker != giver)).astype(np.int32)
+        ranges[giver] -= moved
+        self.ranges[taker * n + self.lane] += moved
+        ranges[giver + 1 :] -= moved << 16
+        ranges += np.multiply(self.after_range > taker, moved << 16, dtype=np.int32)
+
+    def order_zero(self, y: np.ndarray) -> np.ndarray:
+        """The id of order 0 that a value below e0 << P_BITS falls on."""
+        t = y // self.e0
+        group = np.add.reduce(self.ranges.reshape(GROUPS + 1, self.n)[1:GROUPS] >> 16 <= t >> 11, axis=0, dtype=np.int8).astype(np.int64)
+        x = self.ranges[group * self.n + self.lane]
+        return self.tables.symbol[np.minimum((group << 11) + (t - (x >> 16 << 11)) // (x & 0xFFFF), ZERO - 1)]
+
+    def find(self, s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose interval holds s, with its begin and width in the order-1 table of the row."""
+        e, e0, t = self.e, self.e0, self.tables
+        first = t.first[row]
+        low, high = first.copy(), first + t.size[row]
+        for _ in range(t.search):  # entries that begin at s or before
+            mid = low + high >> 1
+            x = t.after[mid]
+            begin = (e[0] * (x > self.two) + e[1] * (x > self.one) << P_BITS) + (e[2] * t.pair_start[mid] << TO_P) + e0 * self.below(t.pair_zero[mid])
+            up = (begin <= s) & (low < high)
+            low, high = np.where(up, mid + 1, low), np.where(up, high, mid)
+        some = low > first
+        last = np.maximum(low - 1, 0)
+        x = t.after[last]
+        start, weight = np.where(some, t.pair_start[last], 0), np.where(some, t.pair_weight[last], 0)
+        end = (e[0] * (x >= self.two) + e[1] * (x >= self.one) << P_BITS) + (e[2] * (start + weight) << TO_P) + e0 * self.below(t.start[x] + t.weight[x])
+        listed = some & (s < end)
+        # Between two entries the table of order 1 stands still: only order 0 and the two single ids are left.
+        start = np.where(listed, start, start + weight)
+        r = s - (e[2] * start << TO_P)
+        swap = self.one < self.two
+        a, b = np.where(swap, self.one, self.two), np.where(swap, self.two, self.one)
+        ea, eb = np.where(swap, e[1], e[0]) << P_BITS, np.where(swap, e[0], e[1]) << P_BITS
+        a_end, b_end = e0 * self.below(t.start[a] + t.weight[a]), e0 * self.below(t.start[b] + t.weight[b])
+        a_begin, b_begin = e0 * self.below(t.start[a]), e0 * self.below(t.start[b])
+        is_a = (r >= a_begin) & (r < a_end + ea)
+        after_a = np.where(r >= a_end + ea, r - ea, r)
+        is_b = (r >= a_end + ea) & (after_a >= b_begin) & (after_a < b_end + eb)
+        rest = np.where((r >= a_end + ea) & (after_a >= b_end + eb), after_a - eb, after_a)
+        any_id = self.order_zero(np.clip(rest, 0, (e0 << P_BITS) - 1))
+        return np.where(listed, x, np.where(is_a, a, np.where(is_b, b, any_id))), start, np.where(listed, weight, 0)
 
 
 def slot(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (one * 40503 + two * 60493) >> 4 & SLOTS - 1
 
 
-def order_two(blocks: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every id of the blocks (n x length): what order 2 predicts, and how often that came true in a row (0: nothing)."""
+def recent(blocks: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every id of the blocks (n x length): what its slot last had, and how often that came true in a row (0: nothing)."""
     n, length = blocks.shape
-    two = np.zeros_like(before)
-    two[:, 1:] = before[:, :-1]
-    key = (np.arange(n)[:, None] * SLOTS + slot(before, two)).reshape(-1)
+    key = (np.arange(n)[:, None] * SLOTS + slots).reshape(-1)
     order = np.argsort(key, kind="stable")
     x, same = blocks.reshape(-1)[order], np.zeros(n * length, dtype=bool)
     same[1:] = key[order[1:]] == key[order[:-1]]
@@ -160,112 +264,101 @@ def order_two(blocks: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def prepared(blocks: np.ndarray, tables: Tables) -> list[np.ndarray]:
-    """By step and block: outcome, hits in a row, whether order 1 has a table, the id before, begin and width of the id in its table."""
+    """By step and block: the id, both recent predictions, their hits in a row, whether order 1 has a table, begin and width there."""
     blocks = blocks.astype(np.int64)
-    before = np.zeros_like(blocks)
-    before[:, 1:] = blocks[:, :-1]
-    guess, sure = order_two(blocks, before)
+    before, earlier = np.zeros_like(blocks), np.zeros_like(blocks)
+    before[:, 1:], earlier[:, 2:] = blocks[:, :-1], blocks[:, :-2]
+    two, sure_two = recent(blocks, slot(before, earlier))
+    one, sure_one = recent(blocks, slot(before, 0))
+    row = tables.row[before]
     pair = (before << 16) | blocks
-    at = np.minimum(np.searchsorted(tables.pairs, pair), max(0, len(tables.pairs) - 1))
-    listed = tables.pairs[at] == pair if len(tables.pairs) else np.zeros(pair.shape, dtype=bool)
-    outcome = np.where((sure > 0) & (guess == blocks), 0, np.where(listed, 1, 2))
-    begin, width = tables.start[blocks], tables.weight[blocks]
-    if len(tables.pairs):
-        begin, width = np.where(listed, tables.pair_start[at] << 7, begin), np.where(listed, tables.pair_weight[at] << 7, width)
-    hit = outcome == 0
-    begin[hit], width[hit] = 0, 1 << 16
-    types = (np.uint8, np.uint8, np.uint8, np.uint16, np.int32, np.int32)
-    return [np.ascontiguousarray(x.T.astype(t)) for x, t in zip((outcome, sure, tables.row[before] > 0, before, begin, width), types, strict=True)]
+    at = np.searchsorted(tables.pairs, pair)
+    known = np.minimum(at, max(0, len(tables.pairs) - 1))
+    listed = tables.pairs[known] == pair if len(tables.pairs) else np.zeros(pair.shape, dtype=bool)
+    begin = np.where(row > 0, tables.slots[at] - ONE * (row - 1), 0)
+    width = np.where(listed, tables.pair_weight[at], 0)
+    types = (np.uint16, np.uint16, np.uint16, np.uint8, np.uint8, np.uint8, np.uint16, np.uint16)
+    return [np.ascontiguousarray(x.T.astype(t)) for x, t in zip((blocks, two, one, sure_two, sure_one, row > 0, begin, width), types, strict=True)]
 
 
 def encode_blocks(blocks: np.ndarray, tables: Tables) -> list[bytes]:
-    """Payloads of blocks (n x length, ids below 65536).  Only the probabilities of the decisions depend on the step before."""
+    """Payloads of blocks (n x length, ids below 65536).  Only weights and ranges depend on the step before."""
     n, length = blocks.shape
     steps = [prepared(blocks[a : a + PREPARED], tables) for a in range(0, n, PREPARED)]  # a few blocks at a time, in small types
-    outcome, sure, has, before, begin, width = (np.concatenate(x, axis=1) for x in zip(*steps))
+    columns = [np.concatenate(x, axis=1) for x in zip(*steps)]
     del steps
-    mixer = Mixer(n)
+    mixer = Mixer(n, tables)
     low, size = np.zeros(n, dtype=U), np.full(n, (1 << 63) - 1, dtype=U)
-    out = np.zeros((length + 3, n), dtype=U)
+    out = np.zeros((2 * length + 6, n), dtype=np.uint32)
     at = np.zeros(n, dtype=np.int64)
 
     def emit(i: np.ndarray) -> None:
-        # 32 bits go out; a carry stays above them and is added to the digit before at the end
+        # 16 bits go out; a carry stays above them and is added to the digit before at the end
         out[at[i], i] = low[i] >> LOW
-        low[i] = (low[i] & U((1 << 31) - 1)) << U(32)
+        low[i] = (low[i] & U((1 << 47) - 1)) << DIGIT
         at[i] += 1
 
     for t in range(length):
-        k = outcome[t].astype(np.int64)
-        a, b = mixer.predict(sure[t].astype(np.int64), has[t].astype(np.int64), before[t].astype(np.int64))
-        left = np.where(k == 0, 0, np.where(k == 1, a, b))
-        f = np.where(k == 0, a, np.where(k == 1, b - a, 4096 - b))
+        x, two, one, sure_two, sure_one, has, begin, width = (c[t].astype(np.int64) for c in columns)
+        mixer.begin(two, one, sure_two, sure_one, has)
+        left, wide = mixer.interval(x, begin, width)
         r = size >> BITS
-        low += r * ((left << 16) + f * begin[t]).astype(U)
-        size = r * (f * width[t]).astype(U)
-        full = np.flatnonzero(size < U(1 << 31))
-        if len(full):
+        low += r * left.astype(U)
+        size = r * wide.astype(U)
+        while len(full := np.flatnonzero(size < U(1 << 47))):
             emit(full)
-            size[full] <<= U(32)
-        mixer.learn(k)
+            size[full] <<= DIGIT
+        mixer.learn(t)
     everyone = np.arange(n)
-    emit(everyone)
-    emit(everyone)
-    carry = np.zeros(n, dtype=U)
-    for t in range(len(out) - 1, -1, -1):
+    for _ in range(4):
+        emit(everyone)
+    carry = np.zeros(n, dtype=np.uint32)
+    for t in range(int(at.max()) - 1, -1, -1):
         d = out[t] + carry
-        out[t], carry = d & U(0xFFFFFFFF), d >> U(32)
-    digits = np.ascontiguousarray(out.T.astype("<u4"))
+        out[t], carry = d & 0xFFFF, d >> 16
+    digits = np.ascontiguousarray(out.T.astype("<u2"))
     return [digits[i, : at[i]].tobytes() for i in range(n)]
 
 
 def decode_blocks(payloads: list[bytes], length: int, tables: Tables) -> np.ndarray:
     """Blocks of so many ids each from their payloads."""
     n = len(payloads)
-    mixer = Mixer(n)
-    digits = np.zeros((max(len(p) for p in payloads) // 4 + 3, n), dtype=U)
+    mixer = Mixer(n, tables)
+    digits = np.zeros((max(len(p) for p in payloads) // 2 + 8, n), dtype=U)
     for i, p in enumerate(payloads):
-        digits[: len(p) // 4, i] = np.frombuffer(p, dtype="<u4")
-    # The first digits fill the window of 63 bits.
-    v = (digits[0] << LOW) | (digits[1] >> U(1))
-    rest = digits[1] & U(1)  # the bit of the second digit that is not in the window yet
-    at = np.full(n, 2, dtype=np.int64)
+        digits[: len(p) // 2, i] = np.frombuffer(p, dtype="<u2")
+    # The first digits fill the window of 63 bits; one bit of the fourth is not in it yet.
+    v = (digits[0] << U(47)) | (digits[1] << U(31)) | (digits[2] << U(15)) | (digits[3] >> U(1))
+    rest = digits[3] & U(1)
+    at = np.full(n, 4, dtype=np.int64)
     size = np.full(n, (1 << 63) - 1, dtype=U)
     out = np.zeros((length, n), dtype=np.uint16)
-    most = U((1 << 28) - 1)
+    most = U((1 << int(BITS)) - 1)
     base = np.arange(n) * SLOTS
-    seen, row_of = np.zeros(n * SLOTS, dtype=np.int64), np.zeros(n * SLOTS, dtype=np.int64)
-    one = two = np.zeros(n, dtype=np.int64)
+    seen, row_of = np.zeros((2, n * SLOTS), dtype=np.uint16), np.zeros((2, n * SLOTS), dtype=np.uint8)
+    before = earlier = np.zeros(n, dtype=np.int64)
     for t in range(length):
-        i = base + slot(one, two)
-        guess, sure, row = seen[i], row_of[i], tables.row[one]
-        a, b = mixer.predict(sure, (row > 0).astype(np.int64), one)
+        i = base + slot(before, earlier), base + slot(before, 0)
+        guess, sure = [a[k].astype(np.int64) for a, k in zip(seen, i)], [a[k].astype(np.int64) for a, k in zip(row_of, i)]
+        row = tables.row[before]
+        mixer.begin(*guess, *sure, (row > 0).astype(np.int64))
         r = size >> BITS
-        s = np.minimum(v // r, most).astype(np.int64)
-        top = s >> 16
-        k = (top >= a).astype(np.int64) + (top >= b)
-        left = np.where(k == 0, 0, np.where(k == 1, a, b))
-        f = np.where(k == 0, a, np.where(k == 1, b - a, 4096 - b))
-        inside = (s - (left << 16)) // f
-        near = row * ONE + np.minimum(inside >> 7, ONE - 1)
-        any_id = tables.symbol[np.minimum(inside, ZERO - 1)]
-        x = np.where(k == 0, guess, np.where(k == 1, tables.after[near], any_id))
-        begin = np.where(k == 0, 0, np.where(k == 1, tables.after_start[near] << 7, tables.start[any_id]))
-        width = np.where(k == 0, 1 << 16, np.where(k == 1, tables.after_weight[near] << 7, tables.weight[any_id]))
-        v -= r * ((left << 16) + f * begin).astype(U)
-        size = r * (f * width).astype(U)
-        full = np.flatnonzero(size < U(1 << 31))
-        if len(full):
+        x, begin, width = mixer.find(np.minimum(v // r, most).astype(np.int64), row)
+        left, wide = mixer.interval(x, begin, width)
+        v -= r * left.astype(U)
+        size = r * wide.astype(U)
+        while len(full := np.flatnonzero(size < U(1 << 47))):
             d = digits[at[full], full]
-            v[full] = (v[full] << U(32)) | (rest[full] << LOW) | (d >> U(1))
+            v[full] = (v[full] << DIGIT) | (rest[full] << U(15)) | (d >> U(1))
             rest[full] = d & U(1)
-            size[full] <<= U(32)
+            size[full] <<= DIGIT
             at[full] += 1
         out[t] = x
-        mixer.learn(k)
-        row_of[i] = np.where((sure > 0) & (guess == x), np.minimum(sure + 1, SURE), 1)
-        seen[i] = x
-        two, one = one, x
+        mixer.learn(t)
+        for a, b, k, g, c in zip(seen, row_of, i, guess, sure):
+            b[k] = np.where((c > 0) & (g == x), np.minimum(c + 1, SURE), 1)
+            a[k] = x
+        earlier, before = before, x
     return np.ascontiguousarray(out.T)
 
 

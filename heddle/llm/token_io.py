@@ -4,9 +4,9 @@ Documents are range-partitioned by id and sorted; each task encodes its texts wi
 document with an end id, and writes files of at most segment_ids ids into a folder that all executors reach.  A file
 holds an index of its documents and independently coded blocks, each with the checksum of its payload:
 
-    magic "HTK2", then little-endian int64: part, segment, documents, ids, block length, blocks, bytes of the tables
+    magic "HTK3", then little-endian int64: part, segment, documents, ids, block length, blocks, bytes of the tables
     per document int64 doc_id and int64 ids with the end id (a null id is written as the least int64)
-    the frequency tables of order 0 and order 1 that every block starts from, and their uint32 crc32
+    the tables of order 0 and order 1 and the first weights, from which every block starts, and their uint32 crc32
     per block uint32 payload length and uint32 crc32 of the payload; then the payloads
     (the last block is filled up with end ids)
 
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from heddle.llm.common import Recent, shared_dir, small_batches, stage, worker_state
 from heddle.llm.context_coder import Tables, checksum, decode_blocks, encode_blocks
 
-MAGIC = b"HTK2"
+MAGIC = b"HTK3"
 NULL_ID = -(1 << 63)
-BLOCK = 4096  # ids
-LANES = 1024  # blocks that are coded in step
+BLOCK = 1024  # ids
+LANES = 4096  # blocks that are coded in step
 
 
 class LibraryEncoder:
@@ -111,17 +111,18 @@ class LibraryEncoder:
 
 
 def file_bytes(part: int, segment: int, doc_ids: list[int], counts: list[int], ids: np.ndarray, end: int) -> bytes:
-    n = -(-len(ids) // BLOCK)
-    blocks = np.full(n * BLOCK, end, dtype=np.uint16)
+    length = min(BLOCK, len(ids))
+    n = -(-len(ids) // length)
+    blocks = np.full(n * length, end, dtype=np.uint16)
     blocks[: len(ids)] = ids
-    tables = Tables.of(blocks, BLOCK)
-    blocks = blocks.reshape(n, BLOCK)
+    tables = Tables.of(blocks, length)
+    blocks = blocks.reshape(n, length)
     payloads = [p for a in range(0, n, LANES) for p in encode_blocks(blocks[a : a + LANES], tables)]
     index = np.empty((len(doc_ids), 2), dtype="<i8")
     index[:, 0], index[:, 1] = doc_ids, counts
     model = tables.to_bytes()
     sums = np.array([(len(p), checksum(p)) for p in payloads], dtype="<u4")
-    head = struct.pack("<7q", part, segment, len(doc_ids), len(ids), BLOCK, n, len(model))
+    head = struct.pack("<7q", part, segment, len(doc_ids), len(ids), length, n, len(model))
     return b"".join([MAGIC, head, index.tobytes(), model, struct.pack("<I", checksum(model)), sums.tobytes(), *payloads])
 
 

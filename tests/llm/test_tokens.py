@@ -118,6 +118,31 @@ def test_range_coder_learns_repeats():
     assert len(context_coder.encode_blocks(block, tables)[0]) < block.size * 2 * 0.1
 
 
+def test_range_coder_adapts_order_zero():
+    """Ids that no context foretells, each block from its own eighth of all ids: under the 12 bits that they take together."""
+    rng = np.random.default_rng(5)
+    blocks = rng.integers(0, 512, (16, 4096)) + 512 * (np.arange(16) % 8)[:, None]
+    tables = context_coder.Tables.of(blocks.reshape(-1), 4096, least=10**9)
+    sent = context_coder.encode_blocks(blocks, tables)
+    assert 8 * sum(map(len, sent)) < 10.5 * blocks.size
+    assert (context_coder.decode_blocks(sent, 4096, tables) == blocks).all()
+
+
+def test_range_coder_mixes_orders():
+    """An id follows the one before by its table or is any id, in equal parts: the mixture comes within 3 % of the entropy."""
+    rng = np.random.default_rng(7)
+    x = np.zeros(120_000, dtype=np.int64)
+    by_table, after, other = rng.random(len(x)) < 0.5, rng.integers(0, 4, len(x)), rng.integers(0, 64, len(x))
+    for k in range(1, len(x)):
+        x[k] = (5 * x[k - 1] + 7 * after[k]) % 64 if by_table[k] else other[k]
+    tables = context_coder.Tables.of(x, 4000)
+    sent = context_coder.encode_blocks(x.reshape(-1, 4000), tables)
+    likely, rest = 0.5 / 4 + 0.5 / 64, 0.5 / 64
+    entropy = -(4 * likely * np.log2(likely) + 60 * rest * np.log2(rest))
+    assert 8 * sum(map(len, sent)) < 1.03 * entropy * len(x)
+    assert (context_coder.decode_blocks(sent, 4000, tables).reshape(-1) == x).all()
+
+
 def test_files_are_smaller_than_order_zero(corpus):
     """At most 0.9 of the entropy of the ids taken one by one, tables and index included, on a text of 60,000 ids."""
     rng = np.random.default_rng(3)
