@@ -24,13 +24,14 @@ import zlib
 import numpy as np
 
 U = np.uint64
-SLOTS = 2048  # recent contexts of a block, for either order
+SLOTS = 1024  # recent contexts of a block, for either order
 SURE = 3  # highest count of hits in a row
 STATES = (SURE + 1) * (SURE + 2) * 2
 ZERO, ONE = 1 << 16, 512  # total weights of the tables of order 0 and order 1
 ROW = 127  # ids of a table of order 1
-GROUPS, UNIT = 32, 16  # ranges of order 0, and what each weighs at first
-WIDE = ZERO // GROUPS
+GROUPS, UNIT = 16, 16  # ranges of order 0, and what each weighs at first
+SPAN = 12
+WIDE = 1 << SPAN  # ZERO // GROUPS
 P_BITS = 20  # probabilities; ZERO * UNIT is their total
 TO_P = P_BITS - 9  # from weights of an order-1 table
 W_BITS = 12  # weights of predictions
@@ -65,12 +66,13 @@ class Tables:
         self.size = np.concatenate([[0], sizes]).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes) - sizes]).astype(np.int64)
         self.pairs = (np.repeat(contexts, sizes) << 16) | after  # sorted
-        self.after = np.append(after, 0)
+        self.search = int(self.size.max()).bit_length()
+        pad = np.zeros(1 << self.search, dtype=np.int64)  # a search looks at places past the end, and keeps off them
+        self.after = np.concatenate([after, pad])
         self.slots = np.concatenate([[0], np.cumsum(after_weights)]).astype(np.int64)  # before each pair, over all rows
-        self.pair_start = self.slots % ONE
-        self.pair_weight = np.append(after_weights, 0)
+        self.pair_start = np.concatenate([self.slots % ONE, pad])
+        self.pair_weight = np.concatenate([after_weights, pad])
         self.pair_zero = self.start[self.after]
-        self.search = int(self.size.max()).bit_length()
 
     @classmethod
     def of(cls, x: np.ndarray, length: int, least: int = 3, context_least: int = 24) -> Tables:
@@ -155,7 +157,7 @@ class Mixer:
         self.weights = np.tile(tables.mix, n).astype(np.int32)
         # By range and block: units of the ranges before it, and its own in the low 16 bits; a last range ends the table.
         self.ranges = np.repeat((np.arange(GROUPS + 1, dtype=np.int32) * UNIT << 16) + UNIT, n)
-        self.after_range = np.arange(GROUPS + 1)[:, None]
+        self.after_range = np.arange(GROUPS + 1, dtype=np.int8)[:, None]
 
     def begin(self, two: np.ndarray, one: np.ndarray, sure_two: np.ndarray, sure_one: np.ndarray, has: np.ndarray) -> None:
         """The predictions of a step; afterwards e holds the three weights that count, and e0 the one of order 0."""
@@ -171,8 +173,8 @@ class Mixer:
 
     def below(self, slot: np.ndarray) -> np.ndarray:
         """Probability of order 0 below a slot of its table."""
-        x = self.ranges[(slot >> 11) * self.n + self.lane]
-        return (x >> 16 << 11) + (x & 0xFFFF) * (slot & WIDE - 1)
+        x = self.ranges[(slot >> SPAN) * self.n + self.lane]
+        return (x >> 16 << SPAN) + (x & 0xFFFF) * (slot & WIDE - 1)
 
     def interval(self, x: np.ndarray, start_one: np.ndarray, weight_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of an id under the mixture, of 2 ** BITS; with the begin and width in its order-1 table."""
@@ -190,34 +192,32 @@ class Mixer:
         self.weights[:, self.at] = np.maximum(LEAST, self.w + (share - self.w >> RATE))
         # The range of the id takes a unit from one of the others, each of which gives in turn.
         n, giver = self.n, step % GROUPS
-        taker = self.slot + (self.size >> 1) >> 11
+        taker = self.slot + (self.size >> 1) >> SPAN
         ranges = self.ranges.reshape(GROUPS + 1, n)
         moved = ((ranges[giver] & 0xFFFF > 1) & (taker != giver)).astype(np.int32)
         ranges[giver] -= moved
         self.ranges[taker * n + self.lane] += moved
         ranges[giver + 1 :] -= moved << 16
-        ranges += np.multiply(self.after_range > taker, moved << 16, dtype=np.int32)
+        ranges += np.multiply(self.after_range > taker.astype(np.int8), moved << 16, dtype=np.int32)
 
     def order_zero(self, y: np.ndarray) -> np.ndarray:
         """The id of order 0 that a value below e0 << P_BITS falls on."""
         t = y // self.e0
-        group = np.add.reduce(self.ranges.reshape(GROUPS + 1, self.n)[1:GROUPS] >> 16 <= t >> 11, axis=0, dtype=np.int8).astype(np.int64)
+        group = np.add.reduce(self.ranges.reshape(GROUPS + 1, self.n)[1:GROUPS] <= (t >> SPAN << 16).astype(np.int32) + 0xFFFF, axis=0, dtype=np.int8).astype(np.int64)
         x = self.ranges[group * self.n + self.lane]
-        return self.tables.symbol[np.minimum((group << 11) + (t - (x >> 16 << 11)) // (x & 0xFFFF), ZERO - 1)]
+        return self.tables.symbol[np.minimum((group << SPAN) + (t - (x >> 16 << SPAN)) // (x & 0xFFFF), ZERO - 1)]
 
     def find(self, s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose interval holds s, with its begin and width in the order-1 table of the row."""
         e, e0, t = self.e, self.e0, self.tables
-        first = t.first[row]
-        low, high = first.copy(), first + t.size[row]
-        for _ in range(t.search):  # entries that begin at s or before
-            mid = low + high >> 1
+        first, end = t.first[row], t.first[row] + t.size[row]
+        last = first - 1  # the last entry that begins at s or before
+        for k in range(t.search - 1, -1, -1):
+            mid = last + (1 << k)
             x = t.after[mid]
             begin = (e[0] * (x > self.two) + e[1] * (x > self.one) << P_BITS) + (e[2] * t.pair_start[mid] << TO_P) + e0 * self.below(t.pair_zero[mid])
-            up = (begin <= s) & (low < high)
-            low, high = np.where(up, mid + 1, low), np.where(up, high, mid)
-        some = low > first
-        last = np.maximum(low - 1, 0)
+            last += ((begin <= s) & (mid < end)).astype(np.int64) << k
+        some = last >= first
         x = t.after[last]
         start, weight = np.where(some, t.pair_start[last], 0), np.where(some, t.pair_weight[last], 0)
         end = (e[0] * (x >= self.two) + e[1] * (x >= self.one) << P_BITS) + (e[2] * (start + weight) << TO_P) + e0 * self.below(t.start[x] + t.weight[x])
