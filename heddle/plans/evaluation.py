@@ -234,4 +234,5 @@ b AS (SELECT o_orderkey, CASE WHEN n < 20000 THEN 0 WHEN n < 60000 THEN 1 WHEN n
 SELECT o_orderkey, CASE WHEN k <= 0 THEN 'easy' WHEN k = 1 THEN 'medium' WHEN k = 2 THEN 'hard' ELSE 'expert' END AS difficulty FROM b""")
 def difficulty_of_length(spark, sf_dir):
     level = D._pick(D.W.DIFFICULTIES, F.col("o_orderkey") % 4)
-    return D.read(spark, sf_dir, "orders").select("o_orderkey", T.difficulty_of_length(F.col("o_totalprice").cast("bigint"), level).alias("difficulty"))
+    # SQL rounds where Spark's cast cuts: halves go to the even neighbour in both with rint.
+    return D.read(spark, sf_dir, "orders").select("o_orderkey", T.difficulty_of_length(F.rint("o_totalprice").cast("bigint"), level).alias("difficulty"))
