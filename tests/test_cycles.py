@@ -112,3 +112,27 @@ def test_the_path_of_a_long_ring(spark):
     ring = spark.range(n).selectExpr("'p' as project", "id + 10 as src", f"(id + 1) % {n} + 10 as dst")
     parts = ring.selectExpr("project", "src as node", "10L as cycle")
     assert tuple(cycles.shortest_cycles(ring, parts).selectExpr("cycle", "length", "path[0]", "path[1]", "element_at(path, -1)").first()) == (10, n, 10, 11, n + 9)
+
+
+def test_closure_joins_no_more_than_its_result_on_a_chain(spark, monkeypatch):
+    joined, beyond = [], graph._beyond
+
+    def counted(*given):
+        step = beyond(*given)
+        joined.append(step.count())
+        return step
+
+    monkeypatch.setattr(graph, "_beyond", counted)
+    chain = spark.range(100).selectExpr("'p' as project", "id as src", "id + 1 as dst")
+    assert graph.closure(chain).count() == 5050
+    assert len(joined) == 7 and sum(joined) <= 5050  # pairs joined at every node between would be some 60,000
+
+
+def test_closure_of_random_graphs(spark):
+    random.seed(7)
+    for n, m in ((12, 14), (30, 45)):
+        edges = [(random.randrange(n), random.randrange(n)) for _ in range(m)]
+        found = graph.closure(frame(spark, edges)).collect()
+        _, _, far = reach(edges)
+        want = {("p", a, b) for a in far for b in far[a]}
+        assert len(found) == len(set(found)) and set(map(tuple, found)) == want | {("q", b, a) for _, a, b in want}
