@@ -27,8 +27,13 @@ def name_relevance(path: Column, category: str) -> Column:
 
 
 def relevance(path: Column, content: Column, category: str, aggressive: bool = False) -> Column:
-    size = F.least(F.length(content) / 10_000, F.lit(1.0))
-    return name_relevance(path, category) + 0.3 * size + 0.2 * T.file_complexity(content) + (0.5 * size if aggressive else F.lit(0.0))
+    size, effort = _content_parts(content)
+    return name_relevance(path, category) + size + effort + (0.5 * F.least(F.length(content) / 10_000, F.lit(1.0)) if aggressive else F.lit(0.0))
+
+
+def _content_parts(content: Column) -> tuple[Column, Column]:
+    """What length and effort add to the relevance, in every category."""
+    return 0.3 * F.least(F.length(content) / 10_000, F.lit(1.0)), 0.2 * T.file_complexity(content)
 
 
 def _score(category: str, aggressive: bool = False) -> Column:
@@ -41,11 +46,24 @@ def _size() -> Column:
 
 def rank_files(files: DataFrame, category: str, aggressive: bool = False, project: str = "project") -> DataFrame:
     """score and rank (from 1 per project) of each file, by score, then pos."""
-    scored = files.withColumn("score", _score(category, aggressive)).drop("content")
-    out = running(scored, [project], [F.desc("score"), F.col("pos")], {"rank": F.lit(1)})
+    # Staged, as the sort into ranges reads its rows twice.
+    return _ranked(stage(files.withColumn("score", _score(category, aggressive)).drop("content"), "scored"), [project])
+
+
+def _ranked(scored: DataFrame, groups: list[str]) -> DataFrame:
+    out = running(scored, groups, [F.desc("score"), F.col("pos")], {"rank": F.lit(1)})
     return out.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("rank_total")
 
 
+def rank_by_category(files: DataFrame, categories: list[str], project: str = "project") -> DataFrame:
+    """category, project, path, pos, core, score and rank of each file in each category; texts are gone through once for all."""
+    size, effort = _content_parts(F.col("content"))
+    parts = stage(files.select(project, "path", "pos", size.alias("_size"), effort.alias("_effort")), "parts")
+    path = F.col("path")
+    views = [F.struct(F.lit(c).alias("category"), is_core(path, c).alias("core"), F.round(name_relevance(path, c) + F.col("_size") + F.col("_effort"), 6).alias("score")) for c in categories]
+    return _ranked(parts.select(project, "path", "pos", F.inline(F.array(*views))), ["category", project])
+
+
 def information_coverage(files: DataFrame, chosen: Column, project: str = "project") -> DataFrame:
     """Per project the share of characters that the chosen files hold, at most 1; 0 for empty projects."""
     n = F.length(F.coalesce("content", F.lit("")))
@@ -55,7 +73,7 @@ def information_coverage(files: DataFrame, chosen: Column, project: str = "proje
 def _ahead(files: DataFrame, order: list[Column], core: Column, project: str = "project") -> DataFrame:
     """files without content, with core, size, and the share of the project's characters that lies before each (core files first)."""
     x = files.withColumns({"size": _size(), "core": F.coalesce(core, F.lit(False))})
-    x = running(x.drop("content"), [project], [F.desc("core"), *order], {"ahead": F.col("size")})
+    x = running(stage(x.drop("content"), "sized"), [project], [F.desc("core"), *order], {"ahead": F.col("size")})
     return x.withColumn("share", T.ratio(F.col("ahead"), F.col("ahead_total"), 1.0))
 
 

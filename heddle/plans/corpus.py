@@ -154,12 +154,7 @@ EFFORT = f"{D.NAMED.replace('f AS', 'g AS', 1)}, f AS (SELECT *, {_effort()} AS
 SELECT category, project, path, core, score, CAST(row_number() OVER (PARTITION BY category, project ORDER BY score DESC, pos) AS INT) AS rank FROM k""")
 def category_relevance(spark, sf_dir):
     """Every file as each of the eight categories ranks it."""
-    files = D.named_files(spark, sf_dir)
-    out = None
-    for c in W.CATEGORIES:
-        ranked = selection.rank_files(files.withColumn("core", selection.is_core(F.col("path"), c)), c).select(F.lit(c).alias("category"), "project", "path", "core", "score", "rank")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    return selection.rank_by_category(D.named_files(spark, sf_dir), W.CATEGORIES).select("category", "project", "path", "core", "score", "rank")
 
 
 TRIES = [0.5, 0.4 + 0.75 * (0.6 - 0.4), 0.4 + 0.9 * (0.6 - 0.4), 0.6, 0.4]

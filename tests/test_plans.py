@@ -1,5 +1,9 @@
 """Registered queries over small tables of their own."""
 
+from pyspark.sql import functions as F
+
+from heddle.functions import wordlists as W
+from heddle.operators import selection
 from heddle.plans import QUERIES
 
 
@@ -8,3 +12,18 @@ def test_lengths_are_rounded_as_sql_rounds(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r.o_orderkey: r.difficulty for r in QUERIES["difficulty_of_length"](spark, str(tmp_path)).collect()}
     assert got == {4: "easy", 8: "easy", 12: "medium", 1: "medium", 5: "medium", 9: "expert", 13: "expert", 3: "hard"}
+
+
+def test_category_relevance_goes_through_texts_once(spark, tmp_path, monkeypatch):
+    rows = [(k, f"def f{k}():\n    return {k}\n" * (1 + k % 5) if k % 7 else None, "en", "ab"[k % 2] if k % 5 else None) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    measured, of = [], selection.T.file_complexity
+    monkeypatch.setattr(selection.T, "file_complexity", lambda c: measured.append(1) or of(c))
+    got = QUERIES["category_relevance"](spark, str(tmp_path)).cache()
+    assert len(measured) == 1
+    assert got.count() == 40 * len(W.CATEGORIES)
+    from heddle.plans import tables as D
+
+    for c in W.CATEGORIES:
+        alone = selection.rank_files(D.named_files(spark, str(tmp_path)), c).select("project", "path", "score", "rank").collect()
+        assert sorted(map(str, got.filter(F.col("category") == c).select("project", "path", "score", "rank").collect())) == sorted(map(str, alone))
