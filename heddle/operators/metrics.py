@@ -7,6 +7,7 @@ many files it has.  The prompts (scenarios) are joined by scenario_id to the gro
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial, reduce
 from operator import add
 
@@ -64,62 +65,87 @@ def file_scores(code: Column) -> dict[str, Column]:
     }
 
 
-def _any(c: Column) -> Column:
-    return F.max(c.cast("int"))
+def _same(c: Column) -> Column:
+    return c
 
 
-def indicator_share(code: Column, words: list[str]) -> Column:
+def _held(tests: list[Column], kept: Callable[[Column], Column] = _same) -> Column:
+    """Aggregate: how many of the tests any row passes; they are the bits of one number (or of several, 62 in each)."""
+    masks = [reduce(add, [F.shiftleft(t.cast("bigint"), k) for k, t in enumerate(tests[i : i + 62])]) for i in range(0, len(tests), 62)]
+    return reduce(add, [F.bit_count(F.bit_or(kept(m))) for m in masks])
+
+
+def indicator_share(code: Column, words: list[str], kept: Callable[[Column], Column] = _same) -> Column:
     """Aggregate: share of the words that any file of the group contains."""
     low = F.lower(code)
-    return reduce(add, [_any(F.contains(low, F.lit(w))) for w in words]) / len(words)
+    return _held([F.contains(low, F.lit(w)) for w in words], kept) / len(words)
 
 
-def group_share(code: Column, groups: dict[str, list[str]]) -> Column:
+def group_share(code: Column, groups: dict[str, list[str]], kept: Callable[[Column], Column] = _same) -> Column:
     """Aggregate: share of the groups that any file has a word of."""
     low = F.lower(code)
-    return reduce(add, [_any(T.any_of(low, words)) for words in groups.values()]) / len(groups)
+    return _held([T.any_of(low, words) for words in groups.values()], kept) / len(groups)
 
 
-def density(code: Column, patterns: list[str], scale: float) -> Column:
+def density(code: Column, patterns: list[str], scale: float, kept: Callable[[Column], Column] = _same) -> Column:
     """Aggregate: matches per line, scaled, at most 1."""
-    return F.least(scale * T.ratio(F.sum(T.matches(code, patterns)), F.sum(T.n_lines(code))), F.lit(1.0))
+    return F.least(scale * T.ratio(F.sum(kept(T.matches(code, patterns))), F.sum(kept(T.n_lines(code)))), F.lit(1.0))
+
+
+def _digest() -> Column:
+    """Tells files apart by path and content; nulls are no empty texts."""
+    sized = lambda c: [F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.coalesce(c, F.lit(""))]
+    return F.sha2(F.concat_ws(":", *sized("path"), *sized("content")), 256)
 
 
 def text_metrics(files: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row per solution: every score that needs no parser."""
+    """One row per solution: every score that needs no parser.
+
+    What is measured of a file goes into columns of its own first, once for all files that have the same path and text; the
+    solutions then add up numbers alone.
+    """
     code, path = F.col("content"), F.lower("path")
     low = F.lower(code)
-    per_file = file_scores(code)
+    measures: list[Column] = []
+
+    def kept(c: Column) -> Column:
+        """The column that holds the measure c of a file."""
+        measures.append(c.alias(f"_m{len(measures)}"))
+        return F.col(f"_m{len(measures) - 1}")
+
+    per_file = {k: kept(c) for k, c in file_scores(code).items()}
+    total = lambda patterns: F.sum(kept(T.matches(code, patterns)))
+    some = lambda *tests: _held(list(tests), kept)
     aggregates = {k: F.avg(c) for k, c in per_file.items() if k not in ("coordination", "state_management", "disruption")}
     aggregates |= {k: F.least(F.avg(per_file[k]), F.lit(1.0)) for k in ("state_management", "disruption")}
-    aggregates["shared_state"] = F.when(_any(T.any_of(low, ["global", "static", "shared"])) == 1, F.avg(per_file["coordination"])).otherwise(0.8)
-    managed, acquired = F.sum(T.matches(code, W.RESOURCE_PATTERNS)), F.sum(T.matches(code, W.ACQUISITION_PATTERNS))
-    bad = F.sum(T.matches(code, W.INEFFICIENT_PATTERNS))
-    efficient = reduce(add, [_any(F.rlike(code, F.lit(p))) for p in W.EFFICIENT_PATTERNS]) / len(W.EFFICIENT_PATTERNS)
-    issues = reduce(add, [_any(F.contains(low, F.lit(w))) for w in W.SECURITY_ISSUES])
-    consistent = [1 / (1 + F.var_pop(T.hits(low, words).cast("double"))) for words in W.APPROACH.values()]
+    aggregates["shared_state"] = F.when(some(T.any_of(low, ["global", "static", "shared"])) == 1, F.avg(per_file["coordination"])).otherwise(0.8)
+    managed, acquired, bad = total(W.RESOURCE_PATTERNS), total(W.ACQUISITION_PATTERNS), total(W.INEFFICIENT_PATTERNS)
+    efficient = some(*[F.rlike(code, F.lit(p)) for p in W.EFFICIENT_PATTERNS]) / len(W.EFFICIENT_PATTERNS)
+    issues = some(*[F.contains(low, F.lit(w)) for w in W.SECURITY_ISSUES])
+    consistent = [1 / (1 + F.var_pop(kept(T.hits(low, words).cast("double")))) for words in W.APPROACH.values()]
     aggregates |= {
         "n_files": F.count(F.lit(1)),
-        "n_lines": F.sum(T.n_lines(code)),
+        "n_lines": F.sum(kept(T.n_lines(code))),
         "approach_consistency": F.when(F.count(F.lit(1)) < 2, 0.8).otherwise(reduce(add, consistent) / len(consistent)),
-        "input_validation": density(code, W.VALIDATION_PATTERNS, 10),
-        "security_practices": F.greatest(group_share(code, W.SECURITY_PRACTICES) - F.least(0.2 * issues, F.lit(0.5)), F.lit(0.0)),
+        "input_validation": density(code, W.VALIDATION_PATTERNS, 10, kept),
+        "security_practices": F.greatest(group_share(code, W.SECURITY_PRACTICES, kept) - F.least(0.2 * issues, F.lit(0.5)), F.lit(0.0)),
         "resource_management": F.when(acquired == 0, F.when(managed == 0, 1.0).otherwise(0.8)).otherwise(F.least(T.ratio(managed, acquired), F.lit(1.0))),
-        "test_indication": _yes(_any(F.contains(path, F.lit("test"))) == 1, 0.4) + _yes(F.sum(T.matches(code, W.ASSERTION_PATTERNS)) > 0, 0.4) + _yes(_any(T.any_of(low, W.TEST_FRAMEWORKS)) == 1, 0.2),
-        "configuration": 0.25
-        * (_any(T.any_of(path, W.CONFIG_FILES)) + _any(T.any_of(code, W.ENVIRONMENT_WORDS)) + _any(T.any_of(path, W.BUILD_FILES)) + _any(T.any_of(low, W.DEPLOY_WORDS))),
+        "test_indication": _yes(some(F.contains(path, F.lit("test"))) == 1, 0.4) + _yes(total(W.ASSERTION_PATTERNS) > 0, 0.4) + _yes(some(T.any_of(low, W.TEST_FRAMEWORKS)) == 1, 0.2),
+        "configuration": 0.25 * (some(T.any_of(path, W.CONFIG_FILES)) + some(T.any_of(code, W.ENVIRONMENT_WORDS)) + some(T.any_of(path, W.BUILD_FILES)) + some(T.any_of(low, W.DEPLOY_WORDS))),
         "algorithm_efficiency": F.greatest(efficient - F.least(0.1 * bad, F.lit(0.5)), F.lit(0.0)),
-        "design_patterns": group_share(code, W.DESIGN),
-        "performance": density(code, W.OPTIMIZATION_PATTERNS, 20),
-        "modern_practices": indicator_share(code, W.MODERN),
-        "scalability": indicator_share(code, W.SCALABILITY),
-        "integration": indicator_share(code, W.INTEGRATION),
-        "extensibility": density(code, W.EXTENSIBILITY_PATTERNS, 10),
-        "has_readme": _any(F.contains(path, F.lit("readme"))),
-        "comment_lines": F.sum(F.size(F.filter(T.lines(code), lambda x: F.startswith(T.strip(x), F.lit("#"))))),
-        "func_words": F.sum(T.count_of(low, "func ")),
+        "design_patterns": group_share(code, W.DESIGN, kept),
+        "performance": density(code, W.OPTIMIZATION_PATTERNS, 20, kept),
+        "modern_practices": indicator_share(code, W.MODERN, kept),
+        "scalability": indicator_share(code, W.SCALABILITY, kept),
+        "integration": indicator_share(code, W.INTEGRATION, kept),
+        "extensibility": density(code, W.EXTENSIBILITY_PATTERNS, 10, kept),
+        "has_readme": some(F.contains(path, F.lit("readme"))),
+        "comment_lines": F.sum(kept(F.size(F.filter(T.lines(code), lambda x: F.startswith(T.strip(x), F.lit("#")))))),
+        "func_words": F.sum(kept(T.count_of(low, "func "))),
     }
-    return files.groupBy(*keys).agg(*[c.alias(k) for k, c in aggregates.items()])
+    measured = files.select("path", "content").distinct().select(_digest().alias("_digest"), *measures)
+    rows = files.select(*keys, _digest().alias("_digest")).join(measured, "_digest")
+    return rows.groupBy(*keys).agg(*[c.alias(k) for k, c in aggregates.items()])
 
 
 def line_duplication(files: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from heddle.functions import wordlists as W
-from heddle.operators import selection
+from heddle.operators import metrics, selection
 from heddle.plans import QUERIES
 
 
@@ -27,3 +27,16 @@ def test_category_relevance_goes_through_texts_once(spark, tmp_path, monkeypatch
     for c in W.CATEGORIES:
         alone = selection.rank_files(D.named_files(spark, str(tmp_path)), c).select("project", "path", "score", "rank").collect()
         assert sorted(map(str, got.filter(F.col("category") == c).select("project", "path", "score", "rank").collect())) == sorted(map(str, alone))
+
+
+def test_copies_of_a_file_are_measured_once(spark):
+    rows = [("m", str(k), 0, "a.py", "assert x\n# global\n") for k in range(50)] + [("m", "0", 1, "a.py", None), ("m", "0", 2, None, ""), ("m", "1", 1, "test.py", "func f\n"), ("n", "1", 0, None, None)]
+    files = spark.createDataFrame(rows, "model string, scenario_id string, file_pos int, path string, content string")
+    x = metrics.text_metrics(files)
+    got = {(r.model, r.scenario_id): r for r in x.collect()}
+    assert len(got) == 51 and (got["m", "0"].n_files, got["m", "1"].n_files, got["n", "1"].n_files) == (3, 2, 1)
+    assert (got["m", "1"].n_lines, got["m", "1"].func_words, got["m", "1"].comment_lines, got["m", "2"].comment_lines) == (5, 1, 1, 1)
+    assert got["m", "1"].test_indication == 0.8 and got["m", "2"].test_indication == 0.4 and got["n", "1"].n_lines is None
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Aggregate [model#" in line]
+    assert texts and not any("content" in line for line in texts)  # no text goes into the sums by solution
