@@ -44,7 +44,9 @@ def code_files(spark, sf_dir):
     k = F.col("p_partkey")
     pick = ((k * 7 + F.floor(k / 5)) % 8 + 1).cast("int")
     of = lambda i: F.element_at(F.array(*[F.lit(p[i]) for p in PROGRAMS]), pick)
-    return D.read(spark, sf_dir, "part").select(
+    # Programs are far longer than the numbers they are made from: these are dealt out first, or few tasks would hold all programs.
+    parts = D.read(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(
         (k % 3).cast("string").alias("model"), F.floor(k / 12).cast("string").alias("scenario_id"), (F.floor(k / 3) % 4).cast("int").alias("file_pos"),
         of(0).alias("path"), F.concat(of(1), F.lit("# "), (k % 11).cast("string"), F.lit("\n")).alias("content"),
     )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import wordlists as W
 from heddle.operators import metrics, selection
-from heddle.plans import QUERIES
+from heddle.plans import QUERIES, code
 
 
 def test_lengths_are_rounded_as_sql_rounds(spark, tmp_path):
@@ -40,3 +40,9 @@ def test_copies_of_a_file_are_measured_once(spark):
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     texts = [line for line in plan.splitlines() if "Aggregate [model#" in line]
     assert texts and not any("content" in line for line in texts)  # no text goes into the sums by solution
+
+
+def test_programs_are_made_in_many_tasks(spark, tmp_path):
+    spark.range(2000).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = code.code_files(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("k")).count().collect()
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < 700
