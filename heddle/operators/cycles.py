@@ -1,8 +1,8 @@
 """Depths, strongly connected components and shortest cycles of edges(project, src, dst), with work that grows with the edges.
 
 No table of reachable pairs is made.  Chains, in which one step is all that can follow, are contracted by pointer jumping in
-about log2(length) joins; what is left is peeled from its leaves, level by level.  Every round reads the edges that are still
-open, and its tables are staged.  Project and nodes are not null; repeated edges count once; an empty table gives an empty
+about log2(length) joins, but only where many rounds have not got to an end: what is left is peeled level by level.  The
+tables of a round are staged.  Project and nodes are not null; repeated edges count once; an empty table gives an empty
 result.
 """
 
@@ -61,52 +61,63 @@ def followed(links: DataFrame) -> DataFrame:
     return here.withColumn("to", F.when(~F.col("more"), F.col("to"))).drop("more")
 
 
-def depth(edges: DataFrame) -> DataFrame:
+def depth(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """project, node, depth: the longest path from each node to a leaf; infinite where a cycle can be reached.
 
-    A round takes the depths known by now into the nodes above (each keeps the greatest so far, its floor) and settles those
-    that wait for nothing else.  Where far more wait for one other node, these are contracted: their depth is max(floor,
-    weight + depth of that node), which composes along a chain; they are filled in at the end, the last ones first.  Where a
-    round settles and contracts nothing, each node that is left leads to others that are left, so into a cycle.
+    A round takes the depths settled last into the nodes right above, and settles those that have got one from each of their
+    edges.  Of the others it keeps how many they have got, and the greatest, their floor; nodes not met yet have no row.  So
+    a round reads the edges once, with the few rows that are new.  Where a round settles nothing, each node that is left
+    leads to others that are left, so into a cycle.
+
+    After so many rounds (a quarter as many from then on) only the edges of what is left are kept.  Where far more nodes
+    wait for one other node, these are contracted: their depth is max(floor, weight + depth of that node), which composes
+    along a chain; they are filled in at the end, the last ones first.
     """
     open_edges = _plain(edges).withColumn("w", F.lit(1.0))
-    nodes = open_edges.select("project", F.col("src").alias("node")).distinct().withColumn("floor", F.lit(0.0))
+    nodes = open_edges.select("project", F.col("src").alias("node"), F.lit(0.0).alias("floor")).distinct()
     leaves = open_edges.select("project", F.col("dst").alias("node")).distinct().join(nodes, ["project", "node"], "left_anti")
     done = stage(leaves.withColumn("depth", F.lit(0.0)), "settled")
-    settled, chains = [done], []
-    known, one = (F.col("floor") == ENDLESS) | F.col("n").isNull(), F.col("n") == 1
+    settled, rings, chains = [done], [], []
     while True:
-        waits = stage(open_edges.join(_named(done, "dst", "depth"), ["project", "dst"], "left"), "waits")
-        floors = waits.groupBy("project", F.col("src").alias("node")).agg(
-            F.max(F.col("w") + F.col("depth")).alias("_floor"), F.nullif(F.count_if(F.col("depth").isNull()), F.lit(0)).alias("n"), F.min(F.when(F.col("depth").isNull(), F.struct("dst", "w"))).alias("_next")
-        )
-        state = nodes.join(floors, ["project", "node"], "left").select("project", "node", F.greatest("floor", "_floor").alias("floor"), "n", F.col("_next.dst").alias("to"), F.col("_next.w").alias("w"))
-        state = stage(state, "state")
-        n_all, n_known, n_one = state.agg(F.count(F.lit(1)), F.count_if(known), F.count_if(~known & one)).first()
-        done = state.filter(known).select("project", "node", F.col("floor").alias("depth"))
-        settled.append(done)
-        if n_known == n_all:
-            break
-        if not n_known and not n_one:
-            settled.append(state.select("project", "node", F.lit(ENDLESS).alias("depth")))
+        counted = stage(open_edges.join(open_edges.groupBy("project", "src").agg(F.count(F.lit(1)).alias("n")), ["project", "src"]), "counted")
+        waits = nodes.filter("floor > 0").withColumns({"got": F.lit(0).cast("bigint"), "n": F.lit(None).cast("bigint")})
+        for _ in range(rounds):
+            step = counted.join(_named(done, "dst", "depth"), ["project", "dst"])
+            step = step.select("project", F.col("src").alias("node"), (F.col("w") + F.col("depth")).alias("floor"), F.lit(1).cast("bigint").alias("got"), "n")
+            waits = stage(waits.unionByName(step).groupBy("project", "node").agg(F.max("floor").alias("floor"), F.sum("got").alias("got"), F.max("n").alias("n")), "waits")
+            done = waits.filter("got = n").select("project", "node", F.col("floor").alias("depth"))
+            waits = waits.filter("n is null or got < n")
+            settled.append(done)
+            if not (n_done := done.count()):
+                break
+        known = reduce(DataFrame.unionByName, settled)
+        left = nodes.join(known, ["project", "node"], "left_anti")
+        if not n_done:
+            settled.append(left.select("project", "node", F.lit(ENDLESS).alias("depth")))
             break
-        waits = waits.filter("depth is null").drop("depth")
-        if n_one <= 8 * n_known or not n_one:
-            nodes = state.filter(~known).select("project", "node", "floor")
-            open_edges = waits.join(_named(nodes, "src"), ["project", "src"], "left_semi") if n_known else waits
+        # Edges into what was settled last stay: the next round takes them.
+        taken = known.join(done, ["project", "node"], "left_anti")
+        open_edges = counted.drop("n").join(_named(left, "src"), ["project", "src"], "left_semi").join(_named(taken, "dst"), ["project", "dst"], "left_anti")
+        open_edges = stage(open_edges, "rest")
+        ways = open_edges.groupBy("project", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dst", "w")).alias("_next"))
+        floors = waits.select("project", "node", F.col("floor").alias("_floor"))
+        state = ways.join(nodes, ["project", "node"]).join(floors, ["project", "node"], "left")
+        state = stage(state.select("project", "node", F.greatest("floor", "_floor").alias("floor"), "n", F.col("_next.dst").alias("to"), F.col("_next.w").alias("w")), "state")
+        rounds = max(rounds // 4, 1)
+        if state.filter("n = 1").count() <= 8 * n_done:
+            nodes = state.select("project", "node", "floor")
             continue
-        many = state.filter(~known & ~one).select("project", "node", "floor")
-        ends = followed(state.filter(~known & one).select("project", "node", "to", F.col("floor").alias("a"), F.col("w").alias("b")))
-        rings = ends.filter("to is null").select("project", "node", F.lit(ENDLESS).alias("depth"))
+        many = state.filter("n > 1").select("project", "node", "floor")
+        ends = followed(state.filter("n = 1").select("project", "node", "to", F.col("floor").alias("a"), F.col("w").alias("b")))
+        # Rings stay out of what is settled, with the edges into them: what waits for them is left at the end.
+        rings.append(ends.filter("to is null").select("project", "node", F.lit(ENDLESS).alias("depth")))
         chains.append(ends.filter("to is not null"))
-        settled.append(rings)
-        done = done.unionByName(rings)
-        short = waits.join(_named(many, "src"), ["project", "src"], "left_semi").join(_named(chains[-1], "dst", "to", "a", "b"), ["project", "dst"], "left")
+        short = open_edges.join(_named(many, "src"), ["project", "src"], "left_semi").join(_named(chains[-1], "dst", "to", "a", "b"), ["project", "dst"], "left")
         short = stage(short.select("project", "src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("b", F.lit(0.0))).alias("w"), (F.col("w") + F.col("a")).alias("floor")), "short")
         open_edges = short.groupBy("project", "src", "dst").agg(F.max("w").alias("w"))
         more = short.groupBy("project", F.col("src").alias("node")).agg(F.max("floor").alias("_floor"))
         nodes = stage(many.join(more, ["project", "node"], "left").select("project", "node", F.greatest("floor", "_floor").alias("floor")), "nodes")
-    out = reduce(DataFrame.unionByName, settled)
+    out = reduce(DataFrame.unionByName, settled + rings)
     for ends in reversed(chains):
         out = stage(out, "depths")
         filled = ends.join(_named(out, "to", "depth"), ["project", "to"]).select("project", "node", F.greatest("a", F.col("b") + F.col("depth")).alias("depth"))

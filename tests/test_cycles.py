@@ -87,6 +87,47 @@ def test_rings_chords_loops_and_bridges(spark):
     check(spark, edges)
 
 
+def parts(spark, n):
+    """Halves and thirds, and some doubles: ways down are short, most lead into a cycle."""
+    return spark.range(n).selectExpr("'p' as project", "id as src", "explode(array(id div 2, if(id % 97 = 0, id * 2, id div 3))) as dst").filter("src <> dst").distinct()
+
+
+@pytest.fixture
+def staged(monkeypatch):
+    """Tags of the tables that are staged."""
+    tags, real = [], cycles.stage
+
+    def noted(df, tag):
+        tags.append(tag)
+        return real(df, tag)
+
+    monkeypatch.setattr(cycles, "stage", noted)
+    return tags
+
+
+def test_depth_stages_one_table_a_round_where_ways_are_short(spark, staged):
+    e = parts(spark, 800)
+    depths, _, _ = plain([(r.src, r.dst) for r in e.collect()])
+    assert {r.node: r.depth for r in graph.depth(e).collect()} == depths
+    assert len(staged) <= 3 + 2 + max(d for d in depths.values() if d < float("inf"))
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_depth_in_short_phases(spark, rounds):
+    for seed in range(2):
+        r = random.Random(seed)
+        ring, chain = list(range(100, 106)), list(range(200, 240))
+        edges = {(r.randrange(30), r.randrange(30 * (seed % 2) + 1, 60)) for _ in range(45)}
+        edges |= set(zip(ring, [*ring[1:], 100], strict=True)) | set(zip(chain, chain[1:], strict=False))
+        edges |= {(300, 102), (300, 301), (301, 200), (302, 300), (302, 239), (303, 302), (303, 205), (304, 303), (304, 102), (r.randrange(30), 200)}
+        edges |= {(400 + k, 401 + k) for k in range(15)} | {(500 + k, 400 + k) for k in range(15)} | {(400 + k, 600) for k in range(0, 15, 2)}
+        edges = sorted(edges)
+        found = graph.depth(frame(spark, edges), rounds).collect()
+        for project, turned in (("p", edges), ("q", [(b, a) for a, b in edges])):
+            assert {x.node: x.depth for x in found if x.project == project} == plain(turned)[0]
+        assert len(found) == len({(x.project, x.node) for x in found})
+
+
 def test_no_edges(spark):
     e = frame(spark, [])
     assert graph.depth(e).collect() == graph.cycles(e).collect() == graph.shortest_cycles(e).collect() == []
