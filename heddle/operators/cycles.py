@@ -147,13 +147,14 @@ def _contracted(edges: DataFrame, chains: DataFrame) -> DataFrame:
     return both.select("project", "src", F.coalesce("to", "dst").alias("dst"), (F.lit(1.0) + F.coalesce("b", F.lit(0.0))).alias("w"), F.col("last").alias("key"))
 
 
-def _coloured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """project, node, color: the smallest node that leads to the node, or the node itself.
+def _coloured(edges: DataFrame, nodes: DataFrame, most: float) -> DataFrame | None:
+    """project, node, color: the smallest node that leads to the node, or the node itself; None after too many rounds.
 
     Each round takes the colours of the nodes before, then the colours of the colours, so long ways are crossed in leaps.
     """
-    colors = stage(nodes.select("project", "node", F.col("node").alias("color")), "colors")
-    while True:
+    colors, n = stage(nodes.select("project", "node", F.col("node").alias("color")), "colors"), 0
+    while n < most:
+        n += 1
         before = edges.join(_named(colors, "src", "color"), ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("color").alias("_color"))
         near = colors.join(before, ["project", "node"], "left").withColumn("_near", F.least("color", "_color")).drop("_color")
         far = near.join(colors.select("project", F.col("node").alias("_near"), F.col("color").alias("_far")), ["project", "_near"])
@@ -161,52 +162,63 @@ def _coloured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         colors = new.drop("_new")
         if new.filter("_new").isEmpty():
             return colors
+    return None
 
 
-def _rooted(edges: DataFrame, colors: DataFrame) -> DataFrame:
-    """project, node, color of the nodes that lead back to the node that gave them their colour: its component."""
+def _rooted(edges: DataFrame, most: float) -> tuple[DataFrame, DataFrame] | None:
+    """project, node, part of the nodes that lead back to the node that gave them their colour: its component; and the edges
+    inside colours, which no component goes beyond.  None after too many rounds."""
+    colors = _coloured(edges, edges.select("project", F.col("src").alias("node")).distinct(), most)
+    if colors is None:
+        return None
     own = edges.join(_named(colors, "src", "color"), ["project", "src"]).join(_named(colors, "dst", F.col("color").alias("_color")), ["project", "dst"])
-    own = stage(own.filter("color = _color").select("project", "src", "dst", "color"), "own")
-    edge = found = stage(colors.filter("node = color"), "rooted")
+    own = stage(own.filter("color = _color").select("project", "src", "dst", F.col("color").alias("part")), "own")
+    edge = found = stage(colors.filter("node = color").withColumnRenamed("color", "part"), "rooted")
+    n = 0
     while not edge.isEmpty():
-        step = own.join(_named(edge, "dst"), ["project", "dst"]).select("project", F.col("src").alias("node"), "color").distinct()
+        if (n := n + 1) > most:
+            return None
+        step = own.join(_named(edge, "dst"), ["project", "dst"]).select("project", F.col("src").alias("node"), "part").distinct()
         edge = stage(step.join(found, ["project", "node"], "left_anti"), "frontier")
         found = stage(found.unionByName(edge), "rooted")
-    return found
+    return found, own.drop("part")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """project, node, cycle of the nodes that lie on cycles: cycle is the smallest node of the strongly connected component.
 
-    Edges that lead nowhere or come from nowhere are peeled off; where that goes slowly, chains are contracted (rings of them
-    are components).  Where neither is left to do, colours spread forwards and the components of the nodes that gave them are
-    gathered backwards; then the same goes on with what is left.  At last the chains are filled in, the last ones first: they
-    belong to the component that holds both of their ends.
+    Edges that lead nowhere or come from nowhere are peeled off.  Where that stops, colours spread forwards and the components
+    of the nodes that gave them are gathered backwards; then the same goes on with what is left inside colours.  Where
+    peeling goes slowly for so many rounds, where most nodes pass one edge on to one, or where colours take more rounds than
+    that, chains are contracted instead (rings of them are components).  At last the chains are filled in, the last ones first: they belong to the component
+    that holds both of their ends.
     """
     all_edges = _plain(edges)
     loops = all_edges.filter("src = dst").select("project", F.col("src").alias("node"))
     here = stage(all_edges.filter("src <> dst"), "rest")
-    n, found, levels = here.count(), [], []
+    n, slow, found, levels = here.count(), 0, [], []
     while n:
         before, n_before = here, n
         here = stage(_peeled(here), "peeled")
         n = here.count()
-        if not n or 5 * n < 4 * n_before:
+        slow += 5 * n >= 4 * n_before
+        if not n or n < n_before and slow < rounds:
             continue
+        slow = 0
         passes = stage(_passes(here), "passes")
         n_passes = passes.count()
-        if n_passes > 8 * (n_before - n):
+        inside = _rooted(here, rounds if n_passes else ENDLESS) if n == n_before and 2 * n_passes <= n else None
+        if inside:
+            found.append(inside[0])
+            here = inside[1]
+            for end in ("src", "dst"):
+                here = here.join(_named(inside[0], end), ["project", end], "left_anti")
+            here = stage(here, "rest")
+        elif n_passes > 8 * (n_before - n):
             ends = followed(passes)
             short = stage(_contracted(here, ends), "short")
             levels.append((ends, short))
             here = stage(short.filter("src <> dst").select("project", "src", "dst").distinct(), "rest")
-        elif n == n_before:
-            rooted = _rooted(before, _coloured(before, before.select("project", F.col("src").alias("node")).distinct())).withColumnRenamed("color", "part")
-            found.append(rooted)
-            here = before
-            for end in ("src", "dst"):
-                here = here.join(_named(rooted, end), ["project", end], "left_anti")
-            here = stage(here, "rest")
         n = here.count()
     parts = reduce(DataFrame.unionByName, found) if found else loops.withColumn("part", F.col("node")).limit(0)
     for ends, short in reversed(levels):

@@ -112,6 +112,25 @@ def test_depth_stages_one_table_a_round_where_ways_are_short(spark, staged):
     assert len(staged) <= 3 + 2 + max(d for d in depths.values() if d < float("inf"))
 
 
+def test_components_gather_colours_before_chains_where_ways_are_short(spark, staged):
+    e = parts(spark, 800)
+    _, part, _ = plain([(r.src, r.dst) for r in e.collect()])
+    assert {r.node: r.cycle for r in graph.cycles(e).collect()} == part
+    assert "short" not in staged
+
+
+def test_components_in_short_phases(spark):
+    r = random.Random(5)
+    ring, chain = list(range(100, 112)), list(range(200, 212))
+    edges = {(r.randrange(25), r.randrange(25)) for _ in range(35)} | set(zip(ring, [*ring[1:], 100], strict=True)) | {(104, 109), (106, 102), (300, 300)}
+    edges |= set(zip(chain, chain[1:], strict=False)) | {(b, a) for a, b in zip(chain, chain[1:], strict=False)} | {(211, 104), (112, 300), (101, 112)}
+    edges = sorted(edges)
+    found = cycles.components(frame(spark, edges), 1).collect()
+    for project, turned in (("p", edges), ("q", [(b, a) for a, b in edges])):
+        assert {x.node: x.cycle for x in found if x.project == project} == plain(turned)[1]
+    assert len(found) == len({(x.project, x.node) for x in found})
+
+
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_depth_in_short_phases(spark, rounds):
     for seed in range(2):
