@@ -119,6 +119,14 @@ def test_components_gather_colours_before_chains_where_ways_are_short(spark, sta
     assert "short" not in staged
 
 
+def test_report_of_short_ways_follows_no_chains(spark, staged):
+    e = parts(spark, 800)
+    _, part, _ = plain([(r.src, r.dst) for r in e.collect()])
+    files = spark.range(800).selectExpr("'p' as project", "id as path")
+    assert tuple(graph.analysis_summary(e, files).first()) == ("p", 800, 799, len(set(part.values())), float("inf"))
+    assert "links" not in staged
+
+
 def test_components_in_short_phases(spark):
     r = random.Random(5)
     ring, chain = list(range(100, 112)), list(range(200, 212))
