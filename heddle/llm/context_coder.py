@@ -29,18 +29,20 @@ SURE = 3  # highest count of hits in a row
 STATES = (SURE + 1) * (SURE + 2) * 2
 ZERO, ONE = 1 << 16, 512  # total weights of the tables of order 0 and order 1
 ROW = 127  # ids of a table of order 1
-GROUPS, UNIT = 16, 16  # ranges of order 0, and what each weighs at first
+GROUPS, UNITS = 16, 256  # ranges of order 0, and what they weigh together
 SPAN = 12
 WIDE = 1 << SPAN  # ZERO // GROUPS
-P_BITS = 20  # probabilities; ZERO * UNIT is their total
+P_BITS = 20  # probabilities; WIDE * UNITS is their total
 TO_P = P_BITS - 9  # from weights of an order-1 table
-W_BITS = 12  # weights of predictions
-BITS = U(P_BITS + W_BITS)
+W_BITS = 11  # weights of predictions as they are used
+BITS = P_BITS + W_BITS  # a mixture's total, so that 32 bits hold it
+FINE = 16  # bits of weights as they are learnt
 LOW, DIGIT = U(47), U(16)
 RATE = 5
-LEAST = 24
-PREPARED = 128  # blocks
+LEAST = 384
 FITTED = 64  # blocks of a file by which first weights are chosen
+# What a slot holds: the id it last had, hits in a row, weight and begin of the id in its order-1 table, and the context's last id.
+HITS, WEIGHT, BEGIN, CONTEXT = 16, 18, 28, 38
 
 
 def shares(counts: np.ndarray, total: int) -> np.ndarray:
@@ -56,10 +58,23 @@ class Tables:
     def __init__(self, ids: np.ndarray, weights: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, after: np.ndarray, after_weights: np.ndarray, mix: np.ndarray):
         self.parts = (ids, weights, contexts, sizes, after, after_weights)
         self.mix = mix
-        self.weight = np.zeros(1 << 16, dtype=np.int64)
-        self.weight[ids] = weights
-        self.start = np.cumsum(self.weight) - self.weight
-        self.symbol = np.repeat(np.arange(1 << 16), self.weight)
+        # Order 0: an id lies in one range; per id its weight there, the weights before it, and the range, in 13, 13 and 4 bits.
+        self.range_of = np.minimum((np.cumsum(weights) - weights) >> SPAN, GROUPS - 1)
+        inner = weights.copy()
+        self.units = np.zeros(GROUPS, dtype=np.int64)
+        for g in range(GROUPS):
+            mine = self.range_of == g
+            if mine.any():
+                self.units[g] = max(1, int(weights[mine].sum()) * (UNITS - GROUPS) // ZERO)
+                inner[mine] = shares(weights[mine], WIDE)
+        if len(ids):
+            self.units[int(np.argmax(self.units))] += UNITS - int(self.units.sum())
+        total = np.cumsum(inner)
+        begin = total - inner - self.range_of_first(total - inner)
+        self.zero = np.zeros(1 << 16, dtype=np.int32)
+        self.zero[ids] = inner | begin << 13 | self.range_of << 26
+        self.symbol = np.zeros(ZERO, dtype=np.int64)
+        self.symbol[np.repeat(self.range_of * WIDE + begin, inner) + np.arange(int(inner.sum())) - np.repeat(total - inner, inner)] = np.repeat(ids, inner)
         # Order 1: row 0 is for ids without a table.
         self.row = np.zeros(1 << 16, dtype=np.int64)
         self.row[contexts] = np.arange(1, len(contexts) + 1)
@@ -70,9 +85,17 @@ class Tables:
         pad = np.zeros(1 << self.search, dtype=np.int64)  # a search looks at places past the end, and keeps off them
         self.after = np.concatenate([after, pad])
         self.slots = np.concatenate([[0], np.cumsum(after_weights)]).astype(np.int64)  # before each pair, over all rows
-        self.pair_start = np.concatenate([self.slots % ONE, pad])
         self.pair_weight = np.concatenate([after_weights, pad])
-        self.pair_zero = self.start[self.after]
+        # per pair its begin in the row, and its id's begin and range of order 0, in 9, 13 and 4 bits
+        self.pair = np.concatenate([self.slots[:-1] % ONE, pad]) << 17 | self.zero[self.after] >> 13
+        self.pair = self.pair.astype(np.int32)
+
+    def range_of_first(self, before: np.ndarray) -> np.ndarray:
+        """Per id the weights before the first id of its range."""
+        first = np.zeros(GROUPS, dtype=np.int64)
+        some, at = np.unique(self.range_of, return_index=True)
+        first[some] = before[at]
+        return first[self.range_of]
 
     @classmethod
     def of(cls, x: np.ndarray, length: int, least: int = 3, context_least: int = 24) -> Tables:
@@ -95,12 +118,16 @@ class Tables:
             kept_sizes.append(len(best))
         none = np.zeros(0, dtype=np.int64)
         at = np.concatenate(used) if used else none
-        mix = np.full((3, STATES), 1 << W_BITS - 2, dtype=np.int64)
+        mix = np.full((3, STATES), 1 << FINE - 2, dtype=np.int64)
         tables = cls(ids, shares(counts[ids], ZERO) if len(ids) else none, contexts, np.array(kept_sizes, dtype=np.int64), pairs[at] & 0xFFFF, np.concatenate(weights) if weights else none, mix)
         if len(blocks):
             tables.mix = first_weights(blocks[:: max(1, len(blocks) // FITTED)], tables)
         return tables
 
+    def likely(self, x: np.ndarray) -> np.ndarray:
+        """First probabilities of ids by order 0."""
+        return (self.zero[x] & (1 << 13) - 1) * self.units[self.zero[x] >> 26] / (1 << P_BITS)
+
     def to_bytes(self) -> bytes:
         ids, weights, contexts, sizes, after, after_weights = self.parts
         step = np.diff(after, prepend=0)
@@ -137,105 +164,161 @@ def first_weights(blocks: np.ndarray, tables: Tables) -> np.ndarray:
     x, two, one, sure_two, sure_one, has, _, weight = (a.astype(np.int64).reshape(-1) for a in prepared(blocks, tables))
     agree = (two == one) & (sure_two > 0) & (sure_one > 0)
     state = state_of(sure_two, sure_one, agree, has)
-    p = np.array([(x == two) & (sure_two > 0), (x == one) & (sure_one > 0) & ~agree, weight / ONE, tables.weight[x] / ZERO])
+    p = np.array([(x == two) & (sure_two > 0), (x == one) & (sure_one > 0) & ~agree, weight / ONE, tables.likely(x)])
     n = np.maximum(1, np.bincount(state, minlength=STATES))
     w = np.full((4, STATES), 0.25)
     for _ in range(6):
         part = w[:, state] * p
         part /= part.sum(axis=0)
         w = np.array([np.bincount(state, weights=part[j], minlength=STATES) + 1 for j in range(4)]) / (n + 4)
-    return np.maximum(LEAST, (w[:3] * (1 << W_BITS)).astype(np.int64))
+    return np.clip((w[:3] * (1 << FINE)).astype(np.int64), LEAST, (1 << FINE) - 1)
 
 
 class Mixer:
-    """Weights of the predictions and ranges of order 0, in n blocks; everything of a step is a column over the blocks."""
+    """Weights of the predictions and ranges of order 0, in n blocks; everything of a step is a column over the blocks.
+
+    The interval of a step begins with the id of order 2, then that of order 1, if these are predictions; what the other
+    orders give them is in these parts too.  All other ids follow by number.
+    """
 
     def __init__(self, n: int, tables: Tables):
         self.n, self.tables = n, tables
         self.lane = np.arange(n)
         self.base = self.lane * STATES
-        self.weights = np.tile(tables.mix, n).astype(np.int32)
+        w = tables.mix
+        self.weights = np.tile(w[0] | w[1] << FINE | w[2] << 2 * FINE, n)
         # By range and block: units of the ranges before it, and its own in the low 16 bits; a last range ends the table.
-        self.ranges = np.repeat((np.arange(GROUPS + 1, dtype=np.int32) * UNIT << 16) + UNIT, n)
+        units = np.append(tables.units, 0)
+        self.ranges = np.repeat((np.cumsum(units) - units << 16 | units).astype(np.int32), n)
         self.after_range = np.arange(GROUPS + 1, dtype=np.int8)[:, None]
-
-    def begin(self, two: np.ndarray, one: np.ndarray, sure_two: np.ndarray, sure_one: np.ndarray, has: np.ndarray) -> None:
-        """The predictions of a step; afterwards e holds the three weights that count, and e0 the one of order 0."""
-        self.two, self.one = two, one
-        agree = (two == one) & (sure_two > 0) & (sure_one > 0)
+        self.slot_base = self.lane * SLOTS
+        self.seen_two, self.seen_one = np.zeros(n * SLOTS, dtype=np.int64), np.zeros(n * SLOTS, dtype=np.int64)
+        self.before = self.earlier = np.zeros(n, dtype=np.int64)
+
+    def zero_share(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of ids in order 0, of 2 ** P_BITS."""
+        z = self.tables.zero[x]
+        r = self.ranges[(z >> 26) * self.n + self.lane]
+        units = r & 0xFFFF
+        return ((r >> 16 << SPAN) + units * (z >> 13 & (1 << 13) - 1)).astype(np.uint32), (units * (z & (1 << 13) - 1)).astype(np.uint32)
+
+    def guess(self, seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What slots hold of this context, 0 if it is another's; and its hits in a row."""
+        held = seen[at]
+        held *= held >> CONTEXT == self.before
+        return held, held >> HITS & SURE
+
+    def share(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id of a slot; its begin and width in the mixture of orders 1 (counted) and 0."""
+        x = held & 0xFFFF
+        begin, width = self.zero_share(x)
+        return x, (held >> BEGIN & 2 * ONE - 1).astype(np.uint32) * self.e_table + self.e_zero * begin, (held >> WEIGHT & 2 * ONE - 1).astype(np.uint32) * self.e_table + self.e_zero * width
+
+    def begin(self, has: np.ndarray) -> None:
+        """The predictions of a step and their weights."""
+        self.at_two, self.at_one = self.slot_base + slot(self.before, self.earlier), self.slot_base + slot(self.before, 0)
+        two, sure_two = self.guess(self.seen_two, self.at_two)
+        one, sure_one = self.guess(self.seen_one, self.at_one)
+        can_two, can_one = sure_two > 0, sure_one > 0
+        agree = ((two ^ one) & 0xFFFF == 0) & can_two & can_one
+        can_one &= ~agree
+        self.held_two, self.held_one = two, one
         self.at = self.base + state_of(sure_two, sure_one, agree, has)
-        self.w = self.weights[:, self.at]
-        self.e = (self.w * 4000 >> W_BITS).astype(np.int64)
-        self.e[0] *= sure_two > 0
-        self.e[1] *= (sure_one > 0) & ~agree
-        self.e[2] *= has
-        self.e0 = (1 << W_BITS) - self.e.sum(axis=0)
-
-    def below(self, slot: np.ndarray) -> np.ndarray:
-        """Probability of order 0 below a slot of its table."""
-        x = self.ranges[(slot >> SPAN) * self.n + self.lane]
-        return (x >> 16 << SPAN) + (x & 0xFFFF) * (slot & WIDE - 1)
-
-    def interval(self, x: np.ndarray, start_one: np.ndarray, weight_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of an id under the mixture, of 2 ** BITS; with the begin and width in its order-1 table."""
-        e, t = self.e, self.tables
-        self.slot, self.size = t.start[x], t.weight[x]
-        c0 = self.below(self.slot)
-        p0 = self.below(self.slot + self.size) - c0
-        self.parts = np.stack((e[0] * (x == self.two) << P_BITS, e[1] * (x == self.one) << P_BITS, e[2] * weight_one << TO_P))
-        left = (e[0] * (x > self.two) + e[1] * (x > self.one) << P_BITS) + (e[2] * start_one << TO_P) + self.e0 * c0
-        self.width = self.parts.sum(axis=0) + self.e0 * p0
+        w = self.weights[self.at]
+        self.w = [(w >> k * FINE & 0xFFFF).astype(np.int32) for k in range(3)]
+        e_two, e_one, e_table = ((x * 2000 >> FINE).astype(np.uint32) for x in self.w)
+        e_two *= can_two
+        e_one *= can_one
+        e_table *= has.astype(bool)
+        self.e_zero = (1 << W_BITS) - e_two - e_one - e_table
+        self.e_two, self.e_one, self.e_table = e_two << P_BITS, e_one << P_BITS, e_table << TO_P
+        self.can_two, self.can_one = can_two, can_one
+        self.two, self.two_begin, self.two_rest = self.share(two)
+        self.one, self.one_begin, self.one_rest = self.share(one)
+        self.two_rest *= can_two
+        self.one_rest *= can_one
+        self.two_width, self.one_width = self.two_rest + self.e_two, self.one_rest + self.e_one
+        self.singles = self.two_width + self.one_width
+
+    def interval(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of an id, given as slots hold it, under the mixture, of 2 ** BITS."""
+        x, begin, width = self.share(held)
+        self.x = x
+        self.is_two, self.is_one = (x == self.two) & self.can_two, (x == self.one) & self.can_one
+        left = self.singles + begin - self.two_rest * (x > self.two) - self.one_rest * (x > self.one)
+        left = np.where(self.is_two, 0, np.where(self.is_one, self.two_width, left))
+        self.width = width + self.e_two * self.is_two + self.e_one * self.is_one
         return left, self.width
 
-    def learn(self, step: int) -> None:
-        share = (self.parts << W_BITS) // self.width
-        self.weights[:, self.at] = np.maximum(LEAST, self.w + (share - self.w >> RATE))
+    def learn(self, step: int, held: np.ndarray) -> None:
+        """Moves the weights, the ranges and the slots after an id, given as slots hold it."""
+        scale = np.float32((1 << FINE) - 1) / self.width.astype(np.float32)
+        parts = self.e_two * self.is_two, self.e_one * self.is_one, (held >> WEIGHT & 2 * ONE - 1).astype(np.uint32) * self.e_table
+        moved = [np.clip(w + ((part.astype(np.float32) * scale).astype(np.int32) - w >> RATE), LEAST, (1 << FINE) - 1).astype(np.int64) for w, part in zip(self.w, parts)]
+        self.weights[self.at] = moved[0] | moved[1] << FINE | moved[2] << 2 * FINE
         # The range of the id takes a unit from one of the others, each of which gives in turn.
         n, giver = self.n, step % GROUPS
-        taker = self.slot + (self.size >> 1) >> SPAN
+        taker = self.tables.zero[self.x] >> 26
         ranges = self.ranges.reshape(GROUPS + 1, n)
         moved = ((ranges[giver] & 0xFFFF > 1) & (taker != giver)).astype(np.int32)
         ranges[giver] -= moved
         self.ranges[taker * n + self.lane] += moved
         ranges[giver + 1 :] -= moved << 16
         ranges += np.multiply(self.after_range > taker.astype(np.int8), moved << 16, dtype=np.int32)
-
-    def order_zero(self, y: np.ndarray) -> np.ndarray:
-        """The id of order 0 that a value below e0 << P_BITS falls on."""
-        t = y // self.e0
-        group = np.add.reduce(self.ranges.reshape(GROUPS + 1, self.n)[1:GROUPS] <= (t >> SPAN << 16).astype(np.int32) + 0xFFFF, axis=0, dtype=np.int8).astype(np.int64)
-        x = self.ranges[group * self.n + self.lane]
-        return self.tables.symbol[np.minimum((group << SPAN) + (t - (x >> 16 << SPAN)) // (x & 0xFFFF), ZERO - 1)]
-
-    def find(self, s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose interval holds s, with its begin and width in the order-1 table of the row."""
-        e, e0, t = self.e, self.e0, self.tables
-        first, end = t.first[row], t.first[row] + t.size[row]
+        for seen, at, old in ((self.seen_two, self.at_two, self.held_two), (self.seen_one, self.at_one, self.held_one)):
+            sure = old >> HITS & SURE
+            again = (sure > 0) & ((old ^ held) & 0xFFFF == 0)
+            seen[at] = held | np.where(again, np.minimum(sure + 1, SURE), 1) << HITS
+        self.earlier, self.before = self.before, self.x
+
+    def find(self, s: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The id whose interval holds s, as slots hold it."""
+        held = np.where(s < self.two_width, self.held_two, self.held_one)
+        other = np.flatnonzero(s >= self.singles)
+        if len(other):
+            held[other] = self.find_other(s[other] - self.singles[other], row[other], other)
+        return held & ~(SURE << HITS)
+
+    def find_other(self, s: np.ndarray, row: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        """The same for ids that neither recent prediction gives; s counts from the first of these ids."""
+        t, n = self.tables, self.n
+        e_zero, e_table = self.e_zero[lane], self.e_table[lane]
+        two, one = self.two[lane], self.one[lane]
+        # Leave room again for the two single ids, the lower one first.
+        begins, rests = (self.two_begin[lane], self.one_begin[lane]), (self.two_rest[lane], self.one_rest[lane])
+        swap = one < two
+        for k in (swap, ~swap):
+            s += np.where(s >= np.where(k, begins[1], begins[0]), np.where(k, rests[1], rests[0]), 0).astype(np.uint32)
+        first = t.first[row]
+        end = first + t.size[row]
         last = first - 1  # the last entry that begins at s or before
+        inner = (1 << 13) - 1
         for k in range(t.search - 1, -1, -1):
             mid = last + (1 << k)
-            x = t.after[mid]
-            begin = (e[0] * (x > self.two) + e[1] * (x > self.one) << P_BITS) + (e[2] * t.pair_start[mid] << TO_P) + e0 * self.below(t.pair_zero[mid])
+            pair = t.pair[mid]
+            r = self.ranges[(pair >> 13 & GROUPS - 1) * n + lane]
+            begin = (pair >> 17).astype(np.uint32) * e_table + e_zero * ((r >> 16 << SPAN) + (r & 0xFFFF) * (pair & inner)).astype(np.uint32)
             last += ((begin <= s) & (mid < end)).astype(np.int64) << k
         some = last >= first
-        x = t.after[last]
-        start, weight = np.where(some, t.pair_start[last], 0), np.where(some, t.pair_weight[last], 0)
-        end = (e[0] * (x >= self.two) + e[1] * (x >= self.one) << P_BITS) + (e[2] * (start + weight) << TO_P) + e0 * self.below(t.start[x] + t.weight[x])
-        listed = some & (s < end)
-        # Between two entries the table of order 1 stands still: only order 0 and the two single ids are left.
-        start = np.where(listed, start, start + weight)
-        r = s - (e[2] * start << TO_P)
-        swap = self.one < self.two
-        a, b = np.where(swap, self.one, self.two), np.where(swap, self.two, self.one)
-        ea, eb = np.where(swap, e[1], e[0]) << P_BITS, np.where(swap, e[0], e[1]) << P_BITS
-        a_end, b_end = e0 * self.below(t.start[a] + t.weight[a]), e0 * self.below(t.start[b] + t.weight[b])
-        a_begin, b_begin = e0 * self.below(t.start[a]), e0 * self.below(t.start[b])
-        is_a = (r >= a_begin) & (r < a_end + ea)
-        after_a = np.where(r >= a_end + ea, r - ea, r)
-        is_b = (r >= a_end + ea) & (after_a >= b_begin) & (after_a < b_end + eb)
-        rest = np.where((r >= a_end + ea) & (after_a >= b_end + eb), after_a - eb, after_a)
-        any_id = self.order_zero(np.clip(rest, 0, (e0 << P_BITS) - 1))
-        return np.where(listed, x, np.where(is_a, a, np.where(is_b, b, any_id))), start, np.where(listed, weight, 0)
+        x, weight, start = t.after[last], t.pair_weight[last] * some, (t.pair[last] >> 17) * some
+        z = t.zero[x]
+        r = self.ranges[(z >> 26) * n + lane]
+        width = weight.astype(np.uint32) * e_table + e_zero * ((r & 0xFFFF) * (z & inner)).astype(np.uint32)
+        begin = start.astype(np.uint32) * e_table + e_zero * ((r >> 16 << SPAN) + (r & 0xFFFF) * (z >> 13 & inner)).astype(np.uint32)
+        listed = some & (s - begin < width)
+        held = x | weight << WEIGHT | start.astype(np.int64) << BEGIN
+        rare = np.flatnonzero(~listed)
+        if len(rare):
+            # Between two entries the table of order 1 stands still: only order 0 is left.
+            start = (start + weight)[rare]
+            y = (s[rare] - start.astype(np.uint32) * e_table[rare]) // e_zero[rare]
+            i = lane[rare]
+            ranges = self.ranges.reshape(GROUPS + 1, n)[1:GROUPS, i]
+            group = np.add.reduce(ranges >> 16 <= (y >> SPAN).astype(np.int32), axis=0, dtype=np.int64)
+            r = self.ranges[group * n + i]
+            x = t.symbol[(group << SPAN) + (y.astype(np.int32) - (r >> 16 << SPAN)) // (r & 0xFFFF)]
+            held[rare] = x | start.astype(np.int64) << BEGIN
+        return held | self.before[lane] << CONTEXT
 
 
 def slot(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -281,12 +364,36 @@ def prepared(blocks: np.ndarray, tables: Tables) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T.astype(t)) for x, t in zip((blocks, two, one, sure_two, sure_one, row > 0, begin, width), types, strict=True)]
 
 
+def placed(columns: np.ndarray, tables: Tables) -> np.ndarray:
+    """Every id of the columns (length x n) as slots hold it, with begin and weight in the table of the id before it."""
+    length, n = columns.shape
+    pair = np.zeros((length, n), dtype=np.int64)
+    pair[1:] = columns[:-1]
+    pair <<= 16
+    pair |= columns
+    pair = pair.reshape(-1)
+    bits = max(1, int(pair.size - 1).bit_length())
+    order = pair << bits
+    order |= np.arange(pair.size)
+    order.sort()
+    same = order >> bits
+    begun = np.flatnonzero(np.diff(same, prepend=-1))
+    some = same[begun]
+    at = np.searchsorted(tables.pairs, some)
+    row = tables.row[some >> 16]
+    begin = np.where(row > 0, tables.slots[at] - ONE * (row - 1), 0)
+    known = np.minimum(at, max(0, len(tables.pairs) - 1))
+    weight = np.where(tables.pairs[known] == some, tables.pair_weight[at], 0) if len(tables.pairs) else np.zeros_like(some)
+    held = some & 0xFFFF | weight << WEIGHT | begin << BEGIN | some >> 16 << CONTEXT
+    order &= (1 << bits) - 1
+    pair[order] = np.repeat(held, np.diff(begun, append=pair.size))
+    return pair.reshape(length, n)
+
+
 def encode_blocks(blocks: np.ndarray, tables: Tables) -> list[bytes]:
-    """Payloads of blocks (n x length, ids below 65536).  Only weights and ranges depend on the step before."""
+    """Payloads of blocks (n x length, ids below 65536)."""
     n, length = blocks.shape
-    steps = [prepared(blocks[a : a + PREPARED], tables) for a in range(0, n, PREPARED)]  # a few blocks at a time, in small types
-    columns = [np.concatenate(x, axis=1) for x in zip(*steps)]
-    del steps
+    held = placed(np.ascontiguousarray(blocks.T), tables)
     mixer = Mixer(n, tables)
     low, size = np.zeros(n, dtype=U), np.full(n, (1 << 63) - 1, dtype=U)
     out = np.zeros((2 * length + 6, n), dtype=np.uint32)
@@ -299,16 +406,15 @@ def encode_blocks(blocks: np.ndarray, tables: Tables) -> list[bytes]:
         at[i] += 1
 
     for t in range(length):
-        x, two, one, sure_two, sure_one, has, begin, width = (c[t].astype(np.int64) for c in columns)
-        mixer.begin(two, one, sure_two, sure_one, has)
-        left, wide = mixer.interval(x, begin, width)
-        r = size >> BITS
-        low += r * left.astype(U)
-        size = r * wide.astype(U)
+        mixer.begin(tables.row[mixer.before] > 0)
+        left, wide = mixer.interval(held[t])
+        r = size >> U(BITS)
+        low += r * left
+        size = r * wide
         while len(full := np.flatnonzero(size < U(1 << 47))):
             emit(full)
             size[full] <<= DIGIT
-        mixer.learn(t)
+        mixer.learn(t, held[t])
     everyone = np.arange(n)
     for _ in range(4):
         emit(everyone)
@@ -333,32 +439,23 @@ def decode_blocks(payloads: list[bytes], length: int, tables: Tables) -> np.ndar
     at = np.full(n, 4, dtype=np.int64)
     size = np.full(n, (1 << 63) - 1, dtype=U)
     out = np.zeros((length, n), dtype=np.uint16)
-    most = U((1 << int(BITS)) - 1)
-    base = np.arange(n) * SLOTS
-    seen, row_of = np.zeros((2, n * SLOTS), dtype=np.uint16), np.zeros((2, n * SLOTS), dtype=np.uint8)
-    before = earlier = np.zeros(n, dtype=np.int64)
+    most = U((1 << BITS) - 1)
     for t in range(length):
-        i = base + slot(before, earlier), base + slot(before, 0)
-        guess, sure = [a[k].astype(np.int64) for a, k in zip(seen, i)], [a[k].astype(np.int64) for a, k in zip(row_of, i)]
-        row = tables.row[before]
-        mixer.begin(*guess, *sure, (row > 0).astype(np.int64))
-        r = size >> BITS
-        x, begin, width = mixer.find(np.minimum(v // r, most).astype(np.int64), row)
-        left, wide = mixer.interval(x, begin, width)
-        v -= r * left.astype(U)
-        size = r * wide.astype(U)
+        row = tables.row[mixer.before]
+        mixer.begin(row > 0)
+        r = size >> U(BITS)
+        held = mixer.find(np.minimum(v // r, most).astype(np.uint32), row)
+        left, wide = mixer.interval(held)
+        v -= r * left
+        size = r * wide
         while len(full := np.flatnonzero(size < U(1 << 47))):
             d = digits[at[full], full]
             v[full] = (v[full] << DIGIT) | (rest[full] << U(15)) | (d >> U(1))
             rest[full] = d & U(1)
             size[full] <<= DIGIT
             at[full] += 1
-        out[t] = x
-        mixer.learn(t)
-        for a, b, k, g, c in zip(seen, row_of, i, guess, sure):
-            b[k] = np.where((c > 0) & (g == x), np.minimum(c + 1, SURE), 1)
-            a[k] = x
-        earlier, before = before, x
+        out[t] = mixer.x
+        mixer.learn(t, held)
     return np.ascontiguousarray(out.T)
 
 

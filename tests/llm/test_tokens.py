@@ -84,6 +84,18 @@ def test_library_encoder_with_cache(texts):
     assert [x.tolist() for x in found] == [ids_of(t) for t in texts]
 
 
+def test_pre_tokens_go_to_the_library_once():
+    encoder = token_io.LibraryEncoder(PATH)
+    asked = []
+    merged = encoder.merged
+    encoder.merged = lambda pretokens: asked.extend(pretokens) or merged(pretokens)
+    texts = ["Tiou anonth, anonth. (anonth) anonth", "a anonth; anonth\nanonth anonth's anonth. 12"]
+    for _ in range(2):
+        found = encoder.texts(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in found] == [ids_of(t) for t in texts]
+    assert asked.count(" anonth") == 1 and len(asked) == len(set(asked))
+
+
 def test_round_trip_query(docs, no_docs, corpus):
     found = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, PATH).collect()}
     want = set()
