@@ -41,6 +41,7 @@ LOW, DIGIT = U(47), U(16)
 RATE = 5
 LEAST = 384
 FITTED = 64  # blocks of a file by which first weights are chosen
+INNER = (1 << 13) - 1  # a weight inside a range
 # What a slot holds: the id it last had, hits in a row, weight and begin of the id in its order-1 table, and the context's last id.
 HITS, WEIGHT, BEGIN, CONTEXT = 16, 18, 28, 38
 
@@ -61,14 +62,13 @@ class Tables:
         # Order 0: an id lies in one range; per id its weight there, the weights before it, and the range, in 13, 13 and 4 bits.
         self.range_of = np.minimum((np.cumsum(weights) - weights) >> SPAN, GROUPS - 1)
         inner = weights.copy()
-        self.units = np.zeros(GROUPS, dtype=np.int64)
+        self.units = np.ones(GROUPS, dtype=np.int64)
         for g in range(GROUPS):
             mine = self.range_of == g
             if mine.any():
-                self.units[g] = max(1, int(weights[mine].sum()) * (UNITS - GROUPS) // ZERO)
+                self.units[g] += int(weights[mine].sum()) * (UNITS - GROUPS) // ZERO
                 inner[mine] = shares(weights[mine], WIDE)
-        if len(ids):
-            self.units[int(np.argmax(self.units))] += UNITS - int(self.units.sum())
+        self.units[int(np.argmax(self.units))] += UNITS - int(self.units.sum())
         total = np.cumsum(inner)
         begin = total - inner - self.range_of_first(total - inner)
         self.zero = np.zeros(1 << 16, dtype=np.int32)
@@ -89,6 +89,7 @@ class Tables:
         # per pair its begin in the row, and its id's begin and range of order 0, in 9, 13 and 4 bits
         self.pair = np.concatenate([self.slots[:-1] % ONE, pad]) << 17 | self.zero[self.after] >> 13
         self.pair = self.pair.astype(np.int32)
+        self.entry = self.after | self.pair_weight << WEIGHT | (self.pair >> 17).astype(np.int64) << BEGIN  # as slots hold it
 
     def range_of_first(self, before: np.ndarray) -> np.ndarray:
         """Per id the weights before the first id of its range."""
@@ -156,7 +157,7 @@ class Tables:
 
 
 def state_of(sure_two: np.ndarray, sure_one: np.ndarray, agree: np.ndarray, has: np.ndarray) -> np.ndarray:
-    return (sure_two * (SURE + 2) + np.where(agree, SURE + 1, sure_one)) * 2 + has
+    return (sure_two * (SURE + 2) + sure_one * ~agree + (SURE + 1) * agree) * 2 + has
 
 
 def first_weights(blocks: np.ndarray, tables: Tables) -> np.ndarray:
@@ -187,20 +188,20 @@ class Mixer:
         self.base = self.lane * STATES
         w = tables.mix
         self.weights = np.tile(w[0] | w[1] << FINE | w[2] << 2 * FINE, n)
-        # By range and block: units of the ranges before it, and its own in the low 16 bits; a last range ends the table.
-        units = np.append(tables.units, 0)
-        self.ranges = np.repeat((np.cumsum(units) - units << 16 | units).astype(np.int32), n)
-        self.after_range = np.arange(GROUPS + 1, dtype=np.int8)[:, None]
-        self.slot_base = self.lane * SLOTS
+        # By range and block: units of the range (1 to 241), and of those before it.
+        units = tables.units.astype(np.uint8)
+        self.units, self.before_units = np.repeat(units, n), np.repeat(np.cumsum(units, dtype=np.uint8) - units, n)
+        self.ranges = np.arange(GROUPS, dtype=np.uint8)[:, None]
         self.seen_two, self.seen_one = np.zeros(n * SLOTS, dtype=np.int64), np.zeros(n * SLOTS, dtype=np.int64)
         self.before = self.earlier = np.zeros(n, dtype=np.int64)
 
     def zero_share(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of ids in order 0, of 2 ** P_BITS."""
         z = self.tables.zero[x]
-        r = self.ranges[(z >> 26) * self.n + self.lane]
-        units = r & 0xFFFF
-        return ((r >> 16 << SPAN) + units * (z >> 13 & (1 << 13) - 1)).astype(np.uint32), (units * (z & (1 << 13) - 1)).astype(np.uint32)
+        at = (z >> 26) * self.n + self.lane
+        z = z.view(np.uint32)
+        units = self.units[at].astype(np.uint32)
+        return (self.before_units[at].astype(np.uint32) << SPAN) + units * (z >> 13 & INNER), units * (z & INNER)
 
     def guess(self, seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What slots hold of this context, 0 if it is another's; and its hits in a row."""
@@ -216,7 +217,8 @@ class Mixer:
 
     def begin(self, has: np.ndarray) -> None:
         """The predictions of a step and their weights."""
-        self.at_two, self.at_one = self.slot_base + slot(self.before, self.earlier), self.slot_base + slot(self.before, 0)
+        # A slot's blocks lie side by side, so that those of common contexts stay in the processor's cache.
+        self.at_two, self.at_one = slot(self.before, self.earlier) * self.n + self.lane, slot(self.before, 0) * self.n + self.lane
         two, sure_two = self.guess(self.seen_two, self.at_two)
         one, sure_one = self.guess(self.seen_one, self.at_one)
         can_two, can_one = sure_two > 0, sure_one > 0
@@ -246,7 +248,8 @@ class Mixer:
         self.x = x
         self.is_two, self.is_one = (x == self.two) & self.can_two, (x == self.one) & self.can_one
         left = self.singles + begin - self.two_rest * (x > self.two) - self.one_rest * (x > self.one)
-        left = np.where(self.is_two, 0, np.where(self.is_one, self.two_width, left))
+        left *= ~(self.is_two | self.is_one)
+        left += self.two_width * self.is_one
         self.width = width + self.e_two * self.is_two + self.e_one * self.is_one
         return left, self.width
 
@@ -254,21 +257,21 @@ class Mixer:
         """Moves the weights, the ranges and the slots after an id, given as slots hold it."""
         scale = np.float32((1 << FINE) - 1) / self.width.astype(np.float32)
         parts = self.e_two * self.is_two, self.e_one * self.is_one, (held >> WEIGHT & 2 * ONE - 1).astype(np.uint32) * self.e_table
-        moved = [np.clip(w + ((part.astype(np.float32) * scale).astype(np.int32) - w >> RATE), LEAST, (1 << FINE) - 1).astype(np.int64) for w, part in zip(self.w, parts)]
+        moved = [np.maximum(LEAST, w + ((part.astype(np.float32) * scale).astype(np.int32) - w >> RATE)).astype(np.int64) for w, part in zip(self.w, parts)]
         self.weights[self.at] = moved[0] | moved[1] << FINE | moved[2] << 2 * FINE
         # The range of the id takes a unit from one of the others, each of which gives in turn.
         n, giver = self.n, step % GROUPS
         taker = self.tables.zero[self.x] >> 26
-        ranges = self.ranges.reshape(GROUPS + 1, n)
-        moved = ((ranges[giver] & 0xFFFF > 1) & (taker != giver)).astype(np.int32)
-        ranges[giver] -= moved
-        self.ranges[taker * n + self.lane] += moved
-        ranges[giver + 1 :] -= moved << 16
-        ranges += np.multiply(self.after_range > taker.astype(np.int8), moved << 16, dtype=np.int32)
+        units, before = self.units.reshape(GROUPS, n), self.before_units.reshape(GROUPS, n)
+        moved = ((units[giver] > 1) & (taker != giver)).view(np.uint8)
+        units[giver] -= moved
+        self.units[taker * n + self.lane] += moved
+        before[giver + 1 :] -= moved
+        before += (self.ranges > taker.astype(np.uint8)).view(np.uint8) * moved
         for seen, at, old in ((self.seen_two, self.at_two, self.held_two), (self.seen_one, self.at_one, self.held_one)):
             sure = old >> HITS & SURE
             again = (sure > 0) & ((old ^ held) & 0xFFFF == 0)
-            seen[at] = held | np.where(again, np.minimum(sure + 1, SURE), 1) << HITS
+            seen[at] = held | np.minimum(sure, SURE - 1) * again + 1 << HITS
         self.earlier, self.before = self.before, self.x
 
     def find(self, s: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -283,41 +286,42 @@ class Mixer:
         """The same for ids that neither recent prediction gives; s counts from the first of these ids."""
         t, n = self.tables, self.n
         e_zero, e_table = self.e_zero[lane], self.e_table[lane]
-        two, one = self.two[lane], self.one[lane]
         # Leave room again for the two single ids, the lower one first.
-        begins, rests = (self.two_begin[lane], self.one_begin[lane]), (self.two_rest[lane], self.one_rest[lane])
-        swap = one < two
-        for k in (swap, ~swap):
-            s += np.where(s >= np.where(k, begins[1], begins[0]), np.where(k, rests[1], rests[0]), 0).astype(np.uint32)
+        a, b, a_rest, b_rest = self.two_begin[lane], self.one_begin[lane], self.two_rest[lane], self.one_rest[lane]
+        swap = (a_rest - b_rest) * (b < a)
+        s += (a_rest - swap) * (s >= np.minimum(a, b))
+        s += (b_rest + swap) * (s >= np.maximum(a, b))
         first = t.first[row]
         end = first + t.size[row]
         last = first - 1  # the last entry that begins at s or before
-        inner = (1 << 13) - 1
         for k in range(t.search - 1, -1, -1):
             mid = last + (1 << k)
             pair = t.pair[mid]
-            r = self.ranges[(pair >> 13 & GROUPS - 1) * n + lane]
-            begin = (pair >> 17).astype(np.uint32) * e_table + e_zero * ((r >> 16 << SPAN) + (r & 0xFFFF) * (pair & inner)).astype(np.uint32)
+            at = (pair >> 13 & GROUPS - 1) * n + lane
+            pair = pair.view(np.uint32)
+            begin = (pair >> 17) * e_table + e_zero * ((self.before_units[at].astype(np.uint32) << SPAN) + self.units[at] * (pair & INNER))
             last += ((begin <= s) & (mid < end)).astype(np.int64) << k
         some = last >= first
-        x, weight, start = t.after[last], t.pair_weight[last] * some, (t.pair[last] >> 17) * some
+        held = t.entry[last] * some
+        x, weight, start = held & 0xFFFF, held >> WEIGHT & 2 * ONE - 1, held >> BEGIN
         z = t.zero[x]
-        r = self.ranges[(z >> 26) * n + lane]
-        width = weight.astype(np.uint32) * e_table + e_zero * ((r & 0xFFFF) * (z & inner)).astype(np.uint32)
-        begin = start.astype(np.uint32) * e_table + e_zero * ((r >> 16 << SPAN) + (r & 0xFFFF) * (z >> 13 & inner)).astype(np.uint32)
+        at = (z >> 26) * n + lane
+        z, units = z.view(np.uint32), self.units[at].astype(np.uint32)
+        width = weight.astype(np.uint32) * e_table + e_zero * (units * (z & INNER))
+        begin = start.astype(np.uint32) * e_table + e_zero * ((self.before_units[at].astype(np.uint32) << SPAN) + units * (z >> 13 & INNER))
         listed = some & (s - begin < width)
-        held = x | weight << WEIGHT | start.astype(np.int64) << BEGIN
         rare = np.flatnonzero(~listed)
         if len(rare):
             # Between two entries the table of order 1 stands still: only order 0 is left.
             start = (start + weight)[rare]
             y = (s[rare] - start.astype(np.uint32) * e_table[rare]) // e_zero[rare]
             i = lane[rare]
-            ranges = self.ranges.reshape(GROUPS + 1, n)[1:GROUPS, i]
-            group = np.add.reduce(ranges >> 16 <= (y >> SPAN).astype(np.int32), axis=0, dtype=np.int64)
-            r = self.ranges[group * n + i]
-            x = t.symbol[(group << SPAN) + (y.astype(np.int32) - (r >> 16 << SPAN)) // (r & 0xFFFF)]
-            held[rare] = x | start.astype(np.int64) << BEGIN
+            unit, group = y >> SPAN, np.zeros(len(rare), dtype=np.int64)
+            for k in (8, 4, 2, 1):
+                group += k * (self.before_units[(group + k) * n + i] <= unit)
+            at = group * n + i
+            x = t.symbol[(group << SPAN) + (y - (self.before_units[at].astype(np.uint32) << SPAN)) // self.units[at]]
+            held[rare] = x | start << BEGIN
         return held | self.before[lane] << CONTEXT
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.bpe import PATTERN, byte_chars, letters
+from heddle.llm.bpe import PATTERN, byte_chars
 from heddle.llm.common import Recent, shared_dir, small_batches, stage, worker_state
 from heddle.llm.context_coder import Tables, checksum, decode_blocks, encode_blocks
 
@@ -44,6 +44,20 @@ BLOCK = 1024  # ids
 LANES = 4096  # blocks that are coded in step
 
 
+#: A chunk of a word and ASCII marks; no pre-token of letters and marks goes over the border between both.
+WORD_MARKS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)$"
+
+
+def end_to_end(flat: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces at of flat, whose pieces have n ids each, one after the other; and their sizes."""
+    sizes = n[at]
+    stop = np.cumsum(sizes, dtype=np.int32)
+    start = np.cumsum(n, dtype=np.int32) - n
+    place = np.repeat(start[at] - (stop - sizes), sizes)
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place], sizes
+
+
 class LibraryEncoder:
     """The tokenizers library behind a bounded table of pre-tokens; the texts are cut into chunks at single spaces.
 
@@ -56,7 +70,7 @@ class LibraryEncoder:
     def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         if self.library.get_vocab_size() > 1 << 16:
@@ -64,9 +78,7 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         chars = byte_chars()
         self.chars, self.line_end = {chr(b): c for b, c in enumerate(chars)}, self.library.token_to_id(chars[10])
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.model.normalizer, self.model.post_processor = None, None
+        self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.Split(chars[10], "isolated")
         self.pre = regex.compile(PATTERN).findall
         self.table = Recent(most)  # ids of a pre-token, 16 bits each
@@ -90,24 +102,41 @@ class LibraryEncoder:
         found |= {p: x.tobytes() for p, x in zip(rest, self.whole(rest), strict=True)}
         return [found[p] for p in pretokens]
 
-    def found(self, chunks: list[str], before: str) -> list[bytes]:
-        """Ids of each chunk after the text before; b"" if it is empty or touches other white space."""
-        table, split = self.table, self.pre
-        one = [before + c if letters(c) else None for c in chunks]  # most chunks are one pre-token
-        known = [table[p] if p else b"" for p in one]
-        several = [(k, split(before + c)) for k, c in enumerate(chunks) if one[k] is None and c and not c[0].isspace() and not c[-1].isspace()]
-        parts = [(k, pre, [table[p] for p in pre]) for k, pre in several]
-        lack = dict.fromkeys(one[k] for k, x in enumerate(known) if x is None)
-        lack.update(dict.fromkeys(p for _, pre, got in parts for p, x in zip(pre, got) if x is None))
+    def known(self, pretokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token, from the table or the library."""
+        table = self.table
+        found = list(map(table.__getitem__, pretokens))
+        lack = [k for k, x in enumerate(found) if x is None]
         if lack:
-            names = list(lack)
+            names = list(dict.fromkeys(pretokens[k] for k in lack))
             new = dict(zip(names, self.merged(names), strict=True))
-            known = [new[one[k]] if x is None else x for k, x in enumerate(known)]
             for p, x in new.items():
                 table.keep(p, x)
-        for k, pre, got in parts:
-            known[k] = b"".join(new[p] if x is None else x for p, x in zip(pre, got))
-        return known
+            for k in lack:
+                found[k] = new[pretokens[k]]
+        return found
+
+    def found(self, chunks: list[str], before: str) -> list[bytes]:
+        """Ids of each chunk after the text before; b"" if it is empty or touches other white space."""
+        split = self.pre
+        parts = [split(before + c) if c and not c[0].isspace() and not c[-1].isspace() else [] for c in chunks]
+        known = iter(self.known([p for pre in parts for p in pre]))
+        return [b"".join([next(known) for _ in pre]) for pre in parts]
+
+    def laid(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that follow a space, end to end, and the ids of each; none if it is empty or touches other white space."""
+        cut = pc.extract_regex(chunks, WORD_MARKS)  # most chunks are a word and the marks after it, one pre-token each
+        other = np.flatnonzero(pc.is_null(cut).to_numpy(zero_copy_only=False))
+        word, mark = (pc.struct_field(cut, k).dictionary_encode() for k in ("word", "mark"))
+        words, marks = [" " + w for w in word.dictionary.to_pylist()], mark.dictionary.to_pylist()
+        parts = self.known(words) + self.known(marks) + self.found(chunks.take(pa.array(other)).to_pylist(), " ") + [b""]
+        at = np.full((len(chunks), 2), len(parts) - 1, dtype=np.int32)
+        at[:, 0] = word.indices.fill_null(len(parts) - 1).to_numpy()
+        at[:, 1] = mark.indices.fill_null(len(parts) - 1 - len(words)).to_numpy() + len(words)
+        at[other, 0] = np.arange(len(other)) + len(words) + len(marks)
+        n = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) >> 1
+        flat, sizes = end_to_end(np.frombuffer(b"".join(parts), dtype=np.uint16), n, at.reshape(-1))
+        return flat, sizes[::2] + sizes[1::2]
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text (uint16); the distinct chunks of all texts are looked up or encoded once, and laid end to end."""
@@ -118,20 +147,19 @@ class LibraryEncoder:
         ends = lists.offsets.to_numpy()
         coded = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
         first, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
-        at, names = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        at, chunks = coded.indices.to_numpy().copy(), coded.dictionary
         heads, place = np.unique(at[first], return_inverse=True)
         # One table for both kinds of chunks: those after a space, then those that start a text.
-        inner = np.bincount(at, minlength=len(names)) > np.bincount(at[first], minlength=len(names))
-        at[first] = len(names) + place
-        parts = self.found([c if k else "" for c, k in zip(names, inner.tolist())], " ") + self.found([names[k] for k in heads.tolist()], "")
-        n = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) >> 1
-        flat, start = np.frombuffer(b"".join(parts), dtype=np.uint16), np.cumsum(n, dtype=np.int32) - n
-        sizes = n[at]
+        at[first] = len(chunks) + place
+        flat, n = self.laid(chunks)
+        parts = self.found(chunks.take(pa.array(heads)).to_pylist(), "")
+        flat = np.concatenate([flat, np.frombuffer(b"".join(parts), dtype=np.uint16)])
+        n = np.concatenate([n, np.array([len(x) >> 1 for x in parts], dtype=np.int32)])
+        ids, sizes = end_to_end(flat, n, at)
         odd = np.logical_or.reduceat(sizes == 0, first)
         for special in self.specials:
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         stop = np.cumsum(sizes, dtype=np.int64)
-        ids = flat[np.repeat(start[at] - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
         odd = np.flatnonzero(odd)
         alone = dict(zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True)) if len(odd) else {}
         a = 0
