@@ -101,26 +101,33 @@ class Tables:
     @classmethod
     def of(cls, x: np.ndarray, length: int, least: int = 3, context_least: int = 24) -> Tables:
         """Tables of the ids of a file: successors seen least times, of ids seen context_least times; blocks start after id 0."""
-        blocks, x = x.reshape(-1, length), x.astype(np.int64)
+        blocks = x.reshape(-1, length)
         counts = np.bincount(x, minlength=1 << 16)
         ids = np.flatnonzero(counts)
-        before = np.concatenate([[0], x[:-1]])
-        before[::length] = 0
-        pairs, n = np.unique((before << 16) | x, return_counts=True)
+        pairs = np.zeros(len(x), dtype=np.uint32)
+        pairs[1:] = x[:-1]
+        pairs[::length] = 0
+        pairs <<= 16
+        pairs |= x.astype(np.uint16)
+        pairs, n = np.unique(pairs, return_counts=True)
+        pairs = pairs.astype(np.int64)
         keep = (n >= least) & (counts[pairs >> 16] >= context_least)
         pairs, n = pairs[keep], n[keep]
+        # The ROW most frequent of each context, with weights as shares() gives them.
+        sizes = np.unique(pairs >> 16, return_counts=True)[1]
+        order = np.lexsort((-n, pairs >> 16))
+        best = np.zeros(len(pairs), dtype=bool)
+        best[order[np.arange(len(pairs)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < ROW]] = True
+        pairs, n = pairs[best], n[best]
         contexts, first, sizes = np.unique(pairs >> 16, return_index=True, return_counts=True)
-        used, weights, kept_sizes = [], [], []
-        for a, k in zip(first.tolist(), sizes.tolist()):
-            c = n[a : a + k]
-            best = np.sort(np.argsort(-c, kind="stable")[:ROW])
-            used.append(a + best)
-            weights.append(shares(c[best], ONE))
-            kept_sizes.append(len(best))
-        none = np.zeros(0, dtype=np.int64)
-        at = np.concatenate(used) if used else none
+        w = n
+        if len(n):
+            w = np.maximum(1, n * np.repeat(ONE - sizes, sizes) // np.repeat(np.add.reduceat(n, first), sizes) + 1)
+            top = np.lexsort((-n, pairs >> 16))[first]
+            w[top] += ONE - np.add.reduceat(w, first)
         mix = np.full((3, STATES), 1 << FINE - 2, dtype=np.int64)
-        tables = cls(ids, shares(counts[ids], ZERO) if len(ids) else none, contexts, np.array(kept_sizes, dtype=np.int64), pairs[at] & 0xFFFF, np.concatenate(weights) if weights else none, mix)
+        none = np.zeros(0, dtype=np.int64)
+        tables = cls(ids, shares(counts[ids], ZERO) if len(ids) else none, contexts, sizes, pairs & 0xFFFF, w, mix)
         if len(blocks):
             tables.mix = first_weights(blocks[:: max(1, len(blocks) // FITTED)], tables)
         return tables
@@ -378,11 +385,11 @@ def placed(columns: np.ndarray, tables: Tables) -> np.ndarray:
     pair = pair.reshape(-1)
     bits = max(1, int(pair.size - 1).bit_length())
     order = pair << bits
-    order |= np.arange(pair.size)
+    order |= np.arange(pair.size, dtype=np.int32)
     order.sort()
-    same = order >> bits
-    begun = np.flatnonzero(np.diff(same, prepend=-1))
-    some = same[begun]
+    np.right_shift(order, bits, out=pair)
+    begun = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    some = pair[begun]
     at = np.searchsorted(tables.pairs, some)
     row = tables.row[some >> 16]
     begin = np.where(row > 0, tables.slots[at] - ONE * (row - 1), 0)

@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from heddle.llm.context_coder import Tables, checksum, decode_blocks, encode_blo
 MAGIC = b"HTK4"
 NULL_ID = -(1 << 63)
 BLOCK = 1024  # ids
-LANES = 4096  # blocks that are coded in step
+LANES = 8192  # blocks that are coded in step
 
 
 #: A chunk of a word and ASCII marks; no pre-token of letters and marks goes over the border between both.
@@ -77,7 +78,7 @@ class LibraryEncoder:
             raise ValueError(f"{path} has over 65,536 ids, more than the files' 16 bits hold")
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         chars = byte_chars()
-        self.chars, self.line_end = {chr(b): c for b, c in enumerate(chars)}, self.library.token_to_id(chars[10])
+        self.chars, self.line_end = dict(enumerate(chars)), self.library.token_to_id(chars[10])
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.Split(chars[10], "isolated")
         self.pre = regex.compile(PATTERN).findall
@@ -87,41 +88,51 @@ class LibraryEncoder:
         return [np.array(e.ids, dtype=np.uint16) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def merged(self, pretokens: list[str]) -> list[bytes]:
-        """Ids of each pre-token."""
-        apart = [p for p in pretokens if "\n" not in p] if self.line_end is not None else []
-        if not apart:
+        """Ids of each pre-token, from the library; those that hold line ends go alone."""
+        if self.line_end is None:
             return [x.tobytes() for x in self.whole(pretokens)]
-        text = ("\n".join(apart) + "\n").encode().decode("latin-1").translate(str.maketrans(self.chars))
+        text = "\n".join(pretokens) + "\n"
+        if text.count("\n") <= len(pretokens):
+            return self.joined(text, len(pretokens)) if pretokens else []
+        apart, rest = [p for p in pretokens if "\n" not in p], [p for p in pretokens if "\n" in p]
+        found = {p: x.tobytes() for p, x in zip(rest, self.whole(rest), strict=True)}
+        if apart:
+            found |= zip(apart, self.joined("\n".join(apart) + "\n", len(apart)))
+        return [found[p] for p in pretokens]
+
+    def joined(self, text: str, n: int) -> list[bytes]:
+        """Ids of n pre-tokens, each with a line end after it."""
+        text = text.encode().decode("latin-1").translate(self.chars)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint16)
-        ends = np.flatnonzero(ids == self.line_end)
-        data, ends = ids.tobytes(), (2 * ends).tolist()
-        found = {p: data[a:b] for p, a, b in zip(apart, [0, *(e + 2 for e in ends)], ends)}
-        if len(ends) != len(apart):
+        ends = 2 * np.flatnonzero(ids == self.line_end)
+        if len(ends) != n:
             raise ValueError("the library's ids of pre-tokens do not fit them")
-        rest = [p for p in pretokens if "\n" in p]
-        found |= {p: x.tobytes() for p, x in zip(rest, self.whole(rest), strict=True)}
-        return [found[p] for p in pretokens]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(ends + 2).tolist()], ends.tolist())]
 
     def known(self, pretokens: list[str]) -> list[bytes]:
-        """Ids of each pre-token, from the table or the library."""
+        """Ids of each of the pre-tokens, which are distinct, from the table or the library."""
         table = self.table
-        found = list(map(table.__getitem__, pretokens))
+        found = list(map(table.get, pretokens))
         lack = [k for k, x in enumerate(found) if x is None]
+        if lack and table.old:
+            for k in lack:
+                found[k] = table[pretokens[k]]
+            lack = [k for k in lack if found[k] is None]
         if lack:
-            names = list(dict.fromkeys(pretokens[k] for k in lack))
-            new = dict(zip(names, self.merged(names), strict=True))
-            for p, x in new.items():
+            names = [pretokens[k] for k in lack]
+            for k, p, x in zip(lack, names, self.merged(names), strict=True):
+                found[k] = x
                 table.keep(p, x)
-            for k in lack:
-                found[k] = new[pretokens[k]]
         return found
 
     def found(self, chunks: list[str], before: str) -> list[bytes]:
         """Ids of each chunk after the text before; b"" if it is empty or touches other white space."""
         split = self.pre
         parts = [split(before + c) if c and not c[0].isspace() and not c[-1].isspace() else [] for c in chunks]
-        known = iter(self.known([p for pre in parts for p in pre]))
-        return [b"".join([next(known) for _ in pre]) for pre in parts]
+        distinct = list(dict.fromkeys(chain.from_iterable(parts)))
+        known = dict(zip(distinct, self.known(distinct), strict=True)).__getitem__
+        return [b"".join(map(known, pre)) for pre in parts]
 
     def laid(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks that follow a space, end to end, and the ids of each; none if it is empty or touches other white space."""
@@ -208,7 +219,7 @@ def read_file(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
     return part, segment, index, ids
 
 
-def write(docs: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "doc_id", text: str = "text", segment_ids: int = 4_000_000, parts: int | None = None, part_bytes: int = 128 << 20) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "doc_id", text: str = "text", segment_ids: int = 8_000_000, parts: int | None = None, part_bytes: int = 128 << 20) -> DataFrame:
     """Writes docs to folder (a URI that all executors reach) and returns part, segment, file, n_docs, n_ids of each file."""
     spark = docs.sparkSession
     small_batches(spark)
